@@ -75,7 +75,10 @@ def word_scores(words: list[str], table: PieceTable, probability: np.ndarray) ->
 def fit(docs: DataFrame, learn, *, id_col="doc_id", text_col="text", lang_col="lang", model_file=MODEL_FILE, texts_per_language=TEXTS_PER_LANGUAGE, rounds=2) -> Model:
     """Learn from the rows where ``learn`` holds: up to ``texts_per_language`` whole texts of each language, chosen by a hash of the id."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("h"))
-    chosen = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= texts_per_language).select("lang", "text").collect()
+    # the ids are chosen first, so that no text is shuffled; their number is bounded
+    first = lambda df: df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= texts_per_language)
+    wanted = first(rows.select("lang", "h")).select("lang", "h").distinct()
+    chosen = first(rows.join(F.broadcast(wanted), ["lang", "h"])).select("lang", "text").collect()
     table = PieceTable.of(load_pieces(model_file))
     languages = sorted({r["lang"] for r in chosen})
     words: dict[str, int] = {}

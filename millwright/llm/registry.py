@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module of this package that defines query() and, where SQL can express it, ORACLE_SQL.
 MODULES = {
     "op3_language_id": "langid",
+    "op5_transport_streams": "mpegts",
+    "op10_quality": "quality",
 }
 
 
