@@ -12,6 +12,7 @@ MODULES = {
     "op3_language_id": "langid",
     "op4_mix_sources": "mixing",
     "op5_transport_streams": "mpegts",
+    "op7_personal_data": "pii",
     "op10_quality": "quality",
 }
 
