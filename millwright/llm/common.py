@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 12 << 20
 
 
+#: The folder that the package lies in.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    # Python workers import this package; where it isn't installed, they find it as the driver did
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
