@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module of this package that defines query() and, where SQL can express it, ORACLE_SQL.
 MODULES = {
     "op1_nearest_vectors": "ann",
+    "op2_near_duplicates": "dedup",
     "op3_language_id": "langid",
     "op4_mix_sources": "mixing",
     "op5_transport_streams": "mpegts",
