@@ -117,6 +117,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
 
 def sum_by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values between neighbouring offsets; 0 where there are none."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    total = np.zeros((len(offsets) - 1, *values.shape[1:]))
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        total[full] = np.add.reduceat(values, offsets[full], axis=0, dtype=float)
+    return total

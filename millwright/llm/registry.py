@@ -15,6 +15,7 @@ MODULES = {
     "op4_mix_sources": "mixing",
     "op5_transport_streams": "mpegts",
     "op7_personal_data": "pii",
+    "op9_language_model": "lblm",
     "op10_quality": "quality",
 }
 
