@@ -27,8 +27,9 @@ class PieceTable:
     pieces: list[str]
     longest: int
     hashes: np.ndarray
+    #: by the first bits of a hash: the piece's place, -1 for none, -2 for several
+    slots: np.ndarray
     numbers: np.ndarray
-    seen: np.ndarray
 
     @classmethod
     def of(cls, pieces: list[str]) -> PieceTable:
@@ -37,18 +38,22 @@ class PieceTable:
         keys = keys[order]
         if len(keys) > 1 and (keys[1:] == keys[:-1]).any():
             raise ValueError("two pieces share a hash")
-        seen = np.zeros(1 << 20, bool)
-        seen[(keys >> np.uint64(44)).astype(np.int64)] = True
-        return cls(pieces, max(map(len, pieces), default=1), keys, order.astype(np.int32), seen)
+        first = (keys >> np.uint64(44)).astype(np.int64)
+        slots = np.full(1 << 20, -1, np.int32)
+        slots[first] = np.arange(len(keys))
+        slots[first[1:][first[1:] == first[:-1]]] = -2
+        return cls(pieces, max(map(len, pieces), default=1), keys, slots, order.astype(np.int32))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of keys that are pieces, and the pieces' numbers."""
-        rows = np.flatnonzero(self.seen[(keys >> np.uint64(44)).astype(np.int64)])
+        at = self.slots[(keys >> np.uint64(44)).astype(np.int64)]
+        rows = np.flatnonzero(at != -1)
         if not len(rows):
             return rows, rows
-        at = np.searchsorted(self.hashes, keys[rows])
-        at[at == len(self.hashes)] = 0
-        good = self.hashes[at] == keys[rows]
+        at, keys = at[rows], keys[rows]
+        if (several := np.flatnonzero(at == -2)).size:
+            at[several] = np.minimum(np.searchsorted(self.hashes, keys[several]), len(self.hashes) - 1)
+        good = self.hashes[at] == keys
         return rows[good], self.numbers[at[good]]
 
     def edges(self, codes: np.ndarray):

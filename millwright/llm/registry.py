@@ -14,7 +14,9 @@ MODULES = {
     "op3_language_id": "langid",
     "op4_mix_sources": "mixing",
     "op5_transport_streams": "mpegts",
+    "op6_url_lists": "urls",
     "op7_personal_data": "pii",
+    "op8_sample_segmentations": "segment",
     "op9_language_model": "lblm",
     "op10_quality": "quality",
 }
