@@ -1,13 +1,59 @@
-"""The corpus pipeline: language ID, near-dedup, personal data, mixing, segmentation."""
+"""The corpus pipeline: five stages over ``documents``, each on all that the one before kept.
+
+1. language ID drops texts without a recognised language;
+2. near-duplicates keep one document of each group;
+3. personal data in the texts is replaced by its kind in brackets;
+4. the sources are mixed to target weights: documents are dropped or repeated;
+5. every text of the mix is encoded into sampled segmentations.
+
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millwright.llm import common, dedup, langid, mixing, pii, segment
+
+#: Least posterior of the predicted language.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs, common.id_remainder(F.col("doc_id"), 4) != 2)
+    judged = langid.predict(docs, model, keep=docs.columns)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = dedup.near_duplicates(docs)
+    # the ids that go are few, so Spark may find a join that spares the texts a shuffle
+    gone = groups.where("doc <> component").select(F.col("doc").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # shard by shard, each in its own shuffled order; range partitions keep any shard from being one task
+    return mixing.mix(docs).orderBy("mix_shard", "mix_order", "mix_copy").select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return segment.sample(docs)
+
+
+STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("personal_data", personal_data), ("mixing", mixed), ("segmentation", encoded)]
+
+#: Language ID, the estimated classifier and the sampler are no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -123,12 +123,14 @@ def predict(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text",
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or [id_col]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", lang_pred string, score double"
+    # a text that is kept is sent to Python once
+    place = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         k = len(m.languages)
-        for batch in common.slices(batches):
-            text = batch.column(batch.num_columns - 1)
+        for batch in common.slices(batches, place):
+            text = batch.column(place)
             label, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             if k:
                 data, offsets = common.text_bytes(pc.utf8_lower(text))
@@ -143,9 +145,10 @@ def predict(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text",
                 for i in np.flatnonzero(has_letter):
                     label[i] = m.languages[best[i]]
                     score[i] = total[i, best[i]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(label, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(label, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_langid_text")).mapInArrow(run, schema)
+    columns = keep if text_col in keep else [*keep, F.col(text_col).cast("string").alias("_langid_text")]
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -102,14 +102,14 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else n.between(13, 19) & luhn(_digits(value))
 
 
-def candidates(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per document: the id and arrays ``strict_<kind>`` and ``more_<kind>`` of spans; the latter carry votes and features.
+def candidates(docs: DataFrame, *, keep: list[str], text_col="text", with_text: bool = False) -> DataFrame:
+    """The ``keep`` columns as the struct ``_pii_row`` and ``_pii_spans``: candidates with their votes and features.
 
     The contexts are read from the text next to each span, so that no text
-    leaves the scan.
+    leaves the scan unless it is asked for.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("_pii_id"), text.alias("_pii_text"))
+    base = docs.select(F.struct(*keep or [F.lit(0).alias("none")]).alias("_pii_row"), text.alias("_pii_text"))
     for kind in KINDS:
         base = base.withColumn(f"_pii_{kind}", _spans(F.col("_pii_text"), STRICT[kind], F.contains("_pii_text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)))
     for kind in KINDS:
@@ -121,7 +121,7 @@ def candidates(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFram
         failed = F.filter(f"_pii_{kind}", lambda s: ~_valid(kind, s["value"]) & F.length(_digits(s["value"])).between(9, 19))
         known = lambda s, strict: _known(kind, s, F.lit(strict))
         columns.append(F.concat(F.transform(good, lambda s: known(s, True)), F.transform(F.concat(failed, F.col(f"_pii_wide_{kind}")), lambda s: known(s, False))))
-    return base.select("_pii_id", F.concat(*columns).alias("_pii_spans"))
+    return base.select("_pii_row", *["_pii_text"] * with_text, F.concat(*columns).alias("_pii_spans"))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -210,28 +210,39 @@ def classifier(found: DataFrame, posteriors: DataFrame) -> DataFrame:
     )
 
 
-def detect(docs: DataFrame, *, id_col="doc_id", text_col="text", accept=ACCEPT) -> DataFrame:
-    """The id and ``spans``: array<struct<kind, start, end, strict, score>> in order of kind and start."""
-    found = common.checkpoint(candidates(docs, id_col=id_col, text_col=text_col))
-    posteriors = common.checkpoint(estimate(found))
-    # four rows at most: one for each kind
-    forms = classifier(found, posteriors).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("prior", "weights")))).alias("_pii_model"))
-    model = F.col("_pii_model")
+_SPAN = "array<struct<kind:int,start:int,end:int,strict:boolean,score:double>>"
+
+
+def fit(found: DataFrame) -> DataFrame:
+    """The span classifier as one row: a map from each kind to its prior and weights. ``found`` is read twice."""
+    forms = classifier(found, common.checkpoint(estimate(found)))
+    one = forms.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("prior", "weights")))).alias("_pii_model"))
+    return common.checkpoint(one)
+
+
+def decide(found: DataFrame, model: DataFrame, accept=ACCEPT) -> DataFrame:
+    """``found`` with ``_pii_taken``: array<struct<kind, start, end, strict, score>> in order of kind and start."""
 
     def score(s):
-        of = F.try_element_at(model, s["kind"])
+        of = F.try_element_at("_pii_model", s["kind"])
         terms = F.transform(s["features"], lambda f, i: F.coalesce(F.try_element_at(of["weights"], F.concat_ws(":", i, f)), F.lit(0.0)))
         return 1 / (1 + F.exp(-F.aggregate(terms, F.coalesce(of["prior"], F.lit(0.0)), lambda a, t: a + t)))
 
     scored = F.transform("_pii_spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strict"].alias("strict"), score(s).alias("score")))
-    taken = F.filter(scored, lambda s: s["strict"] | (s["score"] >= accept))
-    strict = F.filter(taken, lambda s: s["strict"])
-    more = F.filter(taken, lambda s: ~s["strict"])
+    strict = F.filter("_pii_scored", lambda s: s["strict"])
+    more = F.array_sort(F.filter("_pii_scored", lambda s: ~s["strict"] & (s["score"] >= accept)))
     clear = lambda t, of: ~F.exists(of, lambda o: (o["kind"] == t["kind"]) & (o["start"] < t["end"]) & (t["start"] < o["end"]))
     # of added spans that overlap, the first in order of start stays
-    added = F.aggregate(F.array_sort(more), F.array().cast("array<struct<kind:int,start:int,end:int,strict:boolean,score:double>>"), lambda out, s: F.when(clear(s, out), F.array_append(out, s)).otherwise(out))
-    joined = found.join(F.broadcast(forms), F.lit(True), "left")
-    return joined.select(F.col("_pii_id").alias(id_col), F.array_sort(F.concat(strict, F.filter(added, lambda s: clear(s, strict)))).alias("spans"))
+    free = F.filter(more, lambda s: clear(s, strict))
+    added = F.aggregate(free, F.array().cast(_SPAN), lambda out, s: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["kind"] == s["kind"]) & (F.try_element_at(out, F.lit(-1))["end"] > s["start"]), out).otherwise(F.array_append(out, s)))
+    joined = found.join(F.broadcast(model), F.lit(True), "left")  # the model is one row
+    return joined.withColumn("_pii_scored", scored).withColumn("_pii_taken", F.array_sort(F.concat(strict, added))).drop("_pii_scored", "_pii_spans", "_pii_model")
+
+
+def detect(docs: DataFrame, *, keep: list[str], text_col="text", accept=ACCEPT) -> DataFrame:
+    """The ``keep`` columns and ``spans``: array<struct<kind, start, end, strict, score>> in order of kind and start."""
+    found = common.checkpoint(candidates(docs, keep=keep, text_col=text_col))
+    return decide(found, fit(found), accept).select("_pii_row.*", F.col("_pii_taken").alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -240,23 +251,28 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """All columns of ``docs``, each span's text replaced by its kind in brackets. Ids must be distinct."""
-    spans = detect(docs, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_pii_of"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_pii_found"))
-    names = F.array(*map(F.lit, KINDS))
-    text = F.col(text_col)
+def redact(docs: DataFrame, *, text_col="text", accept=ACCEPT) -> DataFrame:
+    """All columns of ``docs``, each span's text replaced by its kind in brackets; a null text stays null.
+
+    The texts are matched twice, once for the model and once for the result,
+    so that none of them is shuffled.
+    """
+    model = fit(common.checkpoint(candidates(docs, keep=[], text_col=text_col)))
+    found = decide(candidates(docs, keep=docs.columns, text_col=text_col, with_text=True), model, accept)
+    names, text = F.array(*map(F.lit, KINDS)), F.col("_pii_text")
+    spans = F.array_sort(F.transform("_pii_taken", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, s: F.when(
         s["start"] >= a["at"],
         F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]")))).alias("out")),
     ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-    cut = F.transform(F.array(F.aggregate("_pii_found", start, step)), lambda e: F.concat(F.array_join(e["out"], ""), F.substring(text, e["at"] + 1, F.length(text))))[0]
-    joined = docs.join(spans.where(F.size("_pii_found") > 0), F.col(id_col).eqNullSafe(F.col("_pii_of")), "left")
-    return joined.select(*(F.when(F.col("_pii_of").isNull(), text).otherwise(cut).alias(text_col) if c == text_col else F.col(c) for c in docs.columns))
+    cut = F.transform(F.array(F.aggregate(spans, start, step)), lambda e: F.concat(F.array_join(e["out"], ""), F.substring(text, e["at"] + 1, F.length(text))))[0]
+    new = F.when(F.size("_pii_taken") > 0, cut).otherwise(F.col(f"_pii_row.{text_col}"))
+    return found.select(*(new.alias(c) if c == text_col else F.col(f"_pii_row.{c}").alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = detect(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = detect(common.read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     strict = F.filter("spans", lambda s: s["strict"])
     count = lambda k: F.size(F.filter(strict, lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(digest(strict), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))

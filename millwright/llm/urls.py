@@ -32,12 +32,11 @@ def host_of(url: Column) -> Column:
     return F.when(F.length(host) > 0, host)
 
 
-def rules_of(url: Column) -> Column:
+def rules_of(host: Column, part: Column) -> Column:
     """Rules that could apply, the most specific first: host/path, host, then the domains above it, never a top-level one alone."""
-    host, part = host_of(url), F.regexp_extract(url, PATH, 1)
     labels = F.split(host, r"\.")
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.when(host.isNotNull(), F.concat(F.when(F.length(part) > 0, F.array(F.concat(host, F.lit("/"), part))).otherwise(F.array().cast("array<string>")), above))
+    return F.concat(F.when(F.length(part) > 0, F.array(F.concat(host, F.lit("/"), part))).otherwise(F.array().cast("array<string>")), above)
 
 
 def intervals(entries: DataFrame, *, rule_col="rule", day_col="day", action_col="action") -> DataFrame:
@@ -51,14 +50,15 @@ def intervals(entries: DataFrame, *, rule_col="rule", day_col="day", action_col=
 
 def judge(captures: DataFrame, entries: DataFrame, *, url_col="url", day_col="fetched", keep: list[str]) -> DataFrame:
     """The ``keep`` columns with host, the number of active rules, and the most specific one with the day it was listed."""
-    rows = captures.select(*keep, F.col(url_col).alias("_url"), F.col(day_col).cast("date").alias("_day")).withColumn("_row", F.struct(*keep, host_of(F.col("_url")).alias("host")))
-    asked = rows.select("_row", "_day", F.posexplode_outer(rules_of(F.col("_url"))).alias("_place", "rule"))
-    spans = intervals(entries)
+    url = F.col(url_col)
+    rows = captures.select(*keep, F.col(day_col).cast("date").alias("_day"), host_of(url).alias("host"), F.regexp_extract(url, PATH, 1).alias("_part"))
+    key = ["host", "_part", "_day"]
+    # each host, path and day is judged once, whatever the number of its captures
+    asked = rows.where("host is not null and _day is not null").select(*key).distinct().select(*key, F.posexplode(rules_of(F.col("host"), F.col("_part"))).alias("_place", "rule"))
     hit = F.filter("spans", lambda s: (s["since"] <= F.col("_day")) & (s["until"].isNull() | (F.col("_day") < s["until"])))
-    found = asked.join(spans, "rule", "left").withColumn("_hit", F.try_element_at(hit, F.lit(1)))
-    mine = F.when(F.col("_hit").isNotNull(), F.struct("_place", "rule", F.col("_hit.since").alias("since")))
-    best = found.groupBy("_row").agg(F.count(F.col("_hit")).alias("n_active"), F.min(mine).alias("_best"))
-    return best.select("_row.*", "n_active", F.col("_best.rule").alias("rule"), F.col("_best.since").alias("listed"), F.col("_best").isNotNull().alias("blocked"))
+    found = asked.join(intervals(entries), "rule").withColumn("_hit", F.try_element_at(hit, F.lit(1))).where("_hit is not null")
+    best = found.groupBy(*key).agg(F.count("*").alias("n_active"), F.min(F.struct("_place", "rule", F.col("_hit.since").alias("since"))).alias("_best"))
+    return rows.join(best, key, "left").select(*keep, "host", F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"), F.col("_best.rule").alias("rule"), F.col("_best.since").alias("listed"), F.col("_best").isNotNull().alias("blocked"))
 
 
 def _days(text: Column, n: int) -> Column:
@@ -86,7 +86,8 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.struct(F.when(again == 1, F.date_add(start, first + held * 2)).alias("day"), F.lit("add").alias("action")),
     )
     entries = rules.select("rule", F.inline(dated))
-    return judge(captures, entries, keep=["page_id", "fetched"])
+    judged = judge(captures, entries, keep=["page_id", "fetched"])
+    return judged.withColumns({c: F.col(c).cast("string") for c in ("fetched", "listed")})
 
 
 ORACLE_SQL = f"""
@@ -102,5 +103,5 @@ k AS (SELECT page_id, fetched, host, 0 AS place, host || '/' || part AS rule FRO
   UNION ALL SELECT page_id, fetched, host, i, array_to_string(string_split(host, '.')[i:], '.') FROM (SELECT *, unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS i FROM c WHERE host IS NOT NULL)),
 m AS (SELECT k.page_id, k.place, k.rule, e.since FROM k JOIN e ON e.rule = k.rule AND e.since <= k.fetched AND (e.until IS NULL OR k.fetched < e.until)),
 b AS (SELECT page_id, count(*) AS n_active, arg_min(rule, place) AS rule, arg_min(since, place) AS listed FROM m GROUP BY page_id)
-SELECT c.page_id, c.fetched, c.host, coalesce(n_active, 0)::bigint AS n_active, b.rule, b.listed, b.rule IS NOT NULL AS blocked FROM c LEFT JOIN b ON b.page_id = c.page_id
+SELECT c.page_id, c.fetched::varchar AS fetched, c.host, coalesce(n_active, 0)::bigint AS n_active, b.rule, b.listed::varchar AS listed, b.rule IS NOT NULL AS blocked FROM c LEFT JOIN b ON b.page_id = c.page_id
 """
