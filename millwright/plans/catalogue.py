@@ -539,3 +539,31 @@ def ranking_metrics(spark, sf_dir):
 def regression_metrics(spark, sf_dir):
     out = metrics.regression_scores(table(spark, sf_dir, "lineitem"), number(table(spark, sf_dir, "lineitem"), "l_extendedprice"), F.col("l_quantity") * 1000)
     return r6(out, "r2", "mape").withColumns({c: F.round(c, 4) for c in ("rmse", "mae")})
+
+
+# ------------------------------------------------------------------ models and attribution
+
+
+@query(
+    "prepared_features",
+    """WITH s AS (SELECT event_id, value, event_type, ts FROM events), m AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM s), k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM s))
+SELECT event_id, round((value - m) / s, 6) AS value, code::double AS event_type FROM s JOIN k USING (event_type), m""",
+)
+def prepared_features(spark, sf_dir):
+    from millwright.ml import prepare
+
+    events = table(spark, sf_dir, "events").select("event_id", "value", "event_type")
+    plan = prepare.fit(events.drop("event_id"))
+    return r6(prepare.transform(events, plan, keep=["event_id"]), "value")
+
+
+@query("model_predictions")
+def model_predictions(spark, sf_dir):
+    """A quality model over documents' figures, tuned to cost, with its prediction for every labelled document."""
+    from millwright.ml.engine import Engine
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.length("text").alias("length"), (F.length("text") - F.length(F.translate("text", "!", ""))).alias("marks"))
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality").join(docs, "doc_id")
+    engine = Engine(task="classification", time_budget=1, estimators=["linear"]).fit(rows, "quality")
+    engine.optimize_threshold(rows)
+    return engine.predict(rows).select("doc_id", "quality", "prediction")
