@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millwright.functions.session import importable
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -20,14 +22,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 12 << 20
 
 
-#: The folder that the package lies in.
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    # Python workers import this package; where it isn't installed, they find it as the driver did
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -66,6 +62,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffles and checkpoints that nothing refers to any more.
+
+    The cleaner acts when the driver collects its garbage, which a driver with
+    few rows of its own seldom does; iterative algorithms would fill the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -8,15 +8,16 @@ prefixes, are candidates. A pair that reaches the similarity agrees in DEPTH
 minima with probability s ** DEPTH, so with s = 0.8 some tree brings it into one
 region with probability 1 - (1 - 0.8 ** 3) ** 16 > 0.99998.
 
-Three steps find the links, each confirmed on the full sets:
+Candidates are confirmed on the full sets, after a look at the signatures: a
+pair at 0.8 agrees in fewer than AGREE of the HASHES minima with probability
+below 1e-6. Four steps find the links:
 
-1. neighbours in the sorted orders, which join most of every region at once;
-2. in regions of up to CROWD nodes all pairs of nodes that step 1 left in
-   different components;
-3. crowded regions are searched deeper: nodes outside the region's largest
-   component meet all nodes of other components, in blocks, if their
-   signatures agree enough (AGREE: a pair at 0.8 misses that with probability
-   below 1e-7).
+1. next neighbours in the sorted orders of some trees;
+2. several neighbours in all orders, where they lie in different components so
+   far and their signatures look alike; these join most of every region;
+3. in regions of up to CROWD nodes, all pairs in different components;
+4. crowded regions are searched deeper: nodes outside the region's largest
+   component meet all nodes of other components, in blocks.
 
 So no link between different components is lost to a cap, no group is expanded
 into all its pairs, and no group is collected into one task.
@@ -44,10 +45,15 @@ from millwright.llm.graph import components
 
 WORDS, PERCENT = 4, 80
 TREES, DEPTH = 16, 3
-HASHES = TREES * DEPTH
-#: Bytes of each further minimum in a tree's sort order, and their number.
-PATH_BYTES, PATH = 2, 12
-CROWD, AGREE, UNIT = 64, 23, 2048
+#: Minima in a signature, of two bytes each; a tree's order starts at its own DEPTH of them and goes on for PATH more.
+HASHES, PATH = 128, 12
+CROWD, UNIT = 64, 1024
+#: Minima that a pair must have in common: z = -5.2 at a similarity of 0.8. And those of likely pairs.
+AGREE, LIKELY = 79, 96
+#: Neighbours that the second step looks at.
+NEAR = 4
+#: Bits of the map of documents with company.
+MARKS = 1 << 23
 _U = np.uint64
 
 
@@ -92,7 +98,7 @@ def shingles(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc, n (set size), two fingerprints of the set, and its signature: HASHES minima of 4 bytes."""
+    """doc, n (set size), two fingerprints of the set, and its signature: HASHES minima of two bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -101,11 +107,12 @@ def signatures(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFram
             every = np.concatenate(sets)
             full = np.flatnonzero(size)
             starts = (np.cumsum(size) - size)[full]
-            minima = np.zeros((len(sets), HASHES), ">u4")
+            minima = np.zeros((len(sets), HASHES), np.uint16)
             prints = np.zeros((2, len(sets)), np.uint64)
             if len(full):
                 for k in range(HASHES):
-                    minima[full, k] = (np.minimum.reduceat(every * _FAMILY[k], starts) >> _U(32)).astype(np.uint32)
+                    # scrambled again, since the smallest values have few distinct first bits
+                    minima[full, k] = (_scramble(np.minimum.reduceat(every * _FAMILY[k], starts)) >> _U(48)).astype(np.uint16)
                 for k in range(2):
                     prints[k, full] = np.add.reduceat(_scramble(every * _MIX[k]), starts)
             packed = pa.array([m.tobytes() for m in minima], pa.binary())
@@ -116,21 +123,41 @@ def signatures(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFram
 
 def forest(nodes: DataFrame) -> DataFrame:
     """(tree, region, path, node, n) of the regions that hold two nodes at least, with the region's size."""
-    width = 4 * DEPTH
-    turned = F.concat(F.substring("sig", 1, 4 * HASHES), F.substring("sig", 1, 4 * HASHES))
-    tree = F.col("tree")
-    path = F.concat(*(F.expr(f"substring(twice, tree * {width} + {width + 1 + 4 * i}, {PATH_BYTES})") for i in range(PATH)))
-    rows = nodes.select("node", "n", turned.alias("twice"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select(tree.cast("byte").alias("tree"), F.xxhash64(F.expr(f"substring(twice, tree * {width} + 1, {width})")).alias("region"), path.alias("path"), "node", "n")
+    width = 2 * DEPTH
+    rows = nodes.select("node", "n", F.concat("sig", "sig").alias("twice"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    region, path = F.expr(f"substring(twice, tree * {width} + 1, {width})"), F.expr(f"substring(twice, tree * {width} + {width + 1}, {2 * PATH})")
+    rows = rows.select(F.col("tree").cast("byte").alias("tree"), F.xxhash64(region).alias("region"), path.alias("path"), "node", "n")
     return rows.withColumn("crowd", F.count("*").over(Window.partitionBy("tree", "region"))).where("crowd > 1")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; only the texts that pairs name are read again and shuffled."""
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of MARKS bits with the ids' hashes. Its size is fixed; it only spares work, and lets strangers through."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(MARKS))
+    rows = ids.select(F.floor(bit / 63).cast("int").alias("word"), (bit % 63).alias("at")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(at as int))")).alias("bits")).toPandas()
+    out = np.zeros(MARKS // 63 + 1, np.int64)
+    out[rows["word"]] = rows["bits"]
+    return out
+
+
+def _sets(docs: DataFrame, company: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, set) of the documents that have company in some region: the only texts read again, and the sets shuffled once."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(company))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingles(batch.column(1))], pa.binary())], ["doc", "set"])
+        for batch in batches:
+            bit = np.asarray(batch.column(1))
+            batch = batch.filter(pa.array(marks.value[bit // 63] >> bit % 63 & 1 > 0))
+            for part in common.slices([batch]):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingles(part.column(2))], pa.binary())], ["doc", "set"])
+
+    ids = F.col(id_col).cast("long")
+    texts = docs.where(ids.isNotNull()).select(ids.alias("doc"), F.pmod(F.xxhash64(ids), F.lit(MARKS)).cast("long").alias("bit"), F.col(text_col).cast("string").alias("_dedup_text"))
+    found = texts.mapInArrow(build, "doc long, set binary")
+    return common.checkpoint(found.join(company.withColumnRenamed("node", "doc"), "doc", "left_semi"))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,65 +171,116 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
-    named = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("_dedup_text"))
-    sets = texts.join(named, "doc", "left_semi").mapInArrow(build, "doc long, set binary")
     joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct()
 
 
-def _sized(pairs: DataFrame) -> DataFrame:
-    """Pairs in order, once each, whose sizes allow the similarity."""
+def _alike(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) in order, once each, whose sizes and signatures allow the similarity."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, HASHES) for i in (2, 3))
+                good = pa.array((x == y).sum(axis=1) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+
     fits = 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
-    return pairs.where((F.col("node") != F.col("node2")) & fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    pairs = pairs.where((F.col("node") != F.col("node2")) & fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(check, "a long, b long")
 
 
 def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of the nodes that have a link to another."""
     trees = common.checkpoint(forest(nodes))
-    order = Window.partitionBy("tree", "region").orderBy("path", "node")
-    next_to = trees.where(f"tree < {TREES // 4}").select("node", "n", F.lead("node").over(order).alias("node2"), F.lead("n").over(order).alias("n2"))
-    found = common.checkpoint(_verify(_sized(next_to), docs, id_col, text_col))
-    joined = components(found)
-    for rest in (_within, _crowded):
-        labelled = trees.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = labelled.withColumn("several", F.min("component").over(Window.partitionBy("tree", "region")) != F.max("component").over(Window.partitionBy("tree", "region")))
-        pairs = common.checkpoint(rest(several.where("several"), nodes))
-        more = common.checkpoint(_verify(pairs, docs, id_col, text_col))
-        found = common.checkpoint(found.unionByName(more))
+    company = common.checkpoint(trees.select("node").distinct())
+    signed = common.checkpoint(nodes.select("node", "sig").join(company, "node", "left_semi"))
+    sets = _sets(docs, company, id_col, text_col)
+    found = joined = None
+    for step in (_next, _near, _within, _crowded):
+        rows = trees.withColumn("component", F.col("node"))
+        if joined is not None:
+            region = Window.partitionBy("tree", "region")
+            rows = trees.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            rows = rows.withColumn("least", F.min("component").over(region)).withColumn("most", F.max("component").over(region)).where("least <> most")
+        more = step(rows, sets) if step is _crowded else _verify(step(rows, signed), sets)
+        found = common.checkpoint(more if found is None else found.unionByName(more))
         joined = components(found)
+        del rows, more
+        common.release(docs.sparkSession)
     return joined
 
 
+def _ahead(rows: DataFrame, distance: int) -> DataFrame:
+    order = Window.partitionBy("tree", "region").orderBy("path", "node")
+    return rows.select("node", "n", "component", *(F.lead(c, distance).over(order).alias(f"{c}2") for c in ("node", "n", "component"))).where("component <> component2")
+
+
+def _next(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    return _alike(_ahead(rows.where(f"tree < {TREES // 4}"), 1), nodes, AGREE)
+
+
+def _near(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    order = Window.partitionBy("tree", "region").orderBy("path", "node")
+    ahead = F.array(*(F.struct(*(F.lead(c, d).over(order).alias(f"{c}2") for c in ("node", "n", "component"))) for d in range(1, NEAR + 1)))
+    pairs = rows.select("node", "n", "component", ahead.alias("ahead")).select("node", "n", "component", F.inline("ahead"))
+    return _alike(pairs.where("component <> component2"), nodes, LIKELY)
+
+
 def _within(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     few = rows.where(F.col("crowd") <= CROWD).select("tree", "region", "node", "n", "component")
     other = few.select("tree", "region", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    return _sized(few.join(other, ["tree", "region"]).where("node < node2 and component <> component2"))
-
-
-def _crowded(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs between a crowded region's smaller components and all other nodes of it, found block by block."""
-    many = rows.where(F.col("crowd") > CROWD).join(nodes.select("node", "sig"), "node")
-    held = many.groupBy("tree", "region", "component").agg(F.count("*").alias("held"))
-    main = held.groupBy("tree", "region").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.ceil(F.max(F.lit(1.0)) * F.sum("held") / UNIT).cast("int").alias("units"))
-    many = many.join(main, ["tree", "region"]).withColumn("unit", F.pmod(F.xxhash64("node"), F.col("units")).cast("int"))
+    return _alike(few.join(other, ["tree", "region"]).where("node < node2 and component <> component2"), nodes, AGREE)
+
+
+def _crowded(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between a crowded region's smaller components and all other nodes of it, found and confirmed block by block.
+
+    A block returns the links that join components it had not joined yet, so it
+    returns fewer rows than it has nodes.
+    """
+    crowded = rows.where(F.col("crowd") > CROWD).select("tree", "region", "node", "component")
+    # regions of different trees that share nodes hold much the same nodes, so they are searched as one
+    grouped = components(crowded.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("tree", "region")).alias("b")))
+    many = crowded.select("node", "component").distinct().join(grouped.withColumnRenamed("component", "crowd"), "node")
+    held = many.groupBy("crowd", "component").agg(F.count("*").alias("held"))
+    main = held.groupBy("crowd").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.ceil(F.sum("held") / UNIT).cast("int").alias("units"))
+    many = many.join(main, "crowd").withColumn("unit", F.pmod(F.xxhash64("node"), F.col("units")).cast("int"))
+    many = many.join(sets.withColumnRenamed("doc", "node"), "node")
     every = F.explode(F.sequence(F.lit(0), F.col("units") - 1))
-    outside = many.where("component <> main").select("tree", "region", F.col("unit").alias("x"), every.alias("y"), "node", "n", "component", "sig")
+    outside = many.where("component <> main").select("crowd", F.col("unit").alias("x"), every.alias("y"), "node", "component", "set")
     # new names on one side keep the two sides of the cogroup apart
-    inside = many.select("tree", "region", every.alias("x"), F.col("unit").alias("y"), "node", "n", "component", "sig").toDF(*(f"r_{c}" for c in outside.columns))
+    inside = many.select("crowd", every.alias("x"), F.col("unit").alias("y"), "node", "component", "set").toDF(*(f"r_{c}" for c in outside.columns))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, of = [], {}
+
+        def root(c: int) -> int:
+            while of.get(c, c) != c:
+                c = of[c]
+            return c
+
         if len(left) and len(right):
-            r = np.frombuffer(b"".join(right["r_sig"]), ">u4").reshape(len(right), -1)
-            rn, rc, names = right["r_n"].to_numpy(), right["r_component"].to_numpy(), right["r_node"].to_numpy()
-            for node, n, component, sig in zip(left["node"], left["n"], left["component"], left["sig"]):
-                near = (r == np.frombuffer(sig, ">u4")).sum(axis=1) >= AGREE
-                near &= (rc != component) & (100 * np.minimum(rn, n) >= PERCENT * np.maximum(rn, n))
-                out += [(min(node, m), max(node, m)) for m in names[near]]
+            each = [np.frombuffer(x, np.uint64) for x in right["r_set"]]
+            size = np.array([len(x) for x in each])
+            known, codes = np.unique(np.concatenate(each), return_inverse=True)
+            starts = np.cumsum(size) - size
+            names, components = right["r_node"].to_numpy(), right["r_component"].to_numpy()
+            for node, component, held in zip(left["node"], left["component"], left["set"]):
+                mine = np.frombuffer(held, np.uint64)
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                mark = np.zeros(len(known), bool)
+                mark[at[known[at] == mine]] = True
+                both = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+                for i in np.flatnonzero((100 * both >= PERCENT * (len(mine) + size - both)) & (components != component)):
+                    one, two = root(component), root(components[i])
+                    if one != two:
+                        of[max(one, two)] = min(one, two)
+                        out.append((min(node, names[i]), max(node, names[i])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    keys = ["tree", "region", "x", "y"]
+    keys = ["crowd", "x", "y"]
     return outside.groupBy(*keys).cogroup(inside.groupBy(*(f"r_{k}" for k in keys))).applyInPandas(meet, "a long, b long").distinct()
 
 
