@@ -472,7 +472,11 @@ class Engine:
         if enforce_security:
             if not manifest.get("sha256"):
                 raise ValueError("The manifest holds no hash.")
-            if _hash(spark, f"{path}/model") != manifest["sha256"]:
+            try:
+                found = _hash(spark, f"{path}/model")
+            except Exception as e:  # a file system may find the change first
+                raise RuntimeError("The stored model cannot be read.") from e
+            if found != manifest["sha256"]:
                 raise RuntimeError("The stored model does not match its hash.")
         out = cls(**{k: manifest[k] for k in ("task", "time_budget", "scale_method", "cost_sensitive_weighting", "collinear_threshold", "estimators", "handle_silent_nulls", "audit_data", "random_state")})
         for k in ("is_anomaly_model", "optimal_threshold", "best_name", "metric", "validation_score", "tuned_on", "anomaly_class", "classes_", "positive", "profile", "candidates", "health", "target", "normal_class"):
