@@ -120,7 +120,9 @@ def candidates(docs: DataFrame, *, keep: list[str], text_col="text", with_text:
         # a strict match that fails its check stays a candidate, if it could be a span at all
         failed = F.filter(f"_pii_{kind}", lambda s: ~_valid(kind, s["value"]) & F.length(_digits(s["value"])).between(9, 19))
         known = lambda s, strict: _known(kind, s, F.lit(strict))
-        columns.append(F.concat(F.transform(good, lambda s: known(s, True)), F.transform(F.concat(failed, F.col(f"_pii_wide_{kind}")), lambda s: known(s, False))))
+        # one place is one candidate, whichever patterns match it
+        wide = F.filter(f"_pii_wide_{kind}", lambda w: ~F.exists(f"_pii_{kind}", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+        columns.append(F.concat(F.transform(good, lambda s: known(s, True)), F.transform(F.concat(failed, wide), lambda s: known(s, False))))
     return base.select("_pii_row", *["_pii_text"] * with_text, F.concat(*columns).alias("_pii_spans"))
 
 
