@@ -250,9 +250,9 @@ def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
 
 
-def _pair_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, x, y) of all pairs of columns, rows with both values known."""
-    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), number(df, a).alias("x"), number(df, b).alias("y")) for a, b in _pairs(columns)))
+def _pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(a, b, x, y) of pairs of columns, rows with both values known."""
+    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), number(df, a).alias("x"), number(df, b).alias("y")) for a, b in pairs))
     return df.select(F.inline(cells)).where("x is not null and y is not null")
 
 
@@ -266,9 +266,25 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson's correlation of average ranks within each pair's complete rows.
 
     Ranks come from the counts of distinct values, so the windows hold distinct
-    values and not rows.
+    values and not rows. Columns without nulls have one rank for all their
+    pairs; only pairs with a null somewhere are ranked pair by pair.
     """
-    rows = _pair_rows(df, columns)
+    known = df.agg(F.count("*").alias("n"), *(F.count(number(df, c)).alias(f"k{i}") for i, c in enumerate(columns))).first()
+    full = [c for i, c in enumerate(columns) if known[f"k{i}"] == known["n"]]
+    parts = [_spearman_pairs(df, [p for p in _pairs(columns) if not set(p) <= set(full)])] if len(full) < len(columns) else []
+    if len(full) > 1:
+        rows = df.select(*(number(df, c).alias(f"x{i}") for i, c in enumerate(full)))
+        for i in range(len(full)):
+            counts = rows.groupBy(f"x{i}").agg(F.count("*").alias("_n"))
+            rank = F.sum("_n").over(Window.orderBy(f"x{i}")) - (F.col("_n") - 1) / 2
+            rows = rows.join(counts.select(F.col(f"x{i}"), rank.alias(f"r{i}")), f"x{i}")
+        found = rows.agg(*(correlation(F.col(f"r{full.index(a)}"), F.col(f"r{full.index(b)}")).alias(f"p{k}") for k, (a, b) in enumerate(_pairs(full))))
+        parts.append(found.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("correlation")) for k, (a, b) in enumerate(_pairs(full)))))))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    rows = _pair_rows(df, pairs)
     for v in ("x", "y"):
         counts = rows.groupBy("a", "b", v).agg(F.count("*").alias("_n"))
         below = F.sum("_n").over(Window.partitionBy("a", "b").orderBy(v))
@@ -287,7 +303,7 @@ def kendall(df: DataFrame, columns: Sequence[str], blocks: int = 8) -> DataFrame
     import numpy as np
     import pandas as pd
 
-    points = _pair_rows(df, columns).groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+    points = _pair_rows(df, _pairs(columns)).groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
     points = points.withColumn("block", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = points.select("a", "b", F.col("block").alias("i"), F.explode(every).alias("j"), "x", "y", "n").where("i <= j")

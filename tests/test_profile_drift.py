@@ -58,6 +58,11 @@ def test_correlations(spark):
     p = pd.DataFrame({"a": a, "b": b})
     assert profile.calculate_correlations(df)["matrix"][0][1] == pytest.approx(p.corr().iloc[0, 1])
     assert profile.calculate_correlations(df, "spearman")["matrix"][0][1] == pytest.approx(p.rank().corr().iloc[0, 1])
+    holes = df.select("b", (F.col("a") * F.col("b")).alias("d"), F.when(F.col("b") != 4, F.col("a")).alias("a"))
+    q = p.assign(d=p["a"] * p["b"], a=p["a"].where(p["b"] != 4))
+    got = {(r["a"], r["b"]): r["correlation"] for r in profile.spearman(holes, ["a", "b", "d"]).collect()}
+    for x, y in (("a", "b"), ("a", "d"), ("b", "d")):
+        assert got[(x, y)] == pytest.approx(q[[x, y]].dropna().rank().corr().iloc[0, 1])
     n = len(a)
     signs = sum(np.sign(a[i] - a[j]) * np.sign(b[i] - b[j]) for i in range(n) for j in range(i))
     ties = lambda v: sum(c * (c - 1) / 2 for c in np.unique(v, return_counts=True)[1])
