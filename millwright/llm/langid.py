@@ -96,10 +96,11 @@ def fit(docs: DataFrame, learn, *, id_col="doc_id", text_col="text", lang_col="l
         weight[list(own), j] = list(own.values())
     start = 1.0 / (np.arange(size) + 50.0)
     probability = np.repeat((start / start.sum())[:, None], k, axis=1)
-    groups = [(index, codes, list(table.edges(codes))) for index, codes in by_length(list(words))]
+    del chosen, counts
     for _ in range(rounds):
         expected = np.zeros((size, k))
-        for index, codes, edges in groups:
+        for index, codes in by_length(list(words)):
+            edges = list(table.edges(codes))  # found again in each round, so that few are held
             alpha = _forward(probability, table, codes, edges)
             beta = np.zeros_like(alpha)
             beta[-1] = 1.0
