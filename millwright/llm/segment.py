@@ -44,7 +44,12 @@ from millwright.llm.lattice import MAX_CHARS, SPACE_MARK, PieceTable, by_length,
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, SMOOTHING = 4, 1, 0.3
 #: Bytes of text in a slice; the lattices of its distinct chunks are held together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Chunks whose lattices are kept from slice to slice.
+HELD = 30_000
+#: Chunks up to this length have at most 2 ** (SHORT - 1) segmentations, which are listed.
+SHORT = 7
+_LISTED_JUMPS = [1 << i for i in reversed(range(SHORT - 1))]
 _U = np.uint64
 _A, _B, _C, _D = (_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 #: A code that no text has, for a space mark in the text itself, which must not become a space.
@@ -84,22 +89,51 @@ def weights(pieces: list[str], smoothing: float = SMOOTHING) -> np.ndarray:
 
 
 class Lattices:
-    """Conditional edge probabilities of many chunks in one flat array.
-
-    The edges of chunk c that start at position s lie at ``base[c] + s *
-    width[c] + length - 1``; ``cdf`` sums them over the length.
+    """The distributions over segmentations of many chunks, in flat arrays.
+
+    New chunks are added in order of length, so those of one length lie together.
+    A chunk of up to SHORT characters has all its segmentations listed: entry m
+    from ``base[c]`` is the one whose inner ends are the bits of m. A longer
+    chunk has its conditional edge probabilities: the edges that start at
+    position s lie at ``base[c] + s * width[c] + length - 1``. ``cdf`` sums the
+    probabilities of a list, or of the edges of one position.
     """
 
-    def __init__(self, chunks: list[str], table: PieceTable, logw: np.ndarray):
-        self.chunks = chunks
-        self.n = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        self.width = np.minimum(self.n, table.longest)
-        self.base = np.cumsum(self.n * self.width) - self.n * self.width
-        self.jumps = [1 << i for i in reversed(range(int(table.longest).bit_length()))]
-        total = int((self.n * self.width).sum())
-        self.p = np.zeros(total, np.float32)
-        self.cdf = np.zeros(total, np.float32)
-        w = np.exp(logw)
+    def __init__(self, table: PieceTable, logw: np.ndarray):
+        self.table, self.logw = table, logw
+        self.jumps = [1 << i for i in reversed(range((int(table.longest) - 1).bit_length()))]
+        self.number: dict[str, int] = {}
+        self.chunks: list[str] = []
+        self.n = self.width = self.base = np.zeros(0, np.int64)
+        self.p, self.cdf, self.used = np.zeros(1 << 20, np.float32), np.zeros(1 << 20, np.float32), 0
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of a slice's chunks. Those beyond the first HELD, which hold most of the frequent ones, make room for the next slice's."""
+        for c in self.chunks[HELD:]:
+            del self.number[c]
+        del self.chunks[HELD:]
+        if len(self.n) > HELD:
+            self.used = int(self.base[HELD])
+            self.n, self.width, self.base = self.n[:HELD], self.width[:HELD], self.base[:HELD]
+        new = sorted((c for c in chunks if c not in self.number), key=len)
+        if new:
+            self.number.update(zip(new, range(len(self.chunks), len(self.chunks) + len(new))))
+            self.chunks += new
+            self._add(new)
+        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+
+    def _add(self, chunks: list[str]) -> None:
+        table = self.table
+        n = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        short = n <= SHORT
+        width = np.where(short, np.int64(1) << np.maximum(n - 1, 0), np.minimum(n, table.longest))
+        size = np.where(short, width, n * width)
+        bases = np.cumsum(size) - size + self.used
+        self.used += int(size.sum())
+        if self.used > len(self.p):
+            self.p, self.cdf = (np.concatenate([x, np.zeros(self.used - len(x) + (1 << 19), np.float32)]) for x in (self.p, self.cdf))
+        self.n, self.width, self.base = (np.concatenate(x) for x in ((self.n, n), (self.width, width), (self.base, bases)))
+        w = np.exp(self.logw)
         unknown = len(table.pieces)
         for index, codes in by_length(chunks):
             rows, n = codes.shape
@@ -115,50 +149,79 @@ class Lattices:
                 if length == 1 and (lost := numbers == unknown).any():
                     c = codes[at[lost], start]
                     c = np.where(c == _LITERAL_MARK, _U(ord(SPACE_MARK)), c)
-                    x[lost] = np.exp(logw[-1] * (1.0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
+                    x[lost] = np.exp(self.logw[-1] * (1.0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
                 x = x * 64.0**length * beta[start + length, at]
                 beta[start, at] += x
                 value.append(x)
-            dense = np.zeros((rows, n, width))
+            # positions first: each edge then fills a column
+            dense = np.zeros((n, width, rows), np.float32)
             for (start, length, at, _), x in zip(reversed(edges), value):
-                dense[at, start, length - 1] = x / beta[start, at]
-            to = self.base[index][:, None] + np.arange(n * width)
-            self.p[to] = dense.reshape(rows, -1)
-            cdf = np.cumsum(dense, axis=2)
-            self.cdf[to] = (cdf / cdf[:, :, -1:]).reshape(rows, -1)
+                dense[start, length - 1, at] = x / beta[start, at]
+            if n <= SHORT:
+                dense = _listed(dense)[None]
+            first = int(bases[index[0]])
+            last = first + dense.size
+            self.p[first:last] = np.moveaxis(dense, 2, 0).ravel()
+            cdf = np.cumsum(self.p[first:last].reshape(-1, dense.shape[1]), axis=1)
+            cdf /= cdf[:, -1:]
+            self.cdf[first:last] = cdf.ravel()
 
     def sample(self, chunk: np.ndarray, state: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
         """For each chunk the mask of piece ends (bit i: a piece ends after i + 1 characters) and the log-probability."""
         mask, p = np.zeros(len(chunk), np.uint64), np.ones(len(chunk))
-        live = np.arange(len(chunk))
-        at = np.zeros(len(chunk), np.int64)
-        n, width, row = self.n[chunk], self.width[chunk], self.base[chunk]
+        listed = self.n[chunk] <= SHORT
+        some = np.flatnonzero(listed)
+        if len(some):
+            c = chunk[some]
+            base, n = self.base[c], self.n[c]
+            at = self._pick(base, self.width[c], _uniform(state[some], step * 64).astype(np.float32), _LISTED_JUMPS)
+            mask[some] = (at - base).astype(np.uint64) | _U(1) << (n - 1).astype(np.uint64)
+            p[some] = self.p[at]
+        live = np.flatnonzero(~listed)
+        at = np.zeros(len(live), np.int64)
+        n, width, row, state = self.n[chunk[live]], self.width[chunk[live]], self.base[chunk[live]], state[live]
         turn = 0
         while len(live):
-            u = _uniform(state, step * 64 + turn).astype(np.float32)
-            last = row + width - 1
-            to = row.copy()
-            for jump in self.jumps:
-                to += jump * (self.cdf[np.minimum(to + (jump - 1), last)] < u)
+            to = self._pick(row, width, _uniform(state, step * 64 + turn).astype(np.float32), self.jumps)
             at = at + (to - row) + 1
             mask[live] |= _U(1) << (at - 1).astype(np.uint64)
             p[live] *= self.p[to]
             go = np.flatnonzero(at < n)
+            row = row[go] + width[go] * (to[go] - row[go] + 1)
             live, at, n, width, state = live[go], at[go], n[go], width[go], state[go]
-            row = self.base[chunk[live]] + at * width
             turn += 1
         return mask, np.log(p)
 
-    def probability(self, chunk: int, lengths: list[int]) -> float:
-        at, out = 0, 1.0
-        for length in lengths:
-            out *= float(self.p[self.base[chunk] + at * self.width[chunk] + length - 1])
-            at += length
-        return out
+    def _pick(self, row: np.ndarray, width: np.ndarray, u: np.ndarray, jumps: list[int]) -> np.ndarray:
+        """The first place from ``row`` whose cdf reaches u, by binary search of all rows at once."""
+        last = row + width - 1
+        to = row.copy()
+        for jump in jumps:
+            to += jump * (self.cdf[np.minimum(to + (jump - 1), last)] < u)
+        return to
+
+    def probability(self, chunk: int, mask: int) -> float:
+        n = int(self.n[chunk])
+        if n <= SHORT:
+            return float(self.p[self.base[chunk] + (mask & (1 << (n - 1)) - 1)])
+        return self._rest(chunk, 0, lengths_of(mask))
 
     def other(self, chunk: int, taken: list[int], state: int, step: int) -> tuple[int, float]:
         """Mask and log-probability of a segmentation of one chunk that is none of those taken (as masks)."""
         n, width, base = int(self.n[chunk]), int(self.width[chunk]), int(self.base[chunk])
+        if n <= SHORT:
+            top = 1 << (n - 1)
+            mass = self.p[base : base + width].tolist()
+            for m in taken:
+                mass[m & top - 1] = 0.0
+            left, found = _draw(state, step) * sum(mass), -1
+            for i, m in enumerate(mass):
+                if m:
+                    found = i
+                    left -= m
+                    if left <= 0:
+                        break
+            return (found | top, math.log(mass[found])) if found >= 0 else (-1, -np.inf)
         open_ = [lengths_of(m) for m in taken]
         at, mask, logp = 0, 0, 0.0
         while at < n:
@@ -192,6 +255,25 @@ class Lattices:
         return out
 
 
+def _listed(dense: np.ndarray) -> np.ndarray:
+    """Probability of every segmentation of equally long strings, by the bits of its inner ends.
+
+    Suffixes are built from the end: those from one position, by their inner
+    ends, are each a first piece before a shorter suffix.
+    """
+    n, _, rows = dense.shape
+    # suffix[s][m]: probability of the rest from s, whose inner ends are the bits of m relative to s
+    suffix: dict[int, np.ndarray] = {n: np.ones((1, rows), np.float32)}
+    for s in reversed(range(n)):
+        out = np.empty((1 << (n - s - 1), rows), np.float32)
+        out[0] = dense[s, n - s - 1]
+        for length in range(1, n - s):
+            # a piece ends after ``length`` characters and nowhere before
+            out[1 << (length - 1) :: 1 << length] = dense[s, length - 1] * suffix[s + length]
+        suffix[s] = out
+    return suffix[0]
+
+
 def lengths_of(mask: int) -> list[int]:
     """Lengths of the pieces of a mask of ends."""
     out, last, mask = [], 0, int(mask)
@@ -267,9 +349,13 @@ def _keys(logp: np.ndarray, offsets: np.ndarray, bound: np.ndarray, u: np.ndarra
 class Paths:
     """The samples of all texts of a slice, found step by step."""
 
-    def __init__(self, column: pa.Array, keys: list[str], table: PieceTable, logw: np.ndarray, samples: int, seed: int):
-        self.chunks, self.order, self.offsets = chunked(column)
-        self.lattices = Lattices(self.chunks, table, logw)
+    def __init__(self, column: pa.Array, keys: list[str], lattices: Lattices, samples: int, seed: int):
+        chunks, order, self.offsets = chunked(column)
+        self.lattices = lattices
+        numbers = lattices.numbers(chunks)
+        self.order, self.chunks = numbers[order] if len(order) else order, lattices.chunks
+        # the distinct chunks of this slice, for what is computed once for each
+        self.own, self.own_order = chunks, order
         texts = len(keys)
         key = np.fromiter((xxhash.xxh3_64_intdigest(k, seed=seed) for k in keys), np.uint64, texts)
         size = np.diff(self.offsets)
@@ -320,7 +406,7 @@ class Paths:
                 continue
             first[i], start_mask[i], start_logp[i], before[i] = place, new, lp, prefix[a]
             used.append(new)
-            left = 1.0 - sum(self.lattices.probability(chunk, lengths_of(m)) for m in used)
+            left = 1.0 - sum(self.lattices.probability(chunk, m) for m in used)
             if left < 1e-6:
                 value[a] = -np.inf
             else:
@@ -396,19 +482,20 @@ def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", sample int, n_chunks long, n_pieces long, log_prob double, perturbed double, inclusion double, digest long" + ", pieces array<string>" * pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, logw = shared.value
-        known = set(table.pieces) if pieces else set()
+        lattices = Lattices(*shared.value)
+        known = set(lattices.table.pieces) if pieces else set()
         for whole in batches:
             for batch in _cut(whole):
-                paths = Paths(batch.column(batch.num_columns - 1), [k or "" for k in batch.column(batch.num_columns - 2).to_pylist()], table, logw, samples, seed)
-                code = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in paths.chunks), np.uint64, len(paths.chunks))
+                paths = Paths(batch.column(batch.num_columns - 1), [k or "" for k in batch.column(batch.num_columns - 2).to_pylist()], lattices, samples, seed)
+                code = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in paths.own), np.uint64, len(paths.own))
+                code = code[paths.own_order] if len(code) else np.zeros(0, np.uint64)
                 size = np.diff(paths.offsets)
                 for j, texts, mask, logp, perturbed in paths.masks():
                     count = common.sum_by_text(np.bitwise_count(mask), paths.offsets)[texts].astype(np.int64)
                     digest = np.zeros(len(size), np.uint64)
                     full = np.flatnonzero(size)
                     if len(full):
-                        digest[full] = np.add.reduceat(_mix(code[paths.order] ^ (mask * _A) + paths.place.astype(np.uint64) * _D), paths.offsets[full])
+                        digest[full] = np.add.reduceat(_mix(code ^ (mask * _A) + paths.place.astype(np.uint64) * _D), paths.offsets[full])
                     with np.errstate(over="ignore"):
                         inclusion = -np.expm1(-np.exp(np.minimum(logp - paths.threshold[texts], 700)))
                     rows = pa.array(texts)

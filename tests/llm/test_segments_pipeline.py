@@ -41,7 +41,7 @@ def all_segmentations(text):
 @pytest.mark.parametrize("text", ["to be", "abcdefghij", "é▁☃"])
 def test_samples_follow_the_law_without_replacement(text):
     law, n, k = all_segmentations(text), 6000, 3
-    paths = segment.Paths(pa.array([text] * n), [str(i) for i in range(n)], TABLE, WEIGHTS, k, 1)
+    paths = segment.Paths(pa.array([text] * n), [str(i) for i in range(n)], segment.Lattices(TABLE, WEIGHTS), k, 1)
     drawn = {}
     for _, texts, mask, logp, perturbed in paths.masks():
         rows = mask.reshape(n, -1)
