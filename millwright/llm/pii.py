@@ -114,14 +114,18 @@ def candidates(docs: DataFrame, *, keep: list[str], text_col="text", with_text:
         base = base.withColumn(f"_pii_{kind}", _spans(F.col("_pii_text"), STRICT[kind], F.contains("_pii_text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)))
     for kind in KINDS:
         base = base.withColumn(f"_pii_wide_{kind}", _spans(F.col("_pii_text"), WIDE[kind], F.col("_pii_text").rlike(WIDE_NEEDS[kind])))
-    columns = []
     for kind in KINDS:
-        good = F.filter(f"_pii_{kind}", lambda s: _valid(kind, s["value"]))
+        base = base.withColumn(f"_pii_good_{kind}", F.filter(f"_pii_{kind}", lambda s: _valid(kind, s["value"])))
         # a strict match that fails its check stays a candidate, if it could be a span at all
-        failed = F.filter(f"_pii_{kind}", lambda s: ~_valid(kind, s["value"]) & F.length(_digits(s["value"])).between(9, 19))
+        base = base.withColumn(f"_pii_failed_{kind}", F.filter(f"_pii_{kind}", lambda s: ~_valid(kind, s["value"]) & F.length(_digits(s["value"])).between(9, 19)))
+    columns = []
+    for kind in KINDS:
+        good, failed = F.col(f"_pii_good_{kind}"), F.col(f"_pii_failed_{kind}")
         known = lambda s, strict: _known(kind, s, F.lit(strict))
-        # one place is one candidate, whichever patterns match it
-        wide = F.filter(f"_pii_wide_{kind}", lambda w: ~F.exists(f"_pii_{kind}", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+        # one place is one candidate, whichever patterns match it; a failed strict match hides no narrower one inside it
+        overlaps = lambda w: F.exists(good, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+        same = lambda w: F.exists(failed, lambda s: (s["start"] == w["start"]) & (s["end"] == w["end"]))
+        wide = F.filter(f"_pii_wide_{kind}", lambda w: ~overlaps(w) & ~same(w))
         columns.append(F.concat(F.transform(good, lambda s: known(s, True)), F.transform(F.concat(failed, wide), lambda s: known(s, False))))
     return base.select("_pii_row", *["_pii_text"] * with_text, F.concat(*columns).alias("_pii_spans"))
 

@@ -224,6 +224,19 @@ def test_reliability_is_learned_and_spans_are_added(spark):
     assert pii.detect(df.limit(0), keep=["doc_id"]).count() == 0 and pii.redact(df.limit(0)).count() == 0
 
 
+def test_cards_inside_a_longer_run_of_digits_are_found(spark):
+    rows = [(i, f"my card number 4111-1111-1111-1111 is listed {i}") for i in range(200)]
+    rows += [(1000, "card 4111 1111 1111 1111 5500 0000 0000 0004"), (1001, "card 4111 1111 1111 1111 05 27 end"), (1002, "card 4111-1111-1111-1111 123")]
+    rows += [(2000 + i, f"card 4111/1111/1111/{i:04d} pay") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r[0]["doc_id"]: [(s["start"], s["end"]) for s in r[1] if s["kind"] == 2] for r in pii.candidates(df, keep=["doc_id"]).collect()}
+    assert found[1000] == [(5, 24), (25, 44)] and found[1001] == [(5, 24)] and (5, 24) in found[1002] and len(found[0]) == 1
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 2] for r in pii.detect(df, keep=["doc_id"]).collect()}
+    assert spans[1000] == [(5, 24), (25, 44)] and spans[1001] == spans[1002] == [(5, 24)]
+    text = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert text[1000] == "card [card] [card]" and text[1001] == "card [card] 05 27 end" and text[1002] == "card [card] 123"
+
+
 def test_language_model_counts_and_normalises(spark, odd):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(40)]
