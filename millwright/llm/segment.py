@@ -32,6 +32,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -470,11 +471,51 @@ def spelled(chunk: str, mask: int, known: set[str]) -> list[str]:
     return out
 
 
+class Speller:
+    """The pieces of many chunks at once, as numbers: a vocabulary piece's rank, and behind those the 256 bytes."""
+
+    def __init__(self, pieces: list[str]):
+        self.rank = {p: i for i, p in enumerate(pieces)}
+        #: numbers of what stands between two ends of a chunk; no text has more of them than pieces and single characters
+        self.seen: dict[str, tuple[int, ...]] = {}
+        names = pieces + [f"<0x{b:02X}>" for b in range(256)]
+        self.names = pa.array(names, pa.string())
+        self.code = np.fromiter((xxhash.xxh3_64_intdigest(n) for n in names), np.uint64, len(names))
+
+    def _numbers(self, piece: str) -> tuple[int, ...]:
+        found = self.seen.get(piece)
+        if found is None:
+            rank = None if SPACE_MARK in piece else self.rank.get(piece.replace(" ", SPACE_MARK))
+            found = self.seen[piece] = (rank,) if rank is not None else tuple(len(self.rank) + b for b in piece.encode("utf-8", "surrogatepass"))
+        return found
+
+    def spell(self, chunks: list[str], order: np.ndarray, mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of all texts one after the other, and piece offsets by text. Each distinct pair of chunk and mask is cut once."""
+        if not len(order):
+            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        masks, masks_found = pd.factorize(mask)
+        pair, pairs = pd.factorize(order << np.int64(32) | masks)
+        of, masks = pairs >> np.int64(32), masks_found[pairs & np.int64(0xFFFFFFFF)]
+        bits = np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        row, end = np.nonzero(bits)
+        end += 1
+        begin = np.concatenate([[0], end[:-1]])
+        begin[np.flatnonzero(np.diff(row, prepend=-1))] = 0
+        cut = [self._numbers(chunks[c][a:b]) for c, a, b in zip(of[row].tolist(), begin.tolist(), end.tolist())]
+        each = np.fromiter(map(len, cut), np.int64, len(cut))
+        numbers = np.fromiter((n for c in cut for n in c), np.int64, int(each.sum()))
+        size = np.bincount(row, weights=each, minlength=len(pairs)).astype(np.int64)
+        first = np.cumsum(size) - size
+        times = size[pair]
+        ends = np.concatenate([[0], np.cumsum(times)])
+        return numbers[np.repeat(first[pair] - ends[:-1], times) + np.arange(ends[-1])], ends[offsets]
+
+
 def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str] | None = None, samples=SAMPLES, seed=SEED, model_file=MODEL_FILE, pieces: bool = False) -> DataFrame:
     """One row for each text and sampled segmentation, in descending perturbed order.
 
     sample (from 1), n_chunks, n_pieces, log_prob, perturbed, inclusion, a
-    64-bit digest of the segmentation, and with ``pieces`` the pieces.
+    64-bit digest of the pieces in order, and with ``pieces`` the pieces.
     """
     keep = keep or [id_col]
     names = load_pieces(model_file)
@@ -483,26 +524,29 @@ def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(*shared.value)
-        known = set(lattices.table.pieces) if pieces else set()
+        speller = Speller(lattices.table.pieces)
         for whole in batches:
             for batch in _cut(whole):
                 paths = Paths(batch.column(batch.num_columns - 1), [k or "" for k in batch.column(batch.num_columns - 2).to_pylist()], lattices, samples, seed)
-                code = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in paths.own), np.uint64, len(paths.own))
-                code = code[paths.own_order] if len(code) else np.zeros(0, np.uint64)
                 size = np.diff(paths.offsets)
                 for j, texts, mask, logp, perturbed in paths.masks():
-                    count = common.sum_by_text(np.bitwise_count(mask), paths.offsets)[texts].astype(np.int64)
-                    digest = np.zeros(len(size), np.uint64)
-                    full = np.flatnonzero(size)
+                    here = np.zeros(len(size), bool)
+                    here[texts] = True
+                    of = np.repeat(here, size)
+                    numbers, ends = speller.spell(paths.own, paths.own_order[of], mask[of], np.concatenate([[0], np.cumsum(size[texts])]))
+                    count = np.diff(ends)
+                    digest = np.zeros(len(texts), np.uint64)
+                    full = np.flatnonzero(count)
                     if len(full):
-                        digest[full] = np.add.reduceat(_mix(code ^ (mask * _A) + paths.place.astype(np.uint64) * _D), paths.offsets[full])
+                        place = np.arange(len(numbers)) - np.repeat(ends[:-1], count)
+                        digest[full] = np.add.reduceat(_mix(speller.code[numbers] + place.astype(np.uint64) * _D), ends[full])
                     with np.errstate(over="ignore"):
                         inclusion = -np.expm1(-np.exp(np.minimum(logp - paths.threshold[texts], 700)))
                     rows = pa.array(texts)
                     columns = [c.take(rows) for c in batch.columns[:-2]]
-                    columns += [pa.array(np.full(len(texts), j + 1, np.int32)), pa.array(size[texts]), pa.array(count), pa.array(logp), pa.array(perturbed), pa.array(inclusion), pa.array(digest[texts].view(np.int64))]
+                    columns += [pa.array(np.full(len(texts), j + 1, np.int32)), pa.array(size[texts]), pa.array(count), pa.array(logp), pa.array(perturbed), pa.array(inclusion), pa.array(digest.view(np.int64))]
                     if pieces:
-                        columns.append(pa.array([[p for i in range(paths.offsets[t], paths.offsets[t + 1]) for p in spelled(paths.chunks[paths.order[i]], int(mask[i]), known)] for t in texts], pa.list_(pa.string())))
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), speller.names.take(pa.array(numbers))))
                     yield pa.RecordBatch.from_arrays(columns, [*keep, "sample", "n_chunks", "n_pieces", "log_prob", "perturbed", "inclusion", "digest", *["pieces"] * pieces])
 
     return docs.select(*keep, F.col(id_col).cast("string").alias("_seg_key"), F.col(text_col).cast("string").alias("_seg_text")).mapInArrow(run, schema)
@@ -517,4 +561,4 @@ def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return sample(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sample(common.read(spark, sf_dir, "documents").select("doc_id", "text"), pieces=True)

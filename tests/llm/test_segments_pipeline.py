@@ -82,6 +82,30 @@ def test_round_trip_of_odd_texts(spark):
     assert segment.sample(df.limit(0)).count() == 0
 
 
+def test_speller_equals_spelling_one_by_one():
+    chunks = [" the", "☃𝒳a", "▁x", " a"]
+    order, mask = np.array([0, 1, 2, 0, 3, 1]), np.array([8, 7, 3, 9, 3, 7], np.uint64)
+    speller = segment.Speller(NAMES)
+    numbers, ends = speller.spell(chunks, order, mask, np.array([0, 2, 2, 6]))
+    got = speller.names.take(pa.array(numbers)).to_pylist()
+    want = [segment.spelled(chunks[c], int(m), set(NAMES)) for c, m in zip(order, mask)]
+    assert got == sum(want, []) and ends.tolist() == [0, len(want[0] + want[1]), len(want[0] + want[1]), len(got)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+def test_query_and_stage_write_the_pieces(spark):
+    import corpus_pipeline as pipeline
+
+    texts = {r["doc_id"]: r["text"] or "" for r in common.read(spark, SF, "documents").select("doc_id", "text").collect()}
+    odd = {1: "漢字 ☃𝒳", 2: "plain words", 3: ""}
+    df = spark.createDataFrame(list(odd.items()), "doc_id long, text string")
+    for rows, of in ((segment.query(spark, SF).collect(), texts), (pipeline.encoded(spark, df, SF).collect(), odd)):
+        assert {r["doc_id"] for r in rows} == set(of)
+        for r in rows:
+            assert segment.decode(r["pieces"]) == of[r["doc_id"]] and r["n_pieces"] == len(r["pieces"])
+        assert len({(r["doc_id"], r["digest"]) for r in rows}) == len({(r["doc_id"], tuple(r["pieces"])) for r in rows}) == len(rows)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, name):
