@@ -41,7 +41,10 @@ def rules_of(host: Column, part: Column) -> Column:
 
 def intervals(entries: DataFrame, *, rule_col="rule", day_col="day", action_col="action") -> DataFrame:
     """(rule, spans): one row for each rule with its sorted array of [since, until) intervals; an open end is null."""
-    good = entries.select(F.lower(F.col(rule_col)).alias("rule"), F.col(day_col).cast("date").alias("since"), F.col(action_col).alias("action")).where("rule is not null and since is not null")
+    # hosts have no case, paths have
+    host = F.substring_index(F.col(rule_col), "/", 1)
+    rule = F.concat(F.lower(host), F.col(rule_col).substr(F.length(host) + 1, F.length(rule_col)))
+    good = entries.select(rule.alias("rule"), F.col(day_col).cast("date").alias("since"), F.col(action_col).alias("action")).where("rule is not null and since is not null")
     daily = good.groupBy("rule", "since").agg(F.max(F.when(F.col("action") == "add", 1).otherwise(0)).alias("on"))
     order = Window.partitionBy("rule").orderBy("since")
     spans = daily.withColumn("until", F.lead("since").over(order)).where("on = 1")

@@ -92,6 +92,14 @@ def test_media_columns(spark):
     assert mpegts.mux(df.limit(0), "p", keep=["doc_id"]).count() == 0
 
 
+def test_path_rules_keep_their_case(spark):
+    entries = spark.createDataFrame([("X.org/Wiki", "2024-01-01", "add"), ("Host.ORG", "2024-01-01", "add"), (None, "2024-01-01", "add")], "rule string, day string, action string")
+    rows = ["http://x.org/Wiki/1", "http://X.ORG/Wiki", "http://x.org/wiki/1", "http://host.org/Any"]
+    df = spark.createDataFrame([(i, u, "2024-01-02") for i, u in enumerate(rows)], "id int, url string, fetched string")
+    got = {r["id"]: r["rule"] for r in urls.judge(df, entries, keep=["id"]).collect()}
+    assert got == {0: "x.org/Wiki", 1: "x.org/Wiki", 2: None, 3: "host.org"}
+
+
 def test_list_as_of(spark):
     entries = spark.createDataFrame([("bad.com", "2024-01-10", "add"), ("bad.com", "2024-01-20", "remove"), ("bad.com", "2024-02-01", "add"), ("x.bad.com/news", "2024-01-15", "add"), (None, "2024-01-01", "add"), ("z.com", None, "add"), ("tie.com", "2024-01-01", "add"), ("tie.com", "2024-01-01", "remove")], "rule string, day string, action string")
     days = ["2024-01-09", "2024-01-10", "2024-01-19", "2024-01-20", "2024-02-05"]
