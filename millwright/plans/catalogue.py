@@ -144,7 +144,7 @@ def crow_amsaa(spark, sf_dir):
 @query("weibull_fit")
 def weibull_fit(spark, sf_dir):
     gaps = reliability.failure_intervals(table(spark, sf_dir, "events"), "ts", "user_id", "event_type", ("error",))
-    return reliability.weibull_by_asset(gaps.withColumn("asset", F.col("asset").cast("long")), n_bootstrap=50)
+    return reliability.weibull_by_asset(gaps.withColumn("asset", F.col("asset").cast("long")))
 
 
 @query("weibull_curves", "SELECT round(t, 6) AS t, round(exp(-pow(t / 90.0, 2.4)), 6) AS reliability, round(2.4 / 90.0 * pow(t / 90.0, 1.4), 6) AS hazard, round(2.4 / 90.0 * pow(t / 90.0, 1.4) * exp(-pow(t / 90.0, 2.4)), 6) AS pdf FROM (SELECT i * 225.0::double / 80 AS t FROM range(1, 81) r(i))")
@@ -564,6 +564,6 @@ def model_predictions(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.length("text").alias("length"), (F.length("text") - F.length(F.translate("text", "!", ""))).alias("marks"))
     rows = table(spark, sf_dir, "labels").select("doc_id", "quality").join(docs, "doc_id")
-    engine = Engine(task="classification", time_budget=1, estimators=["linear"]).fit(rows, "quality")
+    engine = Engine(task="classification").fit(rows, "quality")
     engine.optimize_threshold(rows)
     return engine.predict(rows).select("doc_id", "quality", "prediction")

@@ -36,6 +36,19 @@ def test_query_equals_sql(spark, duck, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(found.fetchall(), names)
 
 
+def test_fits_are_registered_with_the_operators_defaults(spark, monkeypatch):
+    from millwright.functions.constants import WEIBULL_BOOTSTRAP
+    from millwright.ml import engine
+    from millwright.operators import reliability
+
+    seen, fit, made = {}, reliability.weibull_by_asset, engine.Engine.__init__
+    monkeypatch.setattr(reliability, "weibull_by_asset", lambda *a, **k: seen.update(k) or fit(*a, **k))
+    monkeypatch.setattr(engine.Engine, "__init__", lambda self, *a, **k: seen.update(k) or made(self, *a, **k))
+    assert catalogue.queries()["weibull_fit"](spark, SF).count() > 0
+    assert catalogue.queries()["model_predictions"](spark, SF).count() > 0
+    assert seen.get("n_bootstrap", WEIBULL_BOOTSTRAP) == WEIBULL_BOOTSTRAP and seen.get("time_budget", 30) == 30 and seen.get("estimators") is None
+
+
 def test_entry_and_unchecked_queries(spark):
     assert catalogue.flagship(spark, SF).count() > 0
     for name in set(catalogue.queries()) - set(catalogue.oracle_sql()):
