@@ -1,6 +1,6 @@
 """MinHash near-duplicates with an LSH forest.
 
-A document's set is its distinct 4-word shingles (see ``shingles``). Documents
+A document's set is its distinct shingles of ``words`` words (see ``shingles``). Documents
 with equal sets are one node. Each of TREES trees sorts the nodes by its own
 order of the signature; nodes whose order agrees in the first DEPTH minima lie
 in one region, and neighbours in the sorted order, which share the longest
@@ -97,12 +97,12 @@ def shingles(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def signatures(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
+def signatures(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = WORDS) -> DataFrame:
     """doc, n (set size), two fingerprints of the set, and its signature: HASHES minima of two bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            sets = shingles(batch.column(1))
+            sets = shingles(batch.column(1), words)
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             every = np.concatenate(sets)
             full = np.flatnonzero(size)
@@ -139,7 +139,7 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, company: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, company: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(doc, set) of the documents that have company in some region: the only texts read again, and the sets shuffled once."""
     marks = docs.sparkSession.sparkContext.broadcast(_marks(company))
 
@@ -148,7 +148,7 @@ def _sets(docs: DataFrame, company: DataFrame, id_col: str, text_col: str) -> Da
             bit = np.asarray(batch.column(1))
             batch = batch.filter(pa.array(marks.value[bit // 63] >> bit % 63 & 1 > 0))
             for part in common.slices([batch]):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingles(part.column(2))], pa.binary())], ["doc", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingles(part.column(2), words)], pa.binary())], ["doc", "set"])
 
     ids = F.col(id_col).cast("long")
     texts = docs.where(ids.isNotNull()).select(ids.alias("doc"), F.pmod(F.xxhash64(ids), F.lit(MARKS)).cast("long").alias("bit"), F.col(text_col).cast("string").alias("_dedup_text"))
@@ -191,12 +191,12 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(check, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
     """(node, component) of the nodes that have a link to another."""
     trees = common.checkpoint(forest(nodes))
     company = common.checkpoint(trees.select("node").distinct())
     signed = common.checkpoint(nodes.select("node", "sig").join(company, "node", "left_semi"))
-    sets = _sets(docs, company, id_col, text_col)
+    sets = _sets(docs, company, id_col, text_col, words)
     found = joined = None
     for step in (_next, _near, _within, _crowded):
         rows = trees.withColumn("component", F.col("node"))
@@ -284,13 +284,13 @@ def _crowded(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return outside.groupBy(*keys).cogroup(inside.groupBy(*(f"r_{k}" for k in keys))).applyInPandas(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = WORDS) -> DataFrame:
     """doc, n, component: each row's set size and the smallest id it is linked with, itself included."""
     docs = docs.select(id_col, text_col)
-    rows = common.checkpoint(signatures(docs, id_col=id_col, text_col=text_col))
+    rows = common.checkpoint(signatures(docs, id_col=id_col, text_col=text_col, words=words))
     same = ["f1", "f2", "n"]
     nodes = common.checkpoint(rows.where("n > 0 and doc is not null").groupBy(*same).agg(F.min("doc").alias("node"), F.first("sig").alias("sig")))
-    joined = links(docs, nodes, id_col, text_col)
+    joined = links(docs, nodes, id_col, text_col, words)
     of = nodes.join(joined, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
     linked = rows.drop("sig").join(of, same, "left")
     return linked.select("doc", "n", F.coalesce("component", "doc").alias("component"))
@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, words=WORDS)
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
 
 

@@ -83,6 +83,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == links(texts)
 
 
+def test_near_duplicates_by_the_number_of_words(spark):
+    words = [f"w{i}" for i in range(98)]
+    # one word changed of 98, and two far apart: linked at four words and at five
+    near = words[:40] + ["x"] + words[41:]
+    far = words[:30] + ["y"] + words[31:60] + ["z"] + words[61:]
+    short, cut = [f"v{i}" for i in range(46)], [f"v{i}" for i in range(46)]
+    cut[20] = "n"  # 39 of 47 four-word shingles are shared, 37 of 47 of five words
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(short)), (5, " ".join(cut))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    four = {r["doc"]: r["component"] for r in dedup.near_duplicates(docs).collect()}
+    assert four == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    five = {r["doc"]: r["component"] for r in dedup.near_duplicates(docs, words=5).collect()}
+    assert five == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     rows = dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
