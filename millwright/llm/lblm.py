@@ -1,14 +1,16 @@
 """LM scoring: a log-bilinear model trained in numpy with noise-contrastive estimation.
 
 Words are counted over all training texts; a word is known by a 64-bit hash of
-its bytes. The CLASSES most frequent words, the end of a text and all other
-words together are the model's vocabulary. The two classes before a token,
+its bytes. The CLASSES most frequent words, the end of a text and subclasses of
+all other words are the model's vocabulary. A word's subclass follows from its
+hash; their number is the square root of that of the other words, up to
+SUBCLASSES, as the normalisers of all pairs are held in memory. The two classes before a token,
 each through its own matrix, predict a vector; its product with a class's
 vector plus a bias is the class's score. Every task trains on all its texts
 from the same start, and the parameters are averaged by the tokens they saw.
 One batched matrix product per pair of classes gives the exact normaliser of
-all contexts, so token probabilities are normalised. A word of the shared
-class is given its share of that class by its smoothed count.
+all contexts, so token probabilities are normalised. A word of a subclass is
+given its share of that subclass by its smoothed count.
 
 A word's count reaches the texts in two ways: the HEAVY most frequent words are
 broadcast (a fixed number), the others are joined by hash, where no key is hot
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from millwright.llm import common
 
-CLASSES, HEAVY = 1000, 1 << 17
+CLASSES, SUBCLASSES, HEAVY = 1000, 3000, 1 << 17
 WIDTH, BATCH, NOISE, RATIO, RATE = 16, 8192, 96, 16, 0.15
 #: Smoothing of the base model.
 ALPHA = 0.1
@@ -63,26 +65,31 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    #: hashes of the heavy words in order, their counts, and their class (or the shared one)
+    #: hashes of the heavy words in order, their counts, and their class
     words: np.ndarray
     counts: np.ndarray
     classes: np.ndarray
-    #: tokens of training with and without ends, distinct words, tokens and distinct words of the shared class
+    #: tokens of training with and without ends, distinct words, tokens and distinct words of each subclass
     texts: int
     tokens: int
     distinct: int
-    other_tokens: int
-    other_distinct: int
-    #: probability of each class: words, end, other
+    other_tokens: np.ndarray
+    other_distinct: np.ndarray
+    #: probability of each class: words, end, subclasses
     unigram: np.ndarray
 
+    @property
+    def subclasses(self) -> int:
+        return np.size(self.other_tokens)
+
     @property
     def end(self) -> int:
-        return len(self.unigram) - 2
+        return self.other - 1
 
     @property
     def other(self) -> int:
-        return len(self.unigram) - 1
+        """The first subclass."""
+        return len(self.unigram) - self.subclasses
 
     @property
     def begin(self) -> int:
@@ -97,16 +104,21 @@ class Vocabulary:
 
     def class_of(self, names: np.ndarray) -> np.ndarray:
         at, there = self.find(names)
-        return np.where(there, self.classes[at], self.other) if len(self.words) else np.full(len(names), self.other)
+        rest = self.other + names % self.subclasses
+        return np.where(there, self.classes[at], rest) if len(self.words) else rest
 
     def base(self, n):
         """Base log10-probability of a token with count n; V counts the end if any text was learned."""
         v = self.distinct + (self.texts > 0)
         return np.log10((n + ALPHA) / (self.tokens + ALPHA * (v + 1)))
 
-    def share(self, n):
-        """log10 of a word's part of the shared class."""
-        return np.log10((n + ALPHA) / (self.other_tokens + ALPHA * (self.other_distinct + 1)))
+    def whole(self) -> np.ndarray:
+        """Smoothed count of each subclass."""
+        return np.atleast_1d(self.other_tokens + ALPHA * (self.other_distinct + 1))
+
+    def share(self, n, subclass):
+        """log10 of a word's part of its subclass."""
+        return np.log10((n + ALPHA) / self.whole()[subclass])
 
 
 def vocabulary(counts: DataFrame, texts: int, classes: int = CLASSES, heavy: int = HEAVY) -> Vocabulary:
@@ -117,8 +129,16 @@ def vocabulary(counts: DataFrame, texts: int, classes: int = CLASSES, heavy: int
     order = np.argsort(names)
     rank = np.arange(len(names))[order]
     words = int(total["n"] or 0)
-    weight = np.concatenate([n[:k], [texts, words - n[:k].sum()]]) + 0.5
-    return Vocabulary(names[order], n[order], np.where(rank < k, rank, k + 1), texts, words + texts, int(total["v"]), int(words - n[:k].sum()), int(total["v"]) - k, weight / weight.sum())
+    subs = min(SUBCLASSES, max(1, int(np.ceil(np.sqrt(int(total["v"]) - k)))))
+    # all words of each subclass, less the words with a class of their own
+    found = counts.groupBy(F.pmod("word", F.lit(subs)).cast("int").alias("sub")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
+    tokens, distinct = np.zeros(subs, np.int64), np.zeros(subs, np.int64)
+    tokens[found["sub"].to_numpy(np.int64)], distinct[found["sub"].to_numpy(np.int64)] = found["n"], found["v"]
+    np.subtract.at(tokens, names[:k] % subs, n[:k])
+    np.subtract.at(distinct, names[:k] % subs, 1)
+    weight = np.concatenate([n[:k], [texts], tokens]) + 0.5
+    kinds = np.where(rank < k, rank, k + 1 + names[order] % subs)
+    return Vocabulary(names[order], n[order], kinds, texts, words + texts, int(total["v"]), tokens, distinct, weight / weight.sum())
 
 
 def sequence(classes: np.ndarray, per_text: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,7 +307,7 @@ def score(docs: DataFrame, learn: Column, *, id_col="doc_id", text_col="text") -
             ends = per_text + np.arange(len(per_text))
             model = common.sum_by_text(logs, ends)
             # what is known here of the counts; the rest is joined
-            model += common.sum_by_text(np.where(there & (kind == v.other), v.share(n), 0.0)[order], per_text)
+            model += common.sum_by_text(np.where(there & (kind >= v.other), v.share(n, np.maximum(kind - v.other, 0)), 0.0)[order], per_text)
             base = common.sum_by_text(np.where(there, v.base(n), 0.0)[order], per_text) + v.base(v.texts)
             known = common.sum_by_text((there & (n > 0))[order], per_text) + (v.texts > 0)
             rare = np.flatnonzero(~there[order])
@@ -309,7 +329,9 @@ def score(docs: DataFrame, learn: Column, *, id_col="doc_id", text_col="text") -
     n = F.coalesce("n", F.lit(0))
     vv = v.distinct + (v.texts > 0)
     base = F.log10((n + ALPHA) / (v.tokens + ALPHA * (vv + 1)))
-    share = F.log10((n + ALPHA) / (v.other_tokens + ALPHA * (v.other_distinct + 1)))
+    share = F.log10((n + ALPHA) / F.col("whole"))
+    whole = spark.createDataFrame(list(enumerate(v.whole().tolist())), "sub int, whole double")
+    rare = rare.join(F.broadcast(whole), F.pmod("word", F.lit(v.subclasses)).cast("int") == F.col("sub"))
     found = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * base).alias("base2"), F.sum(F.col("times") * share).alias("model2"))
     out = rows.drop("words", "times").join(found, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -278,6 +278,20 @@ def test_language_model_counts_and_normalises(spark, odd):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in nothing)
 
 
+def test_rare_words_fall_into_subclasses_that_grow(spark):
+    made = lambda n: spark.createDataFrame([(int(i) * 7919 - 3000, 5 if i < 10 else 1) for i in range(n)], "word long, n long")
+    few, many = lblm.vocabulary(made(110), 3, classes=10, heavy=60), lblm.vocabulary(made(910), 3, classes=10, heavy=60)
+    assert (few.subclasses, many.subclasses) == (10, 30)
+    names = np.array([i * 7919 - 3000 for i in range(910)])
+    kind = many.class_of(names)
+    assert len(set(kind[10:])) > 15 and kind[10:].min() >= many.other and many.end == 10 and len(many.unigram) == 41
+    assert many.other_tokens.sum() == many.other_distinct.sum() == 900 and many.unigram.sum() == pytest.approx(1)
+    # the words of each subclass share it wholly, but for the part of unseen ones
+    for c in set(kind[10:]):
+        own = (kind == c).sum()
+        assert own * 10 ** many.share(1, c - many.other) == pytest.approx(1.1 * own / (own + 0.1 * (own + 1)))
+
+
 def test_normalisers_and_training_improve_on_unigrams(spark):
     rng = np.random.default_rng(6)
     v = lblm.Vocabulary(np.arange(8), np.full(8, 100), np.arange(8), 50, 850, 8, 0, 0, np.append(np.full(8, 100.0), [50, 0.5]) / 850.5)
