@@ -78,6 +78,16 @@ class PieceTable:
                     yield start, length, rows, numbers
 
 
+    @staticmethod
+    def sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums and powers of a long string: (sums[b] - sums[a]) * powers[b] is the hash of its part from a to b."""
+        back = np.uint64(pow(int(_STEP), -1, 1 << 64))
+        one = np.ones(1, np.uint64)
+        powers = np.concatenate([one, np.cumprod(np.full(len(codes), _STEP))])
+        backs = np.concatenate([one, np.cumprod(np.full(len(codes), back))])
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + one) * backs[:-1])]), powers
+
+
 def _hash(piece: str) -> int:
     key = 0
     for c in piece:
@@ -104,11 +114,25 @@ def runs(word: str) -> list[str]:
     return [word[i : i + MAX_CHARS] for i in range(0, len(word), MAX_CHARS)] if len(word) > MAX_CHARS else [word]
 
 
+def _ordinary(model) -> list[int]:
+    """Ids of the ordinary pieces in order of their rank; control, unknown and byte pieces are left out."""
+    keep = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
+    return sorted(keep, key=lambda i: (-model.get_score(i), i))
+
+
 def load_pieces(model_file: str) -> list[str]:
-    """Ordinary pieces of a SentencePiece file in order of their rank; control, unknown and byte pieces are left out."""
+    """Ordinary pieces of a SentencePiece file in order of their rank."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    keep = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
-    keep.sort(key=lambda i: (-model.get_score(i), i))
-    return [model.id_to_piece(i) for i in keep]
+    return [model.id_to_piece(i) for i in _ordinary(model)]
+
+
+def piece_ids(model_file: str) -> np.ndarray:
+    """The file's ids of the pieces of ``load_pieces`` and, behind them, of the 256 bytes; bytes that the file lacks follow its last id."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    size = model.get_piece_size()
+    own = {model.id_to_piece(i): i for i in range(size) if model.is_byte(i)}
+    return np.array(_ordinary(model) + [own.get(f"<0x{b:02X}>", size + b) for b in range(256)])

@@ -28,6 +28,7 @@ loss. An empty table gives an empty result. Only the columns asked for are read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -40,12 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.llm import common
-from millwright.llm.lattice import MAX_CHARS, SPACE_MARK, PieceTable, by_length, load_pieces, runs
+from millwright.llm.lattice import MAX_CHARS, SPACE_MARK, PieceTable, by_length, load_pieces, piece_ids, runs
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, SMOOTHING = 4, 1, 0.3
 #: Bytes of text in a slice; the lattices of its distinct chunks are held together.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 #: Chunks whose lattices are kept from slice to slice.
 HELD = 30_000
 #: Chunks up to this length have at most 2 ** (SHORT - 1) segmentations, which are listed.
@@ -450,14 +451,23 @@ class Paths:
             yield j, f[0], mask, f[3], f[4]
 
 
-def decode(pieces: list[str]) -> str:
-    """The text of a list of pieces, whose space marks stand for spaces; literal marks arrive as bytes."""
+def decode(pieces: list[str] | list[int], model_file: str = MODEL_FILE) -> str:
+    """The text of a list of pieces or of their ids; space marks stand for spaces, literal marks arrive as bytes."""
+    if pieces and not isinstance(pieces[0], str):
+        names = _names_by_id(model_file)
+        pieces = [names[i] for i in pieces]
     text = bytearray()
     for p in pieces:
         text += bytes([int(p[3:5], 16)]) if len(p) == 6 and p.startswith("<0x") and p.endswith(">") else p.replace(SPACE_MARK, " ").encode("utf-8", "surrogatepass")
     return bytes(text[1:]).decode("utf-8", "surrogatepass")
 
 
+@functools.cache
+def _names_by_id(model_file: str) -> dict[int, str]:
+    names = load_pieces(model_file)
+    return dict(zip(piece_ids(model_file).tolist(), names + [f"<0x{b:02X}>" for b in range(256)]))
+
+
 def spelled(chunk: str, mask: int, known: set[str]) -> list[str]:
     out, at = [], 0
     for length in lengths_of(mask):
@@ -474,66 +484,99 @@ def spelled(chunk: str, mask: int, known: set[str]) -> list[str]:
 class Speller:
     """The pieces of many chunks at once, as numbers: a vocabulary piece's rank, and behind those the 256 bytes."""
 
-    def __init__(self, pieces: list[str]):
-        self.rank = {p: i for i, p in enumerate(pieces)}
-        #: numbers of what stands between two ends of a chunk; no text has more of them than pieces and single characters
-        self.seen: dict[str, tuple[int, ...]] = {}
+    def __init__(self, pieces: list[str], table: PieceTable | None = None):
+        self.table = table or PieceTable.of(pieces)
         names = pieces + [f"<0x{b:02X}>" for b in range(256)]
         self.names = pa.array(names, pa.string())
         self.code = np.fromiter((xxhash.xxh3_64_intdigest(n) for n in names), np.uint64, len(names))
+        self.chunks: list[str] | None = None
 
-    def _numbers(self, piece: str) -> tuple[int, ...]:
-        found = self.seen.get(piece)
-        if found is None:
-            rank = None if SPACE_MARK in piece else self.rank.get(piece.replace(" ", SPACE_MARK))
-            found = self.seen[piece] = (rank,) if rank is not None else tuple(len(self.rank) + b for b in piece.encode("utf-8", "surrogatepass"))
-        return found
+    def _read(self, chunks: list[str]) -> None:
+        """Code points of all chunks in a row, and sums from which the hash of any part follows."""
+        if chunks is not self.chunks:
+            self.chunks = chunks
+            codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            codes = np.where(codes == ord(SPACE_MARK), _U(_LITERAL_MARK), codes)
+            self.codes = np.where(codes == 0x20, _U(ord(SPACE_MARK)), codes)
+            self.first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))])
+            self.sums, self.powers = self.table.sums(self.codes)
 
     def spell(self, chunks: list[str], order: np.ndarray, mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts one after the other, and piece offsets by text. Each distinct pair of chunk and mask is cut once."""
         if not len(order):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        self._read(chunks)
         masks, masks_found = pd.factorize(mask)
         pair, pairs = pd.factorize(order << np.int64(32) | masks)
         of, masks = pairs >> np.int64(32), masks_found[pairs & np.int64(0xFFFFFFFF)]
-        bits = np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        row, end = np.nonzero(bits)
-        end += 1
+        count = np.bitwise_count(masks).astype(np.int64)
+        row, start = np.repeat(np.arange(len(masks)), count), np.cumsum(count) - count
+        end = np.empty(len(row), np.int64)
+        for some, width in ((masks < _U(1 << 16), 2), (masks >= _U(1 << 16), 8)):
+            own = count[some]
+            bits = np.unpackbits(masks[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width], axis=1, bitorder="little")
+            end[np.repeat(start[some] - np.cumsum(own) + own, own) + np.arange(own.sum())] = np.nonzero(bits)[1] + 1
         begin = np.concatenate([[0], end[:-1]])
         begin[np.flatnonzero(np.diff(row, prepend=-1))] = 0
-        cut = [self._numbers(chunks[c][a:b]) for c, a, b in zip(of[row].tolist(), begin.tolist(), end.tolist())]
-        each = np.fromiter(map(len, cut), np.int64, len(cut))
-        numbers = np.fromiter((n for c in cut for n in c), np.int64, int(each.sum()))
+        at = self.first[of[row]]
+        begin, end = at + begin, at + end
+        known, rank = self.table.find((self.sums[end] - self.sums[begin]) * self.powers[end])
+        cut = np.full(len(row), -1, np.int64)
+        cut[known] = rank
+        numbers, each = self._bytes(cut, begin)
         size = np.bincount(row, weights=each, minlength=len(pairs)).astype(np.int64)
         first = np.cumsum(size) - size
         times = size[pair]
         ends = np.concatenate([[0], np.cumsum(times)])
         return numbers[np.repeat(first[pair] - ends[:-1], times) + np.arange(ends[-1])], ends[offsets]
 
-
-def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str] | None = None, samples=SAMPLES, seed=SEED, model_file=MODEL_FILE, pieces: bool = False) -> DataFrame:
+    def _bytes(self, cut: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers with each character that no piece covers (-1) as its bytes, and how many numbers each entry became."""
+        each = np.ones(len(cut), np.int64)
+        lost = np.flatnonzero(cut < 0)
+        if not len(lost):
+            return cut, each
+        codes = self.codes[begin[lost]]
+        codes = np.where(codes == ord(SPACE_MARK), _U(0x20), codes)
+        codes = np.where(codes == _LITERAL_MARK, _U(ord(SPACE_MARK)), codes)
+        spelled = [bytes(chr(c), "utf-8", "surrogatepass") for c in codes.tolist()]
+        each[lost] = [len(b) for b in spelled]
+        numbers = np.repeat(cut, each)
+        to = np.repeat(np.cumsum(each)[lost] - each[lost], each[lost])
+        inside = np.arange(len(to)) - np.repeat(np.cumsum(each[lost]) - each[lost], each[lost])
+        numbers[to + inside] = len(self.table.pieces) + np.frombuffer(b"".join(spelled), np.uint8).astype(np.int64)
+        return numbers, each
+
+
+def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str] | None = None, samples=SAMPLES, seed=SEED, model_file=MODEL_FILE, pieces: bool | str = False) -> DataFrame:
     """One row for each text and sampled segmentation, in descending perturbed order.
 
     sample (from 1), n_chunks, n_pieces, log_prob, perturbed, inclusion, a
-    64-bit digest of the pieces in order, and with ``pieces`` the pieces.
+    64-bit digest of the pieces in order, and ``pieces``: with "ids" the ids
+    that the vocabulary file gives them, with True their spelling.
     """
     keep = keep or [id_col]
     names = load_pieces(model_file)
+    ids = piece_ids(model_file).astype(np.int32)
     shared = docs.sparkSession.sparkContext.broadcast((PieceTable.of(names), weights(names)))
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", sample int, n_chunks long, n_pieces long, log_prob double, perturbed double, inclusion double, digest long" + ", pieces array<string>" * pieces
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", sample int, n_chunks long, n_pieces long, log_prob double, perturbed double, inclusion double, digest long"
+    schema += {False: "", True: ", pieces array<string>", "ids": ", pieces array<int>"}[pieces]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(*shared.value)
-        speller = Speller(lattices.table.pieces)
+        speller = Speller(lattices.table.pieces, lattices.table)
         for whole in batches:
             for batch in _cut(whole):
                 paths = Paths(batch.column(batch.num_columns - 1), [k or "" for k in batch.column(batch.num_columns - 2).to_pylist()], lattices, samples, seed)
                 size = np.diff(paths.offsets)
                 for j, texts, mask, logp, perturbed in paths.masks():
-                    here = np.zeros(len(size), bool)
-                    here[texts] = True
-                    of = np.repeat(here, size)
-                    numbers, ends = speller.spell(paths.own, paths.own_order[of], mask[of], np.concatenate([[0], np.cumsum(size[texts])]))
+                    order = paths.own_order
+                    if len(texts) < len(size):
+                        here = np.zeros(len(size), bool)
+                        here[texts] = True
+                        of = np.repeat(here, size)
+                        order, mask = order[of], mask[of]
+                    numbers, ends = speller.spell(paths.own, order, mask, np.concatenate([[0], np.cumsum(size[texts])]))
                     count = np.diff(ends)
                     digest = np.zeros(len(texts), np.uint64)
                     full = np.flatnonzero(count)
@@ -546,8 +589,8 @@ def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str]
                     columns = [c.take(rows) for c in batch.columns[:-2]]
                     columns += [pa.array(np.full(len(texts), j + 1, np.int32)), pa.array(size[texts]), pa.array(count), pa.array(logp), pa.array(perturbed), pa.array(inclusion), pa.array(digest.view(np.int64))]
                     if pieces:
-                        columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), speller.names.take(pa.array(numbers))))
-                    yield pa.RecordBatch.from_arrays(columns, [*keep, "sample", "n_chunks", "n_pieces", "log_prob", "perturbed", "inclusion", "digest", *["pieces"] * pieces])
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[numbers]) if pieces == "ids" else speller.names.take(pa.array(numbers))))
+                    yield pa.RecordBatch.from_arrays(columns, [*keep, "sample", "n_chunks", "n_pieces", "log_prob", "perturbed", "inclusion", "digest", *["pieces"] * bool(pieces)])
 
     return docs.select(*keep, F.col(id_col).cast("string").alias("_seg_key"), F.col(text_col).cast("string").alias("_seg_text")).mapInArrow(run, schema)
 
@@ -561,4 +604,4 @@ def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return sample(common.read(spark, sf_dir, "documents").select("doc_id", "text"), pieces=True)
+    return sample(common.read(spark, sf_dir, "documents").select("doc_id", "text"), pieces="ids")
