@@ -43,7 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return segment.sample(docs, pieces=True)
+    return segment.sample(docs, pieces="ids")
 
 
 STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("personal_data", personal_data), ("mixing", mixed), ("segmentation", encoded)]
