@@ -4,15 +4,18 @@ Every source is dealt, by a hash of the id, into a fixed number of blocks in a
 permuted order. A source's target in words becomes an exact number of blocks to
 draw (whole passes over the source, then blocks of the next pass; the block at
 the edge is cut at a finer hash). A binary tree over the output shards splits
-these block quotas: at each node the left half's share of every source is a
-draw from the multivariate hypergeometric law, made by sequential selection.
-Each shard then takes its own consecutive run of a source's permuted blocks, so
-no two shards share a draw, and orders its rows by a hash.
+these block quotas: at each node half of the draws, a uniformly random half,
+go left, so the left quotas of the sources follow the multivariate
+hypergeometric law. Each leaf's quota of a source is a run of the source's
+permuted blocks, the runs of the shards follow each other, and a document is
+taken where its block lies in some shard's run. No two shards share a draw; a
+shard orders its rows by a hash.
 
 All steps are DataFrame expressions. Only the per-source plan (one row per
 source) is joined to the rows; Spark broadcasts it if its measured size allows
 and sorts and splits skewed joins otherwise. A hot source is no single group
-anywhere: block sums are pre-aggregated by (source, block).
+anywhere: block sums are pre-aggregated by (source, block). The tree ranks at
+most MOST * BLOCKS draws of each source in its root; documents do not matter.
 
 A null source is a source of its own, ordered last. Null texts and empty texts
 have size 0 and are taken at no cost. A null id hashes like the empty string.
@@ -68,7 +71,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFr
     order = Window.orderBy(F.col("_mix_bound") / F.col("_mix_weight"), "_mix_rank")
     total = Window.partitionBy()
     full = F.coalesce(F.sum("_mix_bound").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("_mix_weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    rest = F.sum("_mix_weight").over(total) - F.coalesce(F.sum("_mix_weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     level = (F.sum("_mix_source_size").over(total) * share - full) / rest
     fits = F.when(F.col("_mix_level") <= F.col("_mix_bound") / F.col("_mix_weight"), F.col("_mix_level"))
     return (
@@ -110,51 +113,27 @@ def quotas(sizes: DataFrame, by_source: DataFrame) -> DataFrame:
     )
 
 
-def _halve(node: Column, total: Column, quotas: Column, seed: int) -> Column:
-    """How many draws of each source go left, when half of a node's draws do.
-
-    The draws are looked at one by one; each goes left with probability (places
-    left) / (draws left), which is the multivariate hypergeometric law exactly.
-    """
-
-    def source(state, quota):
-        def draw(s, i):
-            u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), node, quota["rank"], i), 11) / F.lit(float(1 << 53))
-            left = u * s["n"] < s["left"]
-            return F.struct((s["left"] - F.when(left, 1).otherwise(0)).alias("left"), (s["n"] - 1).alias("n"), (s["x"] + F.when(left, 1).otherwise(0)).alias("x"))
-
-        steps = F.when(quota["q"] > 0, F.sequence(F.lit(1).cast("long"), quota["q"])).otherwise(F.array().cast("array<bigint>"))
-        end = F.aggregate(steps, F.struct(state["left"].alias("left"), state["n"].alias("n"), F.lit(0).cast("long").alias("x")), draw)
-        # the one-element array has the inner fold evaluated once
-        return F.transform(F.array(end), lambda e: F.struct(e["left"].alias("left"), e["n"].alias("n"), F.array_append(state["xs"], e["x"]).alias("xs")))[0]
-
-    start = F.struct(F.floor(total / 2).cast("long").alias("left"), total.alias("n"), F.array().cast("array<bigint>").alias("xs"))
-    return F.aggregate(quotas, start, source)["xs"]
+def halve(draws: DataFrame, seed: int = 1) -> DataFrame:
+    """The draws (node, rank, number) one level further down: a random half of each node's draws, by order of a hash, goes left (2 * node), the others right."""
+    turn = Window.partitionBy("node").orderBy(_hash(f"tree{seed}", F.col("node"), F.col("rank"), F.col("number")), "rank", "number")
+    left = F.row_number().over(turn) <= F.floor(F.count("*").over(Window.partitionBy("node")) / 2)
+    return draws.withColumn("node", F.col("node") * 2 + F.when(left, 0).otherwise(1))
 
 
 def split(plan: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
-    """(rank, cuts): per source, the draw numbers at which each shard's run of draws ends.
-
-    ``shards`` is a power of two. The tree's nodes hold one array of quotas, so
-    its size is the number of sources.
-    """
+    """(rank, cuts): per source, the draw numbers at which each shard's run of draws ends. ``shards`` is a power of two."""
     depth = shards.bit_length() - 1
     if 1 << depth != shards:
         raise ValueError("shards must be a power of two")
-    one = F.sort_array(F.collect_list(F.struct(F.col("_mix_rank").cast("long").alias("rank"), F.col("_mix_drawn").alias("q"))))
-    nodes = plan.groupBy().agg(one.alias("quotas")).select(F.lit(1).cast("long").alias("node"), "quotas")
+    numbers = F.when(F.col("_mix_drawn") > 0, F.sequence(F.lit(0).cast("long"), F.col("_mix_drawn") - 1))
+    draws = plan.select(F.lit(1).cast("long").alias("node"), F.col("_mix_rank").alias("rank"), F.explode(numbers).alias("number"))
     for _ in range(depth):
-        total = F.aggregate("quotas", F.lit(0).cast("long"), lambda s, q: s + q["q"])
-        nodes = nodes.withColumn("total", total)
-        nodes = nodes.withColumn("xs", _halve(F.col("node"), F.col("total"), F.col("quotas"), seed))
-        left = F.transform(F.arrays_zip("quotas", "xs"), lambda z: F.struct(z["quotas"]["rank"].alias("rank"), z["xs"].alias("q")))
-        right = F.transform(F.arrays_zip("quotas", "xs"), lambda z: F.struct(z["quotas"]["rank"].alias("rank"), (z["quotas"]["q"] - z["xs"]).alias("q")))
-        sides = F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("quotas")))
-        nodes = nodes.select(F.inline(sides))
-    leaves = nodes.select((F.col("node") - shards).alias("shard"), F.inline("quotas"))
-    runs = leaves.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("shard", "q"))).alias("runs"))
-    ends = F.aggregate("runs", F.array().cast("array<bigint>"), lambda s, r: F.array_append(s, F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + r["q"]))
-    return runs.select(F.col("rank").alias("_mix_rank_of"), ends.alias("_mix_cuts"))
+        draws = halve(draws, seed)
+    quotas = draws.groupBy("rank").agg(*(F.count(F.when(F.col("node") == shards + i, 1)).alias(f"q{i}") for i in range(shards)))
+    cuts = F.array(*(sum((F.col(f"q{j}") for j in range(1, i + 1)), F.col("q0")) for i in range(shards)))
+    ranks = plan.select(F.col("_mix_rank").alias("_mix_rank_of"))
+    found = ranks.join(quotas, F.col("_mix_rank_of") == F.col("rank"), "left")
+    return found.select("_mix_rank_of", F.coalesce(F.when(F.col("rank").isNotNull(), cuts), F.array(*[F.lit(0).cast("long")] * shards)).alias("_mix_cuts"))
 
 
 def plan(docs: DataFrame, *, id_col="doc_id", source_col="source", text_col="text", weights=WEIGHTS, share=SHARE, shards=SHARDS, seed=1) -> tuple[DataFrame, DataFrame]:
@@ -166,20 +145,22 @@ def plan(docs: DataFrame, *, id_col="doc_id", source_col="source", text_col="tex
     return sizes, common.checkpoint(per_source.join(cuts, F.col("_mix_rank") == F.col("_mix_rank_of"), "left").drop("_mix_rank_of"))
 
 
-def draws(block: Column, bin_: Column) -> Column:
-    """The draws of a row as (copy, shard): one for each whole pass, and one more if its block is among those drawn in the next."""
-    more = F.when(
-        (F.col("_mix_passes") < MOST) & ((block < F.col("_mix_edge")) | ((block == F.col("_mix_edge")) & (bin_ < F.col("_mix_bins")))), 1
-    ).otherwise(0)
-    copies = F.col("_mix_passes") + more
-    numbers = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda p: F.struct(p.alias("copy"), F.size(F.filter("_mix_cuts", lambda c: c <= p * BLOCKS + block)).alias("shard")))
+def draws(id_col: Column, block: Column, bin_: Column, seed: int = 1) -> Column:
+    """The draws of a row as (copy, shard, order): those whose number lies in some shard's run of its source's blocks.
+
+    Of the block at the edge only the first bins are drawn.
+    """
+    number = lambda p: p * BLOCKS + block
+    cut = lambda p: (p == F.col("_mix_passes")) & (block == F.col("_mix_edge")) & (bin_ >= F.col("_mix_bins"))
+    last = F.coalesce(F.element_at("_mix_cuts", -1), F.lit(0))
+    taken = F.filter(F.array(*map(F.lit, range(MOST))), lambda p: (number(p) < last) & ~cut(p))
+    return F.transform(taken, lambda p: F.struct(p.alias("copy"), F.size(F.filter("_mix_cuts", lambda c: c <= number(p))).alias("shard"), _hash(f"order{seed}", p, id_col).alias("order")))
 
 
 def assign(sizes: DataFrame, per_source: DataFrame) -> DataFrame:
     """Each sized row with its source's figures and its draws."""
     of = per_source.withColumnRenamed("_mix_source", "_mix_of")
-    return sizes.join(of, F.col("_mix_source").eqNullSafe(F.col("_mix_of"))).withColumn("_mix_draws", draws(F.col("_mix_block"), F.col("_mix_bin")))
+    return sizes.join(of, F.col("_mix_source").eqNullSafe(F.col("_mix_of"))).withColumn("_mix_draws", draws(F.col("_mix_id"), F.col("_mix_block"), F.col("_mix_bin")))
 
 
 def mix(docs: DataFrame, *, id_col="doc_id", source_col="source", text_col="text", seed=1, shards=SHARDS, **options) -> DataFrame:
@@ -192,24 +173,30 @@ def mix(docs: DataFrame, *, id_col="doc_id", source_col="source", text_col="text
     keyed = docs.select(*names, F.struct(*(x.alias(c) for c, x in _placed(id_col, source_col).items())).alias("_mix_at"))
     of = per_source.withColumnRenamed("_mix_source", "_mix_of")
     joined = keyed.join(of, F.col("_mix_at.source").eqNullSafe(F.col("_mix_of")))
-    drawn = joined.select(*names, F.explode(draws(F.col("_mix_at.block"), F.col("_mix_at.bin"))).alias("_mix_draw"))
-    order = _hash(f"order{seed}", F.col("_mix_draw.copy"), F.col(id_col))
-    return drawn.select(*names, F.col("_mix_draw.copy").alias("mix_copy"), F.col("_mix_draw.shard").alias("mix_shard"), order.alias("mix_order"))
+    drawn = joined.select(*names, F.explode(draws(F.col(id_col), F.col("_mix_at.block"), F.col("_mix_at.bin"), seed)).alias("_mix_draw"))
+    return drawn.select(*names, F.col("_mix_draw.copy").alias("mix_copy"), F.col("_mix_draw.shard").alias("mix_shard"), F.col("_mix_draw.order").alias("mix_order"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sizes, per_source = plan(docs)
-    mine = F.filter("_mix_draws", lambda d: d["shard"] < SHARDS)
     return assign(sizes, per_source).select(
         F.col("_mix_id").alias("doc_id"),
         F.col("_mix_size").alias("size"),
         F.col("_mix_source_size").alias("source_size"),
         F.col("_mix_target").alias("target"),
-        (F.col("_mix_size") * F.size(mine)).alias("taken"),
+        (F.col("_mix_size") * F.size("_mix_draws")).alias("taken"),
+        # copy:shard:order of each draw
+        F.array_join(F.transform("_mix_draws", lambda d: F.concat_ws(":", d["copy"], d["shard"], d["order"])), ",").alias("draws"),
     )
 
 
+def _level(i: int) -> str:
+    """SQL of one level of the tree."""
+    order = "('0x' || substr(md5('tree1|' || node || '|' || rk || '|' || number), 1, 8))::bigint, rk, number"
+    return f"t{i + 1} AS (SELECT rk, number, node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY {order}) <= count(*) OVER (PARTITION BY node) // 2 THEN 0 ELSE 1 END AS node FROM t{i})"
+
+
 ORACLE_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size,
@@ -224,7 +211,7 @@ w AS (SELECT *, CASE (rk - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::
 l AS (SELECT *, ((SELECT sum(source_size) FROM w) * 1.5 - coalesce(sum(bound) OVER (ORDER BY bound / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY bound / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
 f AS (SELECT arg_min(lev, bound / weight) AS lev FROM l WHERE lev <= bound / weight),
-t AS (SELECT l.source, source_size, least(bound, f.lev * weight) AS target FROM l, f),
+t AS (SELECT l.source, l.rk, source_size, least(bound, f.lev * weight) AS target FROM l, f),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes,
     CASE WHEN source_size > 0 THEN target - source_size * floor(target / source_size) ELSE 0 END AS rest FROM t),
 b AS (SELECT source, block, sum(sum(size)) OVER (PARTITION BY source ORDER BY block) AS ends FROM p GROUP BY source, block),
@@ -232,8 +219,17 @@ e AS (SELECT q.*, coalesce((SELECT min(block) FROM b WHERE b.source IS NOT DISTI
     coalesce((SELECT max(ends) FROM b WHERE b.source IS NOT DISTINCT FROM q.source AND ends <= q.rest), 0) AS before FROM q),
 n AS (SELECT e.source, bin, rest, before, sum(sum(size)) OVER (PARTITION BY e.source ORDER BY bin) - sum(size) / 2 AS middle
   FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source AND p.block = e.edge GROUP BY e.source, bin, rest, before),
-m AS (SELECT source, max(CASE WHEN before + middle <= rest THEN bin + 1 END) AS bins FROM n GROUP BY source)
-SELECT doc_id, size, source_size, target,
-  (size * (passes + CASE WHEN passes < 2 AND (block < edge OR (block = edge AND bin < coalesce(bins, 0))) THEN 1 ELSE 0 END))::bigint AS taken
-FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source LEFT JOIN m ON m.source IS NOT DISTINCT FROM e.source
+m AS (SELECT source, max(CASE WHEN before + middle <= rest THEN bin + 1 END) AS bins FROM n GROUP BY source),
+x AS (SELECT e.*, coalesce(m.bins, 0) AS bins, passes * {BLOCKS} + CASE WHEN passes < {MOST} THEN edge + CASE WHEN coalesce(m.bins, 0) > 0 THEN 1 ELSE 0 END ELSE 0 END AS drawn
+  FROM e LEFT JOIN m ON m.source IS NOT DISTINCT FROM e.source),
+t0 AS (SELECT rk, unnest(range(drawn::bigint)) AS number, 1 AS node FROM x),
+{", ".join(map(_level, range(SHARDS.bit_length() - 1)))},
+k AS (SELECT rk, node - {SHARDS} AS shard, count(*) AS q FROM t{SHARDS.bit_length() - 1} GROUP BY ALL),
+c AS (SELECT rk, shard, sum(q) OVER (PARTITION BY rk ORDER BY shard) - q AS first, sum(q) OVER (PARTITION BY rk ORDER BY shard) AS last FROM k),
+y AS (SELECT p.doc_id, p.source, p.size, copy, x.rk, copy * {BLOCKS} + block AS number, ('0x' || substr(md5('order1|' || copy || '|' || coalesce(doc_id::varchar, '')), 1, 8))::bigint AS h
+  FROM p JOIN x ON p.source IS NOT DISTINCT FROM x.source, unnest(range({MOST})) AS u(copy) WHERE NOT (copy = passes AND block = edge AND bin >= bins)),
+z AS (SELECT doc_id, y.source, size, count(*) AS n, string_agg(copy || ':' || shard || ':' || h, ',' ORDER BY copy) AS draws
+  FROM y JOIN c ON c.rk = y.rk AND number >= first AND number < last GROUP BY ALL)
+SELECT p.doc_id, p.size, source_size, target, (p.size * coalesce(n, 0))::bigint AS taken, coalesce(draws, '') AS draws
+FROM p JOIN x ON p.source IS NOT DISTINCT FROM x.source LEFT JOIN z ON z.doc_id = p.doc_id AND z.source IS NOT DISTINCT FROM p.source
 """

@@ -179,9 +179,9 @@ def test_splitting_tree_keeps_quotas_and_varies_by_the_law(spark):
     cuts = {r["_mix_rank_of"]: r["_mix_cuts"] for r in mixing.split(plan, 4, 1).collect()}
     assert all(c == sorted(c) and len(c) == 4 for c in cuts.values()) and cuts[1][-1] == 100 and cuts[2][-1] == 30 and cuts[3] == [0, 0, 0, 0]
     assert cuts[1][1] + cuts[2][1] == 65
-    one = F.expr("array(named_struct('rank', 1L, 'q', 100L), named_struct('rank', 2L, 'q', 30L), named_struct('rank', 3L, 'q', 0L))")
-    many = spark.range(1, 3001).select(mixing._halve(F.col("id"), F.lit(130).cast("long"), one, 1).alias("x"))
-    x = np.array([r["x"] for r in many.collect()])
+    draws = spark.range(1, 3001).select(F.col("id").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(129))).alias("number")).withColumn("rank", F.when(F.col("number") < 100, 1).otherwise(2))
+    many = mixing.halve(draws, 1).withColumn("left", 1 - F.col("node") % 2).groupBy(F.floor(F.col("node") / 2)).agg(*(F.sum(F.when(F.col("rank") == k, F.col("left"))) for k in (1, 2)))
+    x = np.array([tuple(r)[1:] for r in many.collect()])
     # hypergeometric: mean 15, deviation sqrt(65 * 30/130 * 100/130 * 65/129) = 2.41
     assert (x.sum(axis=1) == 65).all() and abs(x[:, 1].mean() - 15) < 0.2 and abs(x[:, 1].std() - 2.41) < 0.15
     with pytest.raises(ValueError):
