@@ -32,7 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 STRICT = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # a run of digits is as long as it can be; those of 9 to 19 digits matter
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){8,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Wider patterns for candidates that the strict ones miss.
@@ -44,6 +45,8 @@ WIDE = {
 }
 #: A text without this character has no strict match, which is cheaper to see.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: Matches that are placed one by one; longer lists are put together from parts of this size.
+PART = 256
 WIDE_NEEDS = {"email": r"[\[(](?:at|AT)[\])]", "ip": r"\[\.\]", "card": r"[0-9]{4}[.\x20/-][0-9]{4}", "phone": r"[0-9]{3}[-.\x20)]"}
 
 #: Words that announce a kind, and words that announce something else.
@@ -66,21 +69,31 @@ ACCEPT = 0.5
 NEAR = 24
 
 
+_PLACES = "array<struct<start:int,end:int,value:string>>"
+
+
 def _spans(text: Column, pattern: str, needed: Column) -> Column:
     """array<struct<start, end, value>> of the pattern's matches, in code points.
 
     The parts between the matches and the matches themselves come from one
-    scanner each, so their lengths add up to positions.
+    scanner each, so their lengths add up to positions. They are added up in
+    parts, so that no long array grows by one element at a time.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     between = F.split(text, pattern, -1)
-    step = lambda s, m: F.struct(
-        (s["at"] + m["between"] + F.length(m["value"])).alias("at"),
-        F.array_append(s["out"], F.struct((s["at"] + m["between"]).alias("start"), (s["at"] + m["between"] + F.length(m["value"])).alias("end"), m["value"].alias("value"))).alias("out"),
-    )
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast(_PLACES)
+
+    def step(s, m):
+        start = s["at"] + m["between"]
+        return F.struct((start + F.length(m["value"])).alias("at"), F.array_append(s["out"], F.struct(start.alias("start"), (start + F.length(m["value"])).alias("end"), m["value"].alias("value"))).alias("out"))
+
+    def part(s, ms):
+        # the one-element array has the inner fold evaluated once
+        return F.transform(F.array(F.aggregate(ms, F.struct(s["at"].alias("at"), none.alias("out")), step)), lambda e: F.struct(e["at"].alias("at"), F.concat(s["out"], e["out"]).alias("out")))[0]
+
     pairs = F.zip_with(found, F.slice(F.transform(between, F.length), F.lit(1), F.size(found)), lambda v, b: F.struct(b.alias("between"), v.alias("value")))
-    return F.when(needed, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]).otherwise(none)
+    parts = F.transform(F.array(pairs), lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / PART).cast("int")), lambda i: F.slice(p, i * PART + 1, PART)))[0]
+    return F.when(needed & (F.size(found) > 0), F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), part)["out"]).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -102,11 +115,10 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else n.between(13, 19) & luhn(_digits(value))
 
 
-def candidates(docs: DataFrame, *, keep: list[str], text_col="text", with_text: bool = False) -> DataFrame:
+def candidates(docs: DataFrame, *, keep: list[str], text_col="text") -> DataFrame:
     """The ``keep`` columns as the struct ``_pii_row`` and ``_pii_spans``: candidates with their votes and features.
 
-    The contexts are read from the text next to each span, so that no text
-    leaves the scan unless it is asked for.
+    The contexts are read from the text next to each span.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.struct(*keep or [F.lit(0).alias("none")]).alias("_pii_row"), text.alias("_pii_text"))
@@ -127,7 +139,7 @@ def candidates(docs: DataFrame, *, keep: list[str], text_col="text", with_text:
         same = lambda w: F.exists(failed, lambda s: (s["start"] == w["start"]) & (s["end"] == w["end"]))
         wide = F.filter(f"_pii_wide_{kind}", lambda w: ~overlaps(w) & ~same(w))
         columns.append(F.concat(F.transform(good, lambda s: known(s, True)), F.transform(F.concat(failed, wide), lambda s: known(s, False))))
-    return base.select("_pii_row", *["_pii_text"] * with_text, F.concat(*columns).alias("_pii_spans"))
+    return base.select("_pii_row", F.concat(*columns).alias("_pii_spans"))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -162,7 +174,7 @@ def _known(kind: str, s: Column, strict: Column) -> Column:
     features = F.array(
         F.least(F.length(value), F.lit(40)) / F.lit(4),
         F.least(F.length(digits), F.lit(20)),
-        F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")),
+        F.least(F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")), F.lit(20)),
         F.when(before.rlike(r"[\pL\pN]$"), 1).otherwise(0),
         F.when(after.rlike(r"^[\pL\pN]"), 1).otherwise(0),
         F.when(value.rlike("^[+(]"), 1).otherwise(0),
@@ -260,12 +272,12 @@ def digest(spans: Column) -> Column:
 def redact(docs: DataFrame, *, text_col="text", accept=ACCEPT) -> DataFrame:
     """All columns of ``docs``, each span's text replaced by its kind in brackets; a null text stays null.
 
-    The texts are matched twice, once for the model and once for the result,
-    so that none of them is shuffled.
+    The rows are written once with what was found in them, so that each text is
+    matched once and none is shuffled.
     """
-    model = fit(common.checkpoint(candidates(docs, keep=[], text_col=text_col)))
-    found = decide(candidates(docs, keep=docs.columns, text_col=text_col, with_text=True), model, accept)
-    names, text = F.array(*map(F.lit, KINDS)), F.col("_pii_text")
+    found = common.checkpoint(candidates(docs, keep=docs.columns, text_col=text_col))
+    found = decide(found, fit(found.select("_pii_spans")), accept)
+    names, text = F.array(*map(F.lit, KINDS)), F.coalesce(F.col(f"_pii_row.{text_col}").cast("string"), F.lit(""))
     spans = F.array_sort(F.transform("_pii_taken", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, s: F.when(
