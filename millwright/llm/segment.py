@@ -46,9 +46,9 @@ from millwright.llm.lattice import MAX_CHARS, SPACE_MARK, PieceTable, by_length,
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, SMOOTHING = 4, 1, 0.3
 #: Bytes of text in a slice; the lattices of its distinct chunks are held together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 #: Chunks whose lattices are kept from slice to slice.
-HELD = 30_000
+HELD = 60_000
 #: Chunks up to this length have at most 2 ** (SHORT - 1) segmentations, which are listed.
 SHORT = 7
 _LISTED_JUMPS = [1 << i for i in reversed(range(SHORT - 1))]
@@ -528,7 +528,9 @@ class Speller:
         first = np.cumsum(size) - size
         times = size[pair]
         ends = np.concatenate([[0], np.cumsum(times)])
-        return numbers[np.repeat(first[pair] - ends[:-1], times) + np.arange(ends[-1])], ends[offsets]
+        at = np.repeat((first[pair] - ends[:-1]).astype(np.int32), times)
+        at += np.arange(len(at), dtype=np.int32)
+        return numbers.astype(np.int32)[at], ends[offsets]
 
     def _bytes(self, cut: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers with each character that no piece covers (-1) as its bytes, and how many numbers each entry became."""
@@ -572,17 +574,19 @@ def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str]
                 for j, texts, mask, logp, perturbed in paths.masks():
                     order = paths.own_order
                     if len(texts) < len(size):
-                        here = np.zeros(len(size), bool)
-                        here[texts] = True
-                        of = np.repeat(here, size)
+                        with_it = np.zeros(len(size), bool)
+                        with_it[texts] = True
+                        of = np.repeat(with_it, size)
                         order, mask = order[of], mask[of]
                     numbers, ends = speller.spell(paths.own, order, mask, np.concatenate([[0], np.cumsum(size[texts])]))
                     count = np.diff(ends)
                     digest = np.zeros(len(texts), np.uint64)
                     full = np.flatnonzero(count)
                     if len(full):
-                        place = np.arange(len(numbers)) - np.repeat(ends[:-1], count)
-                        digest[full] = np.add.reduceat(_mix(speller.code[numbers] + place.astype(np.uint64) * _D), ends[full])
+                        # each piece's code times its place, summed: places count from the slice's start, which is taken off again
+                        code = speller.code[numbers]
+                        here = np.add.reduceat(code, ends[full])
+                        digest[full] = np.add.reduceat(code * np.arange(1, len(code) + 1, dtype=np.uint64), ends[full]) - here * ends[full].astype(np.uint64)
                     with np.errstate(over="ignore"):
                         inclusion = -np.expm1(-np.exp(np.minimum(logp - paths.threshold[texts], 700)))
                     rows = pa.array(texts)
