@@ -18,6 +18,8 @@ from millwright.llm import common, dedup, langid, mixing, pii, segment
 
 #: Least posterior of the predicted language.
 LEAST_SCORE = 0.5
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE_WORDS = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +29,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = dedup.near_duplicates(docs)
-    # the ids that go are few, so Spark may find a join that spares the texts a shuffle
+    """One document of each group of near copies, at five words. Rows that repeat an id and its text are one; a null id is kept."""
+    groups = common.checkpoint(dedup.near_duplicates(docs, words=SHINGLE_WORDS))
+    # the ids that go or repeat are few, so Spark may find joins that spare the texts a shuffle
     gone = groups.where("doc <> component").select(F.col("doc").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = groups.where("doc = component").groupBy(F.col("doc").alias("_twice")).agg(F.count("*").alias("n")).where("n > 1").select("_twice")
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    once = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
+    return once.unionByName(kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +44,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # shard by shard, each in its own shuffled order; range partitions keep any shard from being one task
-    return mixing.mix(docs).orderBy("mix_shard", "mix_order", "mix_copy").select(*docs.columns)
+    """Shard by shard, each in its own shuffled order. A shard is dealt to as many tasks as the session's shuffles have for it."""
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // mixing.SHARDS)
+    rows = mixing.mix(docs).repartition("mix_shard", F.col("mix_order") % parts)
+    return rows.sortWithinPartitions("mix_shard", "mix_order", "mix_copy").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +56,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("personal_data", personal_data), ("mixing", mixed), ("segmentation", encoded)]
 
-#: Language ID, the estimated classifier and the sampler are no SQL; the stages are tested against brute force.
+#: Language ID, the estimated classifier and the sampler are no SQL; their operators are tested against brute force.
 ORACLE_SQL = None
 
 
