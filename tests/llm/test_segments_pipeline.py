@@ -138,7 +138,7 @@ def test_pipeline_stages_each_do_their_part(spark):
     assert seen["language_id"].where("doc_id >= 90000").count() == 0 and seen["language_id"].count() == docs.count()
     from millwright.llm import dedup
 
-    assert dedup.near_duplicates(seen["near_dedup"]).where("doc <> component").count() == 0
+    assert dedup.near_duplicates(seen["near_dedup"], words=5).where("doc <> component").count() == 0
     assert seen["personal_data"].count() == seen["near_dedup"].count()
     assert seen["personal_data"].where(F.col("text").rlike(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|@mail")).count() == 0
     words = lambda df: df.agg(F.sum(common.word_count(F.col("text")))).first()[0]
