@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions.columns import col, is_numeric, number, portable_hash
 from millwright.functions.constants import COST_BREAKDOWN, COST_CALLOUT, COST_FALSE_ALARM, COST_INSPECTION, COST_PLANNED, COST_SCRAP, IMBALANCE, MIN_TRAIN_ROWS, MISSING_SCHEMA_RATIO, OUT_OF_BOUNDS_RATIO, PSI_BINS, PSI_EPSILON, PSI_MAJOR, PSI_MODERATE, SEED
+from millwright.functions.ordered import quantiles
 from millwright.functions.report import to_jsonable
 from millwright.functions.session import importable
 from millwright.ml import prepare
@@ -29,6 +30,8 @@ from millwright.operators import metrics, profile, reliability
 #: Rows of the majority class that the isolation forest draws its samples from, at most.
 FOREST_ROWS = 20_000
 EXPLAIN_ROWS = 1000
+#: Rows that a class needs to be learned.
+LEAST_CLASS = 5
 ESTIMATORS = ("gbt", "rf", "linear")
 
 
@@ -78,13 +81,7 @@ class Engine:
             facts = profile.target_facts(rows, target).first()
             numeric = is_numeric(rows, target) or facts["numbers"] == facts["known"]
             self.task = "regression" if numeric and facts["distinct_numbers"] > 10 else "classification"
-        counts = {}
-        if self.task == "classification":
-            counts = {r[0]: r["count"] for r in rows.groupBy(col(target).cast("string")).count().collect()}
-            if len(counts) < 2:
-                raise ValueError("The target has fewer than two classes.")
-            self.classes_ = sorted(counts)
-            self.positive = self.classes_.index(min(self.classes_, key=lambda c: (counts[c], -self.classes_.index(c)))) if len(counts) == 2 else 1
+        counts = self.learn_classes(rows, target) if self.task == "classification" else {}
         y = self._label(rows)
         regular = self.task != "forecasting"
         self.plan = prepare.fit(rows, target, y if len(counts) <= 2 else None, self.scale_method, self.collinear_threshold, self.handle_silent_nulls, regular)
@@ -101,6 +98,26 @@ class Engine:
         self.is_fitted = True
         return self
 
+    def learn_classes(self, rows: DataFrame, target: str) -> dict[str, int]:
+        """Rows of each class; of two classes the rarer one is positive."""
+        self.target = target
+        counts = {r[0]: r["count"] for r in rows.groupBy(col(target).cast("string")).count().collect()}
+        if len(counts) < 2:
+            raise ValueError("The target has fewer than two classes.")
+        self.classes_ = sorted(counts)
+        self.positive = self.classes_.index(min(self.classes_, key=lambda c: (counts[c], -self.classes_.index(c)))) if len(counts) == 2 else 1
+        return counts
+
+    @staticmethod
+    def balanced_weights(counts: dict[str, int]) -> dict[str, float]:
+        """A class's weight: what makes all classes count alike."""
+        return {c: sum(counts.values()) / (len(counts) * k) for c, k in counts.items()}
+
+    @staticmethod
+    def viable(counts: dict[str, int]) -> list[str]:
+        """Classes with enough rows to be learned."""
+        return [c for c in sorted(counts) if counts[c] >= LEAST_CLASS]
+
     def _label(self, df: DataFrame) -> Column:
         if self.task != "classification":
             return number(df, self.target)
@@ -108,9 +125,10 @@ class Engine:
 
     def _freeze(self, data: DataFrame) -> None:
         """Edges and shares of every feature as trained, so that drift needs no training data."""
-        probs = F.array(*(F.lit(i / PSI_BINS) for i in range(PSI_BINS + 1)))
-        facts = data.agg(F.count("*").alias("n"), *(F.array_distinct(F.percentile(k, probs)).alias(k) for k in self.plan.features), *(F.avg(k).alias(f"m_{k}") for k in self.plan.features), *(F.stddev_samp(k).alias(f"s_{k}") for k in self.plan.features)).first()
-        self.profile = {k: {"edges": list(facts[k]), "mean": facts[f"m_{k}"], "std": facts[f"s_{k}"]} for k in self.plan.features if len(facts[k]) >= 3 and facts["n"] >= PSI_BINS}
+        cells = data.select(F.inline(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("x")) for k in self.plan.features))))
+        edges = {r["feature"]: list(dict.fromkeys(r["q"])) for r in quantiles(cells, "x", [i / PSI_BINS for i in range(PSI_BINS + 1)], ["feature"]).collect()}
+        facts = data.agg(F.count("*").alias("n"), *(F.avg(k).alias(f"m_{k}") for k in self.plan.features), *(F.stddev_samp(k).alias(f"s_{k}") for k in self.plan.features)).first()
+        self.profile = {k: {"edges": edges[k], "mean": facts[f"m_{k}"], "std": facts[f"s_{k}"]} for k in self.plan.features if len(edges.get(k, ())) >= 3 and facts["n"] >= PSI_BINS}
         shares = self._shares(data)
         for k, s in shares.items():
             self.profile[k]["share"] = s
@@ -132,11 +150,11 @@ class Engine:
     def _guard(self, data: DataFrame, counts: dict) -> bool:
         """Very rare classes: drop them, or learn what is normal instead."""
         if len(counts) == 2:
-            if min(counts.values()) >= 5:
+            if len(self.viable(counts)) == 2:
                 return False
             self.anomaly_class = self.positive
         else:
-            viable = [c for c in self.classes_ if counts[c] >= 5]
+            viable = self.viable(counts)
             if len(viable) >= 2:
                 self.rare = [c for c in self.classes_ if c not in viable]
                 return False
@@ -157,7 +175,7 @@ class Engine:
             data = data.where(~F.col("_y").isin(*(float(self.classes_.index(c)) for c in rare)))
         vectors = VectorAssembler(inputCols=self.plan.features, outputCol="_x").transform(data).withColumn("_w", F.lit(1.0))
         if classify and self.cost_sensitive_weighting and min(counts.values()) / sum(counts.values()) < IMBALANCE:
-            weight = {float(self.classes_.index(c)): sum(counts.values()) / (len(counts) * k) for c, k in counts.items()}
+            weight = {float(self.classes_.index(c)): w for c, w in self.balanced_weights(counts).items()}
             vectors = vectors.withColumn("_w", F.element_at(F.create_map(*(F.lit(v) for kv in weight.items() for v in kv)), F.col("_y")))
         h = portable_hash(F.lit(self.random_state), F.to_json(F.struct(*self.plan.features)))
         held = (h % 5 == 0).alias("_held")
@@ -334,11 +352,10 @@ class Engine:
         c = self._counts(df)
         if c is None:
             return {"error": "Cost of quality needs a fitted binary classification model."}
-        defects, normal = c["tp"] + c["fn"], c["fp"] + c["tn"]
-        found, alarms = int(defects * base_det_rate), int(normal * base_fp_rate)
-        before = (defects - found) * cost_scrap + alarms * cost_fa + found * cost_insp
-        after = c["fn"] * cost_scrap + c["fp"] * cost_fa + c["tp"] * cost_insp
-        return {"baseline_cost": float(before), "model_cost": float(after), "cost_savings": float(before - after), "savings_percentage": f"{(before - after) / before * 100 if before > 0 else 0:.2f}%"}
+        four = [F.lit(c[k]) for k in ("tp", "fp", "fn", "tn")]
+        out = metrics.quality_cost_columns(*four, cost_scrap, cost_fa, cost_insp, base_det_rate, base_fp_rate)
+        row = df.sparkSession.range(1).select(*(v.alias(k) for k, v in out.items())).first().asDict()
+        return row | {"savings_percentage": f"{row['savings_percentage']:.2f}%"}
 
     def calculate_maintenance_cost(self, df: DataFrame, cost_breakdown=COST_BREAKDOWN, cost_planned=COST_PLANNED, cost_inspection=COST_CALLOUT) -> dict:
         c = self._counts(df)
@@ -413,7 +430,8 @@ class Engine:
         else:
             multi = hasattr(self.model, "coefficientMatrix")
             matrix = self.model.coefficientMatrix.toArray() if multi else self.model.coefficients.toArray()[None, :]
-            weights = matrix[-1] * (1 if self.positive == 1 or len(matrix) > 1 else -1)
+            # of several classes, each row is explained by the score of the class it is given
+            weights = matrix[(x @ matrix.T + self.model.interceptVector.toArray()).argmax(axis=1)] if len(matrix) > 1 else matrix[-1] * (1 if self.positive == 1 or self.task != "classification" else -1)
             means = np.array([self.profile.get(f, {}).get("mean") or 0.0 for f in self.plan.features])
             values = (x - means) * weights
         return {"available": True, "reason": None, "values": values, "features": self.plan.features, "rows": len(x)}

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from millwright.functions.columns import NUMERIC, col, correlation, finite, is_text, number
 from millwright.functions.constants import SILENT_NULLS
+from millwright.functions.ordered import quantiles
 
 DATE = r"^\d{4}[-/]\d{2}[-/]\d{2}"
 ID_NAME = re.compile(r"(^|_)(id|uuid|guid|key|index|idx|serial|no|number)($|_)", re.IGNORECASE)
@@ -139,8 +140,12 @@ def fit(df: DataFrame, target: str | None = None, labels: Column | None = None,
     numbers = [k for k, t in flat.dtypes if t == "double" and k != "_y"]
     words = [k for k, t in flat.dtypes if t == "string"]
     if base:
-        fills = flat.agg(*(F.median(k).alias(k) for k in numbers), *(F.mode(F.col(k), True).alias(k) for k in words)).first()
-        plan.fill = {k: (fills[k] if fills[k] is not None else 0.0) for k in numbers} | {k: (fills[k] if fills[k] is not None else "Unknown") for k in words}
+        middle = {}
+        if numbers:
+            cells = flat.select(F.inline(F.array(*(F.struct(F.lit(k).alias("column"), F.col(k).alias("x")) for k in numbers))))
+            middle = {r["column"]: r["q"][0] for r in quantiles(cells, "x", (0.5,), ["column"]).collect()}
+        usual = flat.agg(*(F.mode(F.col(k), True).alias(k) for k in words)).first() if words else {}
+        plan.fill = {k: middle.get(k, 0.0) for k in numbers} | {k: (usual[k] if usual[k] is not None else "Unknown") for k in words}
     filled = flat.fillna(plan.fill) if plan.fill else flat
     stats = {}
     if base:

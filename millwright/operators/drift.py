@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions.columns import col, finite, is_numeric, number
 from millwright.functions.constants import DRIFT_MIN_ROWS, DRIFT_SIGMAS, PSI_BINS, PSI_CATEGORIES, PSI_EPSILON, PSI_MAJOR
+from millwright.functions.ordered import quantiles
 from millwright.functions.report import as_error, finite_number, require, to_jsonable
 
 KEYS = ["asset", "feature"]
@@ -46,11 +47,13 @@ def numeric_psi(cells: DataFrame, bins: DataFrame | int = PSI_BINS) -> DataFrame
     if per_asset:
         train = train.join(bins, "asset")
     n = F.col("bins") if per_asset else F.lit(bins)
-    # one histogram of the values serves the quantiles of every number of bins
+    # one set of quantiles serves every number of bins
     sizes = sorted({*range(2, PSI_BINS + 1)} if per_asset else {bins})
-    quantiles = F.create_map(*(x for k in sizes for x in (F.lit(k), F.percentile("x", F.array(*(F.lit(i / k) for i in range(k + 1)))))))
+    fractions = sorted({i / k for k in sizes for i in range(k + 1)})
+    mine = F.create_map(*(x for k in sizes for x in (F.lit(k), F.array(*(F.col("q")[fractions.index(i / k)] for i in range(k + 1))))))
     keys = [*KEYS, *["bins"] * per_asset]
-    edges = train.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("x").alias("distinct"), quantiles.alias("q")).withColumn("edges", F.array_sort(F.array_distinct(F.element_at("q", n))))
+    distinct = train.groupBy(*keys, "x").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count("*").alias("distinct"))
+    edges = quantiles(train, "x", fractions, keys).join(distinct, keys).withColumn("edges", F.array_sort(F.array_distinct(F.element_at(mine, n))))
     edges = edges.where((F.col("n") >= n) & (F.col("distinct") >= 3) & (F.size("edges") >= 3)).select(*KEYS, "edges")
     at = F.greatest(F.lit(1), F.least(F.size(F.filter("edges", lambda e: e <= F.col("x"))), F.size("edges") - 1))
     counts = cells.join(edges, KEYS).groupBy(*KEYS, at.alias("bin")).agg(F.sum(F.when(~F.col("batch"), 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("batch"), 1).otherwise(0)).alias("b"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import col, divide, finite, is_numeric, number
 from millwright.functions.constants import CALIBRATION_BINS, COST_BREAKDOWN, COST_CALLOUT, COST_FALSE_ALARM, COST_INSPECTION, COST_PLANNED, COST_SCRAP, ECE_LIMIT
+from millwright.functions.ordered import running
 from millwright.functions.report import as_error, require, to_jsonable
 
 THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(1, 19))
@@ -40,7 +41,7 @@ def check_calibration(df: DataFrame, label_col: str, prob_col: str, n_bins: int
     require(df, "df", label_col, prob_col)
     bins = int(n_bins)
     if bins < 2:
-        raise ValueError(f"n_bins must be at least 2, got {n_bins!r}.")
+        raise ValueError(f"Two bins are the least; got {n_bins!r}.")
     labels = [r[0] for r in df.where(col(label_col).isNotNull()).select(col(label_col)).distinct().limit(3).collect()]
     if len(labels) != 2:
         raise ValueError(f"Calibration needs two outcome classes, found {len(labels) if len(labels) < 3 else 'more'}.")
@@ -52,7 +53,7 @@ def check_calibration(df: DataFrame, label_col: str, prob_col: str, n_bins: int
         raise ValueError("No rows have both an outcome and a finite probability.")
     low, high = min(r["least"] for r in found), max(r["most"] for r in found)
     if low < 0 or high > 1:
-        raise ValueError(f"Probabilities must lie in [0, 1], got [{low}, {high}].")
+        raise ValueError(f"These are no probabilities: they reach from {low} to {high}.")
     n = sum(r["count"] for r in found)
     base = sum(r["count"] * r["observed_rate"] for r in found) / n
     brier, limit = sum(r["squares"] for r in found) / n, base * (1 - base)
@@ -113,8 +114,7 @@ def multiclass_mcc(pairs: Sequence) -> float:
 def _score_groups(df: DataFrame, label: Column, score: Column) -> DataFrame:
     """Positives and negatives of each distinct score, and those ranked above it, counted over distinct scores."""
     groups = df.groupBy(score.alias("s")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("q")).where("s is not null")
-    above = Window.orderBy(F.desc("s"))
-    return groups.withColumns({"tp": F.sum("p").over(above), "fp": F.sum("q").over(above)})
+    return running(groups, "s", {"tp": "p", "fp": "q"}, descending=True)
 
 
 def ranking(df: DataFrame, label: Column, score: Column) -> DataFrame:
@@ -143,6 +143,15 @@ def threshold_sweep(df: DataFrame, label: Column, score: Column, cost_fn: float
     return rows.withColumn("cost", F.col("fn") * cost_fn + F.col("fp") * cost_fp + F.col("tp") * cost_tp)
 
 
+def quality_cost_columns(tp: Column, fp: Column, fn: Column, tn: Column, cost_scrap=COST_SCRAP, cost_fa=COST_FALSE_ALARM, cost_insp=COST_INSPECTION, base_det_rate=0.0, base_fp_rate=0.0) -> dict[str, Column]:
+    """Cost without the model (at the rates that inspection has anyway), with it, and what it saves."""
+    found, alarms = F.floor((tp + fn) * base_det_rate), F.floor((fp + tn) * base_fp_rate)
+    before = (tp + fn - found) * cost_scrap + alarms * cost_fa + found * cost_insp
+    after = fn * cost_scrap + fp * cost_fa + tp * cost_insp
+    saved = before - after
+    return {"baseline_cost": before.cast("double"), "model_cost": after.cast("double"), "cost_savings": saved.cast("double"), "savings_percentage": F.when(before > 0, saved / before * 100).otherwise(0.0)}
+
+
 def best_threshold(sweep: DataFrame) -> float:
     """The cheapest threshold, the lowest of equal ones."""
     return sweep.agg(F.min_by("threshold", F.struct("cost", "threshold")).alias("t")).first()["t"]

@@ -10,11 +10,12 @@ import datetime
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import col, correlation, divide, finite, is_numeric, is_text, is_time, number
 from millwright.functions.constants import IMBALANCE, MODIFIED_Z, QUALITY_READY, QUALITY_USABLE, QUALITY_WEIGHTS, SENTINELS, SILENT_NULLS
+from millwright.functions.ordered import cuts, part_of, quantiles, running
 from millwright.functions.report import as_error, require, to_jsonable
 
 
@@ -73,9 +74,10 @@ def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def outliers_modified_z(df: DataFrame, columns: Sequence[str], threshold: float = MODIFIED_Z) -> DataFrame:
     """One row for each column: outliers by the modified z-score. Without median deviation the mean deviation scales the score."""
     cells = _cells(df, columns)
-    middle = cells.groupBy("column").agg(F.count("*").alias("n"), F.percentile("x", 0.5).alias("median"))
+    middle = quantiles(cells, "x", (0.5,), ("column",)).select("column", "n", F.col("q")[0].alias("median"))
     apart = cells.join(F.broadcast(middle), "column").withColumn("_d", F.abs(F.col("x") - F.col("median")))
-    spread = apart.groupBy("column", "n", "median").agg(F.percentile("_d", 0.5).alias("mad"), F.avg("_d").alias("mean_ad")).where("n >= 3 and mean_ad > 0")
+    mad = quantiles(apart, "_d", (0.5,), ("column",)).select("column", F.col("q")[0].alias("mad"))
+    spread = apart.groupBy("column", "n", "median").agg(F.avg("_d").alias("mean_ad")).join(mad, "column").where("n >= 3 and mean_ad > 0")
     score = F.when(F.col("mad") > 0, 0.6745 * (F.col("x") - F.col("median")) / F.col("mad")).otherwise((F.col("x") - F.col("median")) / (1.253314 * F.col("mean_ad")))
     scored = cells.join(F.broadcast(spread), "column").withColumn("_out", F.abs(score) > threshold)
     flagged = F.when(F.col("_out"), F.col("x"))
@@ -85,7 +87,7 @@ def outliers_modified_z(df: DataFrame, columns: Sequence[str], threshold: float
 
 def outliers_iqr(df: DataFrame, columns: Sequence[str], threshold: float = 1.5) -> DataFrame:
     cells = _cells(df, columns)
-    q = cells.groupBy("column").agg(F.count("*").alias("n"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(cells, "x", (0.25, 0.75), ("column",))
     q = q.select("column", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).where("n >= 3 and q3 > q1")
     fences = q.select("column", "n", (F.col("q1") - threshold * (F.col("q3") - F.col("q1"))).alias("flagged_min"), (F.col("q3") + threshold * (F.col("q3") - F.col("q1"))).alias("flagged_max"))
     out = (F.col("x") < F.col("flagged_min")) | (F.col("x") > F.col("flagged_max"))
@@ -265,8 +267,8 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson's correlation of average ranks within each pair's complete rows.
 
-    Ranks come from the counts of distinct values, so the windows hold distinct
-    values and not rows. Columns without nulls have one rank for all their
+    Ranks come from running sums over the counts of distinct values, range by
+    range of the values. Columns without nulls have one rank for all their
     pairs; only pairs with a null somewhere are ranked pair by pair.
     """
     known = df.agg(F.count("*").alias("n"), *(F.count(number(df, c)).alias(f"k{i}") for i, c in enumerate(columns))).first()
@@ -274,10 +276,10 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     parts = [_spearman_pairs(df, [p for p in _pairs(columns) if not set(p) <= set(full)])] if len(full) < len(columns) else []
     if len(full) > 1:
         rows = df.select(*(number(df, c).alias(f"x{i}") for i, c in enumerate(full)))
+        at = cuts(rows, {c: F.col(c) for c in rows.columns})
         for i in range(len(full)):
-            counts = rows.groupBy(f"x{i}").agg(F.count("*").alias("_n"))
-            rank = F.sum("_n").over(Window.orderBy(f"x{i}")) - (F.col("_n") - 1) / 2
-            rows = rows.join(counts.select(F.col(f"x{i}"), rank.alias(f"r{i}")), f"x{i}")
+            counts = running(rows.groupBy(f"x{i}").agg(F.count("*").alias("_n")), f"x{i}", {"_upto": "_n"}, part=part_of(F.col(f"x{i}"), at[f"x{i}"]))
+            rows = rows.join(counts.select(F.col(f"x{i}"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"r{i}")), f"x{i}")
         found = rows.agg(*(correlation(F.col(f"r{full.index(a)}"), F.col(f"r{full.index(b)}")).alias(f"p{k}") for k, (a, b) in enumerate(_pairs(full))))
         parts.append(found.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("correlation")) for k, (a, b) in enumerate(_pairs(full)))))))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -286,39 +288,90 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     rows = _pair_rows(df, pairs)
     for v in ("x", "y"):
-        counts = rows.groupBy("a", "b", v).agg(F.count("*").alias("_n"))
-        below = F.sum("_n").over(Window.partitionBy("a", "b").orderBy(v))
-        ranks = counts.select("a", "b", F.col(v).alias(f"_{v}"), (below - (F.col("_n") - 1) / 2).alias(f"r{v}"))
+        counts = running(rows.groupBy("a", "b", v).agg(F.count("*").alias("_n")), v, {"_upto": "_n"}, ("a", "b"))
+        ranks = counts.select("a", "b", F.col(v).alias(f"_{v}"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"r{v}"))
         rows = rows.join(ranks.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col(v) == F.col(f"_{v}"))).drop("_a", "_b", f"_{v}")
     return rows.groupBy("a", "b").agg(correlation(F.col("rx"), F.col("ry")).alias("correlation"))
 
 
-def kendall(df: DataFrame, columns: Sequence[str], blocks: int = 8) -> DataFrame:
+#: Points whose pairs are met all at once, and ranges that more points are cut into.
+_TOGETHER, _RANGES = 512, 16
+
+
+def kendall_score(x, y, n) -> float:
+    """The sum of n_i n_j sign(x_i - x_j) sign(y_i - y_j) over all pairs of points.
+
+    Many points are cut into ranges of x and of y. Pairs in one range of x are
+    scored among themselves; so are those in one range of y, by their ranges of
+    x; for all others the counts of the grid's cells are enough. So the work
+    grows a little faster than the points, not with their square.
+    """
+    import numpy as np
+
+    if len(x) < 2 or x.min() == x.max() or y.min() == y.max():
+        return 0.0
+    if len(x) <= _TOGETHER:
+        signs = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
+        return float(n @ signs @ n) / 2
+    total, places = 0.0, []
+    for v in (x, y):
+        distinct = np.unique(v)
+        edges = distinct[np.linspace(0, len(distinct), min(_RANGES, len(distinct)), endpoint=False).astype(int)[1:]]
+        places.append(np.searchsorted(edges, v, side="right"))
+    for place, a, b in ((places[0], x, y), (places[1], places[0], y)):
+        order = np.argsort(place, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            total += kendall_score(a[rows], b[rows], n[rows])
+    cells = np.zeros((_RANGES, _RANGES))
+    np.add.at(cells, tuple(places), n)
+    return total + _grid_score(cells)
+
+
+def _grid_score(cells) -> float:
+    """Pairs of cells that differ in both directions, concordant less discordant."""
+    import numpy as np
+
+    below = np.cumsum(np.cumsum(cells, axis=0), axis=1)
+    rows = np.cumsum(cells.sum(axis=1))
+    less = np.zeros_like(cells)
+    less[1:, 1:] = below[:-1, :-1]
+    more = np.zeros_like(cells)
+    more[1:, :] = rows[:-1, None] - below[:-1, :]
+    return float((cells * (less - more)).sum())
+
+
+def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Kendall's tau-b of all pairs of columns.
 
-    Rows with equal (x, y) are counted once, then blocks of distinct points meet
-    each other and sum the signs of their differences in numpy: quadratic in the
-    distinct points by nature, but no row of a pair of points ever exists.
+    Equal points are counted once and cut into ranges of x and of y at
+    approximate quantiles. Tasks score the points of one range of x, others
+    those of one range of y, and the counts of the grid's cells, a bounded
+    table, do the rest (see ``kendall_score``): no pair of points ever exists.
     """
     import numpy as np
     import pandas as pd
 
-    points = _pair_rows(df, _pairs(columns)).groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
-    points = points.withColumn("block", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = points.select("a", "b", F.col("block").alias("i"), F.explode(every).alias("j"), "x", "y", "n").where("i <= j")
-    right = points.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.explode(every).alias("i2"), F.col("block").alias("j2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2")).where("i2 <= j2")
-
-    def meet(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        total = 0.0
-        qx, qy, qn = (q[c].to_numpy() for c in ("x2", "y2", "n2"))
-        for k in range(0, len(p), 1024):
-            part = p.iloc[k : k + 1024]
-            signs = np.sign(part["x"].to_numpy()[:, None] - qx) * np.sign(part["y"].to_numpy()[:, None] - qy)
-            total += float(part["n"].to_numpy() @ (signs @ qn))
-        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "s": [total / 2 if key[2] == key[3] else total]})
-
-    signs = left.groupBy("a", "b", "i", "j").cogroup(right.groupBy("a2", "b2", "i2", "j2")).applyInPandas(meet, "a string, b string, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
+    names = list(dict.fromkeys(columns))
+    at = cuts(df, {f"c{i}": number(df, c) for i, c in enumerate(names)})
+    place = lambda c: part_of(number(df, c), at[f"c{names.index(c)}"])
+    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), number(df, a).alias("x"), number(df, b).alias("y"), place(a).alias("i"), place(b).alias("j")) for a, b in _pairs(columns)))
+    rows = df.select(F.inline(cells)).where("x is not null and y is not null")
+    points = rows.groupBy("a", "b", "x", "y", "i", "j").agg(F.count("*").cast("double").alias("n"))
+
+    def alone(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        x, y, n = (p[c].to_numpy(float) for c in ("x", "y", "n"))
+        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "s": [kendall_score(x, y, n)]})
+
+    def grid(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((p["i"].max() + 1, p["j"].max() + 1))
+        np.add.at(counts, (p["i"].to_numpy(), p["j"].to_numpy()), p["n"].to_numpy())
+        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "s": [_grid_score(counts)]})
+
+    schema = "a string, b string, s double"
+    inside = points.groupBy("a", "b", "i").applyInPandas(alone, schema)
+    beside = points.withColumn("x", F.col("i").cast("double")).groupBy("a", "b", "x", "y", "j").agg(F.sum("n").alias("n")).groupBy("a", "b", "j").applyInPandas(alone, schema)
+    apart = points.groupBy("a", "b", "i", "j").agg(F.sum("n").alias("n")).groupBy("a", "b").applyInPandas(grid, schema)
+    signs = inside.unionByName(beside).unionByName(apart).groupBy("a", "b").agg(F.sum("s").alias("s"))
     tied = lambda c: F.sum(F.col("n") * (F.col("n") - 1) / 2.0).alias(c)
     out = signs.join(points.groupBy("a", "b").agg(F.sum("n").alias("n")).select("a", "b", (F.col("n") * (F.col("n") - 1) / 2.0).alias("all")), ["a", "b"])
     for v in ("x", "y"):

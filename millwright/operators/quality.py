@@ -36,6 +36,27 @@ def capability(df: DataFrame, value: str, order_by, by=None, usl: float | None =
     return rows.withColumns({"sigma_ratio": divide(F.col("sigma_overall"), F.when(F.col("sigma_within") > 0, F.col("sigma_within"))), "skewness": skew, "excess_kurtosis": kurt}).drop("_g1", "_g2")
 
 
+def criteria_values(df: DataFrame, value: str, order_by, by=None, target: float | None = None, baseline_n: int | None = None) -> DataFrame:
+    """One row for each series with what the stability criteria judge: the ratio of sigmas, the points beyond 3 sigma, the share of EWMA violations and the fitted trend in sigmas.
+
+    The sigma within is widened for a short baseline. One exchange by series serves all of them.
+    """
+    by = spc._by(by)
+    inflation = 1 + BASELINE_INFLATION / math.sqrt(max(2, int(baseline_n))) if baseline_n else 1.0
+    points = spc.with_baseline(spc.series(df, value, order_by, by), by, baseline_n, target)
+    points = points.withColumn("sigma", F.col("sigma") * inflation)
+    points = spc._smooth(points, by, TREND_LAMBDA, F.col("centre"))
+    half = 3.0 * F.col("sigma") * F.sqrt(F.lit(TREND_LAMBDA / (2 - TREND_LAMBDA)) * (1 - F.pow(F.lit(1.0 - TREND_LAMBDA), 2 * (F.col("idx") + 1))))
+    apart, drifted = F.abs(F.col("x") - F.col("centre")) > 3 * F.col("sigma"), F.abs(F.col("stat") - F.col("centre")) > half
+    known = F.first("sigma") > 0
+    rows = points.groupBy(*by).agg(
+        F.count("*").alias("n_points"), divide(F.stddev_samp("x"), F.first("sigma") / inflation).alias("sigma_ratio"), F.when(known, F.count_if(apart)).otherwise(0).alias("beyond"),
+        F.when(known, F.avg(drifted.cast("double"))).alias("ewma_violation_rate"), F.regr_slope("x", F.col("idx")).alias("slope"), F.regr_r2("x", F.col("idx")).alias("r2"), F.first("sigma").alias("sigma"),
+    )
+    n = F.col("n_points")
+    return rows.withColumns({"outlier_rate_beyond_3_sigma": F.col("beyond") / n, "fitted_trend_sigmas": F.when(n >= 3, F.abs(F.col("slope") * (n - 1)) / F.when(F.col("sigma") > 0, F.col("sigma"))), "inflation": F.lit(inflation)})
+
+
 def _sigma_ratio(c: dict) -> dict:
     value, limit = c["sigma_ratio"], CAPABILITY_RATIO * c["inflation"]
     return {"name": "sigma_ratio", "value": value, "limit": limit, "fired": value is not None and value > limit, "why": lambda: f"the overall sigma is {value:.2f} times the sigma within (limit {limit:.2f})"}
@@ -73,18 +94,14 @@ def calculate_capability(df: DataFrame, value: str, order_by, usl=None, lsl=None
         raise ValueError("One specification limit at least must be given.")
     usl, lsl, target = (None if v is None else finite_number(v, k) for k, v in (("usl", usl), ("lsl", lsl), ("target", target)))
     if usl is not None and lsl is not None and usl <= lsl:
-        raise ValueError(f"USL ({usl}) must be greater than LSL ({lsl}).")
+        raise ValueError(f"The upper limit ({usl}) has to lie above the lower one ({lsl}).")
     row = capability(df, value, order_by, None, usl, lsl, baseline_n).first()
     if row is None or row["n_points"] < 2:
         raise ValueError(f"At least 2 numeric values are needed, got {row['n_points'] if row else 0}.")
     n, within = row["n_points"], row["sigma_within"]
     inflation = 1 + BASELINE_INFLATION / math.sqrt(max(2, int(baseline_n))) if baseline_n else 1.0
-    sigma, centre = within * inflation, target if target is not None else row["baseline_centre"]
-    beyond, rate = 0, None
-    if sigma > 0:
-        beyond = spc.control_rules(df, value, order_by, target=centre, sigma=sigma, rules=(1,)).where("rule_1").count()
-        rate = spc.ewma(df, value, order_by, weight=TREND_LAMBDA, target=centre, sigma=sigma).where("violation").count() / n
-    context = {"n": n, "sigma_ratio": row["sigma_ratio"], "inflation": inflation, "sigma": sigma, "beyond": beyond, "trend_rate": rate, "slope": row["slope"], "r2": row["r2"]}
+    found = criteria_values(df, value, order_by, None, target, baseline_n).first()
+    context = {"n": n, "sigma_ratio": row["sigma_ratio"], "inflation": inflation, "sigma": found["sigma"], "beyond": found["beyond"], "trend_rate": found["ewma_violation_rate"], "slope": row["slope"], "r2": row["r2"]}
     judged = [c(context) for c in CRITERIA]
     reasons = [c["why"]() for c in judged if c["fired"]]
     cpk = row["cpk"]
@@ -111,17 +128,24 @@ def gauge_sums(df: DataFrame, part: str, operator: str, measurement: str) -> Dat
     """One row of sums of squares and counts of a crossed study: the means of all four grains come from one aggregate over grouping sets."""
     y = number(df, measurement)
     rows = df.select(col(part).alias("p"), col(operator).alias("o"), y.alias("y"))
-    grains = rows.groupingSets([["p", "o"], ["p"], ["o"], []], "p", "o").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.avg("y").alias("m"), F.sum(F.col("y") * F.col("y")).alias("q"), F.sum(F.col("y").isNull().cast("long")).alias("bad"))
+    grains = rows.groupingSets([["p", "o"], ["p"], ["o"], []], "p", "o").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.avg("y").alias("m"), (F.var_pop("y") * F.count("y")).alias("q"), F.sum(F.col("y").isNull().cast("long")).alias("bad"))
     whole = grains.where("g = 3").select(F.col("m").alias("mean"), F.col("n").alias("total"), F.col("q").alias("squares"), F.col("bad"))
     apart = (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")) * F.col("n")
     joined = grains.drop("bad", "q").join(F.broadcast(whole), F.lit(True))  # one row
     at = lambda g, c: F.sum(F.when(F.col("g") == g, c))
     return joined.groupBy("mean", "total", "bad").agg(
-        F.max(F.col("squares") - F.col("total") * F.col("mean") * F.col("mean")).alias("ss_total"), at(1, apart).alias("ss_parts"), at(2, apart).alias("ss_operators"), at(0, apart).alias("ss_cells"),
+        F.max("squares").alias("ss_total"), at(1, apart).alias("ss_parts"), at(2, apart).alias("ss_operators"), at(0, apart).alias("ss_cells"),
         at(1, F.lit(1)).alias("parts"), at(2, F.lit(1)).alias("operators"), at(0, F.lit(1)).alias("cells"), F.min(F.when(F.col("g") == 0, F.col("n"))).alias("least"), F.max(F.when(F.col("g") == 0, F.col("n"))).alias("most"),
     )
 
 
+def cell_balance(df: DataFrame, part: str, operator: str) -> DataFrame:
+    """(part, operator, n, usual, balanced) of each cell of a study; the usual number is the most frequent one, the least of equal ones."""
+    cells = df.groupBy(col(part).cast("string").alias("part"), col(operator).cast("string").alias("operator")).agg(F.count("*").alias("n"))
+    usual = cells.groupBy(F.col("n").alias("usual")).agg(F.count("*").alias("k")).agg(F.max_by("usual", F.struct("k", -F.col("usual"))).alias("usual"))
+    return cells.join(F.broadcast(usual), F.lit(True)).withColumn("balanced", F.col("n") == F.col("usual"))  # one row
+
+
 @as_error
 def calculate_gauge_rr(df: DataFrame, part_col: str, operator_col: str, measurement_col: str) -> dict:
     require(df, "df", part_col, operator_col, measurement_col)
@@ -134,13 +158,12 @@ def calculate_gauge_rr(df: DataFrame, part_col: str, operator_col: str, measurem
     for name, k in (("parts", a), ("operators", b)):
         if k < 2:
             raise ValueError(f"At least 2 {name} are needed, found {k}.")
-    counts = df.groupBy(col(part_col).cast("string").alias("p"), col(operator_col).cast("string").alias("o")).count()
     if s["cells"] != a * b:
         raise ValueError(f"Unbalanced design: {a * b - s['cells']} of {a * b} combinations of part and operator are missing.")
     if s["least"] != s["most"]:
-        usual = counts.groupBy("count").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "count").first()["count"]
-        odd = {f"({r['p']}, {r['o']})": r["count"] for r in counts.where(F.col("count") != usual).orderBy("p", "o").limit(20).collect()}
-        raise ValueError(f"Unbalanced design: {usual} replicates are usual, but not in {odd}.")
+        strange = cell_balance(df, part_col, operator_col).where("not balanced").orderBy("part", "operator").limit(20).collect()
+        odd = {f"({r['part']}, {r['operator']})": r["n"] for r in strange}
+        raise ValueError(f"Unbalanced design: {strange[0]['usual']} replicates are usual, but not in {odd}.")
     n = s["least"]
     if n < 2:
         raise ValueError(f"At least 2 replicates are needed, found {n}.")

@@ -64,11 +64,11 @@ def savings_columns(tp: Column, fp: Column, fn: Column, breakdown=COST_BREAKDOWN
 def calculate_maintenance_savings(true_positives, false_positives, false_negatives, cost_breakdown=COST_BREAKDOWN, cost_planned=COST_PLANNED, cost_inspection=COST_CALLOUT) -> dict:
     tp, fp, fn = int(true_positives), int(false_positives), int(false_negatives)
     if min(tp, fp, fn) < 0:
-        raise ValueError("Counts must not be negative.")
+        raise ValueError("tp, fp and fn count things, so none can be below 0.")
     costs = {"cost_breakdown": cost_breakdown, "cost_planned": cost_planned, "cost_inspection": cost_inspection}
     costs = {k: finite_number(v, k) for k, v in costs.items()}
     if bad := [k for k, v in costs.items() if v < 0]:
-        raise ValueError(f"{bad[0]} must be a finite non-negative number.")
+        raise ValueError(f"{bad[0]} has to be 0 or a positive finite number.")
     breakdown, planned, inspection = costs.values()
     before = (tp + fn) * breakdown
     after = fn * breakdown + tp * (inspection + planned) + fp * inspection
@@ -131,10 +131,10 @@ def calculate_availability(mtbf_hours, mttr_hours, mdt_hours=None) -> dict:
     given = {"mtbf_hours": mtbf_hours, "mttr_hours": mttr_hours} | ({} if mdt_hours is None else {"mdt_hours": mdt_hours})
     given = {k: finite_number(v, k) for k, v in given.items()}
     if bad := [k for k, v in given.items() if v < 0]:
-        raise ValueError(f"{bad[0]} must be a finite non-negative number.")
+        raise ValueError(f"{bad[0]} has to be 0 or a positive finite number.")
     up, down = given["mtbf_hours"], given["mttr_hours"]
     if up + down <= 0:
-        raise ValueError("Availability is undefined when MTBF and MTTR are both zero.")
+        raise ValueError("With MTBF and MTTR both 0 there is no availability.")
     inherent = up / (up + down)
     mdt = given.get("mdt_hours")
     operational = up / (up + mdt) if mdt is not None and up + mdt > 0 else None
@@ -157,11 +157,11 @@ def calculate_oee(planned_time_min, run_time_min, ideal_cycle_time_min, total_co
     planned, run, cycle, total, good = (finite_number(v, k) for k, v in zip(names, (planned_time_min, run_time_min, ideal_cycle_time_min, total_count, good_count)))
     for name, value in zip(names, (planned, run, cycle, total, good)):
         if value < 0:
-            raise ValueError(f"{name} must be a finite non-negative number, got {value!r}.")
+            raise ValueError(f"{name} has to be 0 or a positive finite number, not {value!r}.")
         if value == 0 and name in ("planned_time_min", "run_time_min", "total_count"):
-            raise ValueError(f"{name} must be greater than zero.")
+            raise ValueError(f"{name} cannot be 0.")
     if good > total:
-        raise ValueError(f"good_count ({good:g}) cannot exceed total_count ({total:g}).")
+        raise ValueError(f"There cannot be more good pieces ({good:g}) than pieces ({total:g}).")
     availability, performance, quality = run / planned, cycle * total / run, good / total
     warnings = []
     if run > planned:
@@ -195,7 +195,7 @@ def calculate_pareto(df: DataFrame, category_col: str, value_col: str | None = N
     require(df, "df", category_col, *[value_col] * (value_col is not None))
     limit = finite_number(cutoff, "cutoff")
     if not 0 < limit <= 1:
-        raise ValueError(f"cutoff must be greater than 0 and at most 1, got {cutoff!r}.")
+        raise ValueError(f"cutoff is a share above 0, up to 1; {cutoff!r} is not.")
     if value_col is not None and df.where(number(df, value_col) < 0).take(1):
         raise ValueError(f"{value_col} holds negative values, for which shares have no meaning.")
     rows = pareto(df, category_col, value_col, limit).orderBy("rank").drop("rank").collect()
@@ -274,9 +274,9 @@ def _weibull(x: np.ndarray, confidence: float, n_bootstrap: int, seed: int, leas
     usable = x[np.isfinite(x) & (x > 0)]
     out |= {"n_intervals": len(usable), "dropped_non_positive": len(x) - len(usable), "bootstrap_fits": 0, "confidence": confidence}
     if len(x) and not len(usable):
-        return out | {"reason": "No interval is positive and finite, and only such can follow a Weibull law.", "error": "Every interval is non-positive or non-finite."}
+        return out | {"reason": "No interval is positive and finite, and only such can follow a Weibull law.", "error": "No interval can be used."}
     if len(usable) < least:
-        return out | {"reason": f"A fit needs {least} usable intervals at least; there are {len(usable)}.", "error": f"Found {len(usable)} usable interval(s), fewer than min_intervals={least}."}
+        return out | {"reason": f"A fit needs {least} usable intervals at least; there are {len(usable)}.", "error": f"{len(usable)} usable intervals are too few (min_intervals is {least})."}
     fitted = weibull_mle(usable)
     if fitted is None:
         return out | {"reason": "The likelihood has no maximum with a shape from 0.05 to 50.", "error": "Weibull fit failed."}
@@ -298,7 +298,7 @@ def _weibull(x: np.ndarray, confidence: float, n_bootstrap: int, seed: int, leas
     mttf, b10 = eta * math.gamma(1 + 1 / beta), eta * (-math.log(0.9)) ** (1 / beta)
     out |= {"beta": beta, "eta": eta, "beta_ci_lower": low, "beta_ci_upper": high, "constant_hazard_is_valid": valid, "hazard_pattern": pattern, "mttf": mttf if math.isfinite(mttf) else None, "b10_life": b10, "bootstrap_fits": len(fits)}
     if len(usable) < 30:
-        out["small_sample_warning"] = f"The verdict rests on {len(usable)} intervals. Tests on constant-hazard data of such a size call up to 11 % of samples not constant, and the shape itself is biased upwards."
+        out["small_sample_warning"] = f"The verdict rests on {len(usable)} intervals. On so few, samples with a constant hazard are called something else more often than the confidence says, and the shape itself is biased upwards."
     return out | {"reason": reason, "error": None}
 
 
@@ -312,7 +312,7 @@ def calculate_weibull(intervals: Sequence[float], confidence=WEIBULL_CONFIDENCE,
     except (TypeError, ValueError):
         conf = WEIBULL_CONFIDENCE
     if not 0 < conf < 1:
-        sentence = f"confidence must be in (0, 1), got {confidence!r}."
+        sentence = f"A confidence lies between 0 and 1; {confidence!r} does not."
         return _weibull(np.zeros(0), 0.5, 1, SEED, 1) | {"confidence": None, "n_intervals": 0, "reason": sentence, "error": sentence}
 
     def whole(value, default):
@@ -364,11 +364,11 @@ def calculate_crow_amsaa(failure_times: Sequence[float], observation_end: float,
     try:
         conf = positive_number(confidence, "confidence")
         if conf >= 1:
-            raise ValueError(f"confidence must be strictly between 0 and 1, got {confidence!r}.")
+            raise ValueError(f"A confidence lies between 0 and 1; {confidence!r} does not.")
         out["confidence"] = conf
         end = out["observation_end"] = positive_number(observation_end, "observation_end")
         if isinstance(failure_times, bool):
-            raise ValueError("failure_times must be a sequence of numbers.")
+            raise ValueError("failure_times holds no sequence of numbers.")
         t = np.asarray(failure_times, float).ravel()
         least = int(min_failures) if not isinstance(min_failures, bool) and int(min_failures) >= 1 else CROW_MIN
     except (TypeError, ValueError) as e:
@@ -395,17 +395,37 @@ def calculate_crow_amsaa(failure_times: Sequence[float], observation_end: float,
     }
 
 
+def poisson_quantile_column(p: float, mean: Column) -> Column:
+    """The smallest count whose Poisson distribution function reaches p, as a fold over the counts up to far behind it."""
+    last = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
+    step = lambda s, k: F.struct(
+        (s["upto"] + s["term"]).alias("upto"),
+        (s["term"] * mean / (k + 1)).alias("term"),
+        F.when(s["found"].isNull() & (s["upto"] + s["term"] >= p), k).otherwise(s["found"]).alias("found"),
+    )
+    start = F.struct(F.lit(0.0).alias("upto"), F.exp(-mean).alias("term"), F.lit(None).cast("int").alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), last), start, step)["found"]
+
+
+def forecast_columns(n_failures: Column, lookback: Column, horizon: Column, interval: float = FORECAST_INTERVAL) -> dict[str, Column]:
+    """rate, expected count, its Poisson interval and the chance of any failure ahead. Means up to 700 (a smaller e**-mean is 0)."""
+    rate = divide(n_failures, lookback)
+    mean = rate * horizon
+    tail = (1 - interval) / 2
+    return {"rate": rate, "expected": mean, "lower": poisson_quantile_column(tail, mean), "upper": poisson_quantile_column(1 - tail, mean), "prob_at_least_one": -F.expm1(-mean)}
+
+
 def forecast_failure_count(n_failures: int, lookback: float, horizon: float, interval: float = FORECAST_INTERVAL) -> dict:
     out: dict[str, Any] = dict.fromkeys(("expected", "lower", "upper", "interval", "rate", "prob_at_least_one", "n_failures", "lookback", "horizon"))
     try:
         if isinstance(n_failures, bool) or float(n_failures) < 0 or float(n_failures) != int(n_failures):
-            raise ValueError(f"n_failures must be a whole number >= 0, got {n_failures!r}.")
+            raise ValueError(f"n_failures counts failures; {n_failures!r} is no count.")
         out["n_failures"] = n = int(n_failures)
         out["lookback"] = back = positive_number(lookback, "lookback")
         out["horizon"] = ahead = positive_number(horizon, "horizon")
         out["interval"] = share = positive_number(interval, "interval")
         if share >= 1:
-            raise ValueError(f"interval must be strictly between 0 and 1, got {interval!r}.")
+            raise ValueError(f"An interval covers a share between 0 and 1; {interval!r} is none.")
     except (TypeError, ValueError, OverflowError) as e:
         return out | {"distribution": [], "note": str(e), "error": str(e)}
     mean = n / back * ahead
@@ -464,7 +484,7 @@ def calculate_optimal_pm_interval(beta, eta, cost_planned, cost_breakdown, min_s
 
 def _points(points) -> int:
     if isinstance(points, bool) or float(points) != int(points) or not 10 <= int(points) <= 500:
-        raise ValueError(f"points must be an integer in [10, 500], got {points!r}.")
+        raise ValueError(f"points may be any whole number from 10 to 500, not {points!r}.")
     return int(points)
 
 

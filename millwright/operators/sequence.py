@@ -25,17 +25,18 @@ STATS = ("mean", "std", "slope", "delta_baseline")
 def next_event(readings: DataFrame, events: DataFrame, asset_col: str, time_col: str, event_time_col: str, event_asset_col: str | None = None, to: str = "next_event") -> DataFrame:
     """As-of join: each reading with its asset's first event strictly later, or null.
 
-    Events and readings are one sorted stream per asset; an event sorts before
-    the readings of its own time, and a window looks for the first event after
-    each reading. Each reading stays one row, however many events there are.
+    Events and readings are one stream per asset, sorted backwards in time; an
+    event sorts behind the readings of its own time. A window carries the last
+    event seen along the stream, in time proportional to the rows. Each reading
+    stays one row, however many events there are.
     """
     names = readings.columns
     row = F.struct(*(col(c) for c in names))
     kind = readings.schema[time_col].dataType
     a = readings.select(col(asset_col).cast("string").alias("_asset"), col(time_col).alias("_at"), F.lit(1).alias("_kind"), row.alias("_row"))
     b = events.select(col(event_asset_col or asset_col).cast("string").alias("_asset"), col(event_time_col).cast(kind).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row")).where("_asset is not null and _at is not null")
-    ahead = Window.partitionBy("_asset").orderBy("_at", "_kind").rowsBetween(1, Window.unboundedFollowing)
-    found = F.first(F.when(F.col("_kind") == 0, F.col("_at")), ignorenulls=True).over(ahead)
+    later = Window.partitionBy("_asset").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.last(F.when(F.col("_kind") == 0, F.col("_at")), ignorenulls=True).over(later)
     return a.unionByName(b).withColumn("_next", found).where("_kind = 1").select(*(F.col("_row")[c].alias(c) for c in names), F.col("_next").alias(to))
 
 
@@ -66,6 +67,11 @@ def label_failures(readings: DataFrame, events: DataFrame, asset_col: str, time_
     return rows.withColumn(label_col, F.coalesce((t > lead_time) & (t <= horizon), F.lit(False)).cast(T.ByteType()))
 
 
+def unmatched(readings: DataFrame, events: DataFrame) -> DataFrame:
+    """All assets of either side, in a row each: columns of ``readings`` (asset) and of ``events`` (event_asset), null where a side lacks the asset."""
+    return readings.join(events, F.col("asset").cast("string") == F.col("event_asset").cast("string"), "full_outer")
+
+
 def build_failure_labels(readings: DataFrame, events: DataFrame, asset_col: str, time_col: str, horizon: Any, event_time_col="failed_at", event_asset_col: str | None = None, label_col="failure", lead_time: Any = 0) -> tuple[DataFrame, dict]:
     """The labelled readings and a report of what the labels rest on. Bad arguments raise."""
     event_asset = event_asset_col or asset_col
@@ -92,7 +98,7 @@ def build_failure_labels(readings: DataFrame, events: DataFrame, asset_col: str,
     t = F.col("time_to_event")
     per = labelled.groupBy(col(asset_col).alias("asset")).agg(F.count("*").alias("rows"), F.sum(col(label_col).cast("long")).alias("positives"), F.sum(t.isNull().cast("long")).alias("censored"), F.sum(F.coalesce((t > 0) & (t <= lead), F.lit(False)).cast("long")).alias("inside"))
     seen = events.where(col(event_asset).isNotNull()).groupBy(col(event_asset).alias("event_asset")).agg(F.count(col(event_time_col)).alias("events"))
-    both = per.join(seen, F.col("asset").cast("string") == F.col("event_asset").cast("string"), "full_outer").cache()
+    both = unmatched(per, seen).cache()
     total = both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "positives", "censored", "inside")), F.count("asset").alias("assets"), F.coalesce(F.sum(F.when(F.col("asset").isNotNull(), F.col("events"))), F.lit(0)).alias("used")).first()
     ids = lambda where, c: [r[0] for r in both.where(where).select(c).orderBy(F.col(c).cast("string")).limit(51).collect()]
     count = lambda where: both.where(where).count()
@@ -141,7 +147,7 @@ def window_features(readings: DataFrame, asset_col: str, time_col: str, value_co
             base = F.avg(F.when(F.col("_rn") <= baseline_n, x)).over(whole)
             new[f"{c}_vs_baseline"] = F.when((F.col("_rn") > baseline_n) & (F.count("*").over(whole) >= baseline_n), x - base)
     if clash := [c for c in new if c in readings.columns]:
-        raise ValueError(f"Feature column(s) already in readings: {clash}.")
+        raise ValueError(f"The readings hold columns of these names already: {clash}.")
     return rows.withColumns(new).drop("_rn", *(f"_d_{c}" for c in value_cols))
 
 
@@ -150,11 +156,11 @@ def add_window_features(readings: DataFrame, asset_col: str, time_col: str, valu
     require(readings, "readings", asset_col, time_col, *[label_col] * (label_col is not None))
     whole = lambda v, least: isinstance(v, int) and not isinstance(v, bool) and v >= least
     if not stats or (bad := [s for s in stats if s not in STATS]):
-        raise ValueError(f"stats must be a non-empty choice of {', '.join(STATS)}, got {stats!r}.")
+        raise ValueError(f"stats may name {', '.join(STATS)}, one at least; got {stats!r}.")
     if not windows or not all(whole(w, 2) for w in windows):
-        raise ValueError(f"windows must be integers >= 2, got {windows!r}.")
+        raise ValueError(f"Each window needs 2 readings or more; got {windows!r}.")
     if not whole(baseline_n, 1):
-        raise ValueError(f"baseline_n must be a positive integer, got {baseline_n!r}.")
+        raise ValueError(f"baseline_n counts readings, so {baseline_n!r} cannot be it.")
     if value_cols is None:
         value_cols = [c for c in readings.columns if c not in {asset_col, time_col, label_col, "time_to_event"} and is_numeric(readings, c)]
     if not value_cols:

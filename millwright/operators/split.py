@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions.columns import col, portable_hash
 from millwright.functions.constants import SEED
+from millwright.functions.ordered import running
 from millwright.functions.report import require
 
 #: Buckets of the hash by which ranks are found in two steps.
@@ -73,17 +74,20 @@ def group_parts(df: DataFrame, group_col: str, rows_wanted: float, seed: int = S
     """(group, n, part): groups in hash order go to test until enough rows are there; one group at least stays in train."""
     counts = df.groupBy(col(group_col).alias("_group")).agg(F.count("*").alias("n"))
     h = portable_hash(F.lit(seed), F.col("_group").cast("string"))
-    order = Window.orderBy(h, F.col("_group").cast("string"))
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank, groups = F.row_number().over(order), F.count("*").over(Window.partitionBy())
-    return counts.withColumns({"_before": before, "_rank": rank, "_groups": groups}).withColumn("part", F.when((F.col("_before") < rows_wanted - 1e-9) & (F.col("_rank") < F.col("_groups")), "test").otherwise("train")).drop("_before", "_rank", "_groups")
+    counts = counts.withColumns({"_h": h, "_name": F.col("_group").cast("string"), "_one": F.lit(1)})
+    rows = running(counts, "_h", {"_upto": "n", "_rank": "_one"}, part=F.floor(F.col("_h") / (2**32 // BUCKETS)).cast("int"), then=["_name"])
+    rows = rows.join(F.broadcast(counts.agg(F.count("*").alias("_groups"))), F.lit(True))  # one row
+    return rows.withColumn("part", F.when((F.col("_upto") - F.col("n") < rows_wanted - 1e-9) & (F.col("_rank") < F.col("_groups")), "test").otherwise("train")).drop("_h", "_name", "_one", "_upto", "_rank", "_groups")
 
 
 def time_cut(df: DataFrame, time_col: str, n_test: int):
     """The first time of the test part: that of the row after the training rows, so no time falls on both sides. Null times are last."""
-    counts = df.groupBy(col(time_col).alias("t")).agg(F.count("*").alias("n"))
-    after = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.col("t").desc_nulls_first()))).where(F.col("upto") >= n_test)
-    return after.orderBy("upto").select("t").first()
+    nulls = df.where(col(time_col).isNull()).count()
+    if nulls >= n_test:
+        return df.where(col(time_col).isNull()).select(col(time_col).alias("t")).first()
+    counts = df.where(col(time_col).isNotNull()).groupBy(col(time_col).alias("t")).agg(F.count("*").alias("n"))
+    after = running(counts, "t", {"upto": "n"}, descending=True).where(F.col("upto") >= n_test - nulls)
+    return after.agg(F.max("t").alias("t"), F.count("*").alias("n")).where("n > 0").select("t").first()
 
 
 def _checked(df: DataFrame, target_col: str, test_size, random_state, group_col, time_col) -> tuple[DataFrame, float | int]:
@@ -131,8 +135,11 @@ def tail_split(df: DataFrame, target_col: str, order_col: str, test_size: float
     rows, size = _checked(df, target_col, test_size, SEED, None, None)
     n = rows.count()
     keyed = rows.withColumn("_k", col(order_col))
-    chosen = keyed.select("_k").orderBy(F.desc("_k")).limit(_size(size, n)).agg(F.min("_k").alias("cut")).first()["cut"]
-    return keyed.withColumn("part", F.when(F.col("_k") >= F.lit(chosen), "test").otherwise("train")).drop("_k")
+    counts = keyed.where("_k is not null").groupBy("_k").agg(F.count("*").alias("n"))
+    cut = running(counts, "_k", {"upto": "n"}, descending=True).where(F.col("upto") >= _size(size, n)).agg(F.max("_k").alias("cut"))
+    # the cut is one row; without one, too few rows have a place in the order, and all are tested
+    test = F.coalesce(F.col("_k") >= F.col("cut"), F.col("cut").isNull())
+    return keyed.join(F.broadcast(cut), F.lit(True)).withColumn("part", F.when(test, "test").otherwise("train")).drop("_k", "cut")
 
 
 def _unpack(parts: DataFrame, target_col: str, names: tuple[str, ...], drop: str | None) -> tuple[DataFrame, ...]:

@@ -447,7 +447,7 @@ def _study(spark, sf_dir):
 @query(
     "gauge_rr_components",
     """WITH q AS (SELECT p_brand AS p, l_returnflag AS o, l_quantity AS y FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, l_returnflag ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE k <= 3),
-g AS (SELECT p, o, grouping(p, o) AS g, count(*) AS n, avg(y) AS m FROM q GROUP BY GROUPING SETS ((p, o), (p), (o), ())), w AS (SELECT avg(y) AS mean, count(*) AS total, sum(y * y) - count(*) * avg(y) * avg(y) AS ss FROM q)
+g AS (SELECT p, o, grouping(p, o) AS g, count(*) AS n, avg(y) AS m FROM q GROUP BY GROUPING SETS ((p, o), (p), (o), ())), w AS (SELECT avg(y) AS mean, count(*) AS total, var_pop(y) * count(*) AS ss FROM q)
 SELECT total, round(ss, 4) AS ss_total, round(sum(n * (m - mean) * (m - mean)) FILTER (g = 1), 4) AS ss_parts, round(sum(n * (m - mean) * (m - mean)) FILTER (g = 2), 4) AS ss_operators, round(sum(n * (m - mean) * (m - mean)) FILTER (g = 0), 4) AS ss_cells, count(*) FILTER (g = 1) AS parts, count(*) FILTER (g = 2) AS operators, count(*) FILTER (g = 0) AS cells FROM g, w GROUP BY total, ss""",
 )
 def gauge_rr_components(spark, sf_dir):
