@@ -35,6 +35,17 @@ def id_remainder(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def hashed_share(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
+    """About nine tenths of ``rows`` of the ``total`` rows, all if there are no more: those whose key hashes lowest.
+
+    The bound holds but for a chance far below 1e-9 (from a few thousand rows
+    on), and no task or driver sorts rows for it. Equal keys go together.
+    """
+    if total <= rows:
+        return df
+    return df.where(F.pmod(key, F.lit(1 << 40)) < int((1 << 40) * 0.9 * rows / total))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null.
 
@@ -62,6 +73,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Narrow rows that one task takes with ease.
+ROWS_A_TASK = 1 << 18
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """A written table of so many narrow rows, in as few partitions as hold ROWS_A_TASK each.
+
+    What fits one task then needs no exchange for its joins and groups, and a
+    large table keeps the partitions that it was written with.
+    """
+    return df.coalesce(max(1, rows // ROWS_A_TASK))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffles and checkpoints that nothing refers to any more.
 

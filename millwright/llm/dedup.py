@@ -8,19 +8,27 @@ prefixes, are candidates. A pair that reaches the similarity agrees in DEPTH
 minima with probability s ** DEPTH, so with s = 0.8 some tree brings it into one
 region with probability 1 - (1 - 0.8 ** 3) ** 16 > 0.99998.
 
+The depth adapts to the region. One with more than CROWD nodes in several
+components is searched again with longer prefixes, in as many more trees as
+keep that probability (LEVELS); what is still crowded at the last level is
+searched in blocks. So the regions whose pairs are all looked at stay small,
+and no link is lost to a cap.
+
 Candidates are confirmed on the full sets, after a look at the signatures: a
 pair at 0.8 agrees in fewer than AGREE of the HASHES minima with probability
-below 1e-6. Four steps find the links:
+below 1e-6. Nodes of crowded regions, where many pairs come near the similarity
+without reaching it, get LONG minima of one byte for a second look, as sure as
+the first and four times as sharp. The steps:
 
 1. next neighbours in the sorted orders of some trees;
 2. several neighbours in all orders, where they lie in different components so
    far and their signatures look alike; these join most of every region;
 3. in regions of up to CROWD nodes, all pairs in different components;
-4. crowded regions are searched deeper: nodes outside the region's largest
-   component meet all nodes of other components, in blocks.
+4. the nodes of more crowded regions go on to the next level and its regions.
 
-So no link between different components is lost to a cap, no group is expanded
-into all its pairs, and no group is collected into one task.
+Each step finds components of the components so far, so the graphs shrink.
+No group is expanded into all its pairs, and none is collected into one task:
+sorted orders of crowded regions are dealt in runs of about RUN nodes.
 
 Null and empty texts have an empty set and are linked with nothing. Rows with a
 null id take no part: their component is null and they are kept. Rows that
@@ -37,7 +45,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.llm import common
@@ -47,11 +55,16 @@ WORDS, PERCENT = 4, 80
 TREES, DEPTH = 16, 3
 #: Minima in a signature, of two bytes each; a tree's order starts at its own DEPTH of them and goes on for PATH more.
 HASHES, PATH = 128, 12
-CROWD, UNIT = 64, 1024
+#: Nodes of a region whose pairs are all looked at; nodes of a run of a sorted order; nodes on a block's side.
+CROWD, RUN, UNIT = 64, 1024, 1024
+#: Longer prefixes for crowded regions, and the trees that bring a pair at 0.8 together with a probability of 1 - 1e-5.
+LEVELS = ((6, 40), (9, 84), (12, 164))
 #: Minima that a pair must have in common: z = -5.2 at a similarity of 0.8. And those of likely pairs.
 AGREE, LIKELY = 79, 96
-#: Neighbours that the second step looks at.
-NEAR = 4
+#: Minima of a long signature, and those to have in common: z = -5.2 at 0.8, at which two of them agree with probability 0.8008.
+LONG, LONG_AGREE = 1024, 753
+#: Trees of the first step, and neighbours that the second step looks at.
+FIRST, NEAR = 4, 4
 #: Bits of the map of documents with company.
 MARKS = 1 << 23
 _U = np.uint64
@@ -121,13 +134,41 @@ def signatures(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("_dedup_text")).mapInArrow(run, "doc long, n long, f1 long, f2 long, sig binary")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose region (tree, region) holds two nodes at least, with its size as ``crowd``."""
+    size = rows.groupBy("tree", "region").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    return rows.join(size, ["tree", "region"])
+
+
 def forest(nodes: DataFrame) -> DataFrame:
-    """(tree, region, path, node, n) of the regions that hold two nodes at least, with the region's size."""
+    """(tree, region, path, node, crowd) of the regions that hold two nodes at least."""
     width = 2 * DEPTH
-    rows = nodes.select("node", "n", F.concat("sig", "sig").alias("twice"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = nodes.select("node", F.concat("sig", "sig").alias("twice"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     region, path = F.expr(f"substring(twice, tree * {width} + 1, {width})"), F.expr(f"substring(twice, tree * {width} + {width + 1}, {2 * PATH})")
-    rows = rows.select(F.col("tree").cast("byte").alias("tree"), F.xxhash64(region).alias("region"), path.alias("path"), "node", "n")
-    return rows.withColumn("crowd", F.count("*").over(Window.partitionBy("tree", "region"))).where("crowd > 1")
+    return _shared(rows.select("tree", F.xxhash64(region).alias("region"), path.alias("path"), "node"))
+
+
+def deeper(nodes: DataFrame, level: int) -> DataFrame:
+    """(tree, region, node, crowd) of the regions of a level, whose prefixes are its own choices of minima."""
+    depth, trees = LEVELS[level]
+    rng = np.random.default_rng(100 + level)
+    chosen = np.stack([rng.choice(HASHES, depth, replace=False) for _ in range(trees)])
+    odd = _odd(depth, 200 + level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+                minima = _minima(part.column(1)).astype(np.uint64)
+                region = np.stack([_scramble(((minima[:, c] + _U(1)) * odd).sum(axis=1, dtype=np.uint64)) for c in chosen], axis=1)
+                node = np.repeat(np.asarray(part.column(0)), trees)
+                tree = np.tile(np.arange(trees, dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(region.ravel().view(np.int64)), pa.array(node)], ["tree", "region", "node"])
+
+    return _shared(nodes.select("node", "sig").mapInArrow(run, "tree int, region long, node long"))
+
+
+def _minima(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), HASHES)
 
 
 def _marks(ids: DataFrame) -> np.ndarray:
@@ -156,8 +197,27 @@ def _sets(docs: DataFrame, company: DataFrame, id_col: str, text_col: str, words
     return common.checkpoint(found.join(company.withColumnRenamed("node", "doc"), "doc", "left_semi"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def lengthened(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, long): LONG minima of one byte of the nodes' sets."""
+    family = _odd(LONG, 14)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                mine = np.frombuffer(x.as_py(), np.uint64)
+                least = np.full(LONG, ~_U(0))
+                for i in range(0, len(mine), 256):
+                    np.minimum(least, (mine[i : i + 256, None] * family).min(axis=0), out=least)
+                out.append((_scramble(least) >> _U(56)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "long"])
+
+    chosen = sets.join(nodes.withColumnRenamed("node", "doc"), "doc", "left_semi")
+    return chosen.mapInArrow(run, "node long, long binary")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, count: int) -> DataFrame:
+    """The pairs (a, b), so many, whose full sets reach the similarity. Few pairs are broadcast, so that only the sets they name are exchanged."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,116 +231,146 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct()
+    few = F.broadcast if count <= common.ROWS_A_TASK else lambda df: df
+    ends = sets.join(few(pairs.select(F.col("b").alias("doc")).distinct()), "doc", "left_semi")
+    joined = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")).join(few(pairs), "a").join(ends.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
+    return joined.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) in order, once each, whose sizes and signatures allow the similarity."""
+def _pairs_near(key: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows with one key, up to ``distance`` apart; rows of a key lie together."""
+    left, right = [], []
+    for d in range(1, min(distance, len(key) - 1) + 1):
+        at = np.flatnonzero(key[:-d] == key[d:])
+        left.append(at)
+        right.append(at + d)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, HASHES) for i in (2, 3))
-                good = pa.array((x == y).sum(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
-    fits = 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
-    pairs = pairs.where((F.col("node") != F.col("node2")) & fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    of = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(check, "a long, b long")
+def _look(rows: DataFrame, signed: DataFrame, key: Column, order: list[str], distance: int, least: int) -> DataFrame:
+    """Candidates (a, b), once each: rows up to ``distance`` apart in one key's order, in different components, whose sizes and signatures allow the similarity.
+
+    Rows are dealt by key and sorted; a task streams through its rows and keeps
+    the last ``distance`` of them from batch to batch. Where ``signed`` has long
+    signatures, these have the last word.
+    """
+    longer = "long" in signed.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, n, component = (np.asarray(batch.column(i)) for i in range(4))
+            columns, new = [key, node, n, component, _minima(batch.column(4))], 0
+            if longer:
+                columns.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, LONG))
+            if kept is not None:
+                new = len(kept[0])
+                columns = [np.concatenate(x) for x in zip(kept, columns)]
+            kept = [x[-distance:] for x in columns]
+            key, node, n, component, minima = columns[:5]
+            x, y = _pairs_near(key, distance)
+            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            fits = (y >= new) & (component[x] != component[y]) & (node[x] != node[y]) & (100 * small >= PERCENT * large)
+            x, y = x[fits], y[fits]
+            found = []
+            for i in range(0, len(x), 1 << 14):
+                a, b = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
+                good = np.flatnonzero((minima[a] == minima[b]).sum(axis=1) >= least)
+                if longer:
+                    good = good[np.concatenate([(columns[5][a[g]] == columns[5][b[g]]).sum(axis=1) >= LONG_AGREE for g in np.array_split(good, 1 + len(good) // 4096)])]
+                found.append(np.stack([np.minimum(node[a], node[b])[good], np.maximum(node[a], node[b])[good]]))
+            if found:
+                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = rows.withColumn("key", key).join(signed, "node")
+    dealt = rows.repartition("key").sortWithinPartitions("key", *order, "node").select("key", "node", "n", "component", "sig", *["long"] * longer)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _mixed(rows: DataFrame, labels: DataFrame, count: int) -> DataFrame:
+    """The rows, so many, with their components, where a region holds several."""
+    rows = common.gathered(rows, count).join(labels, "node")
+    several = rows.groupBy("tree", "region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    return rows.join(several.select("tree", "region"), ["tree", "region"])
+
+
+def _merge(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after the links ``found`` have joined components; no node has more links than a region has neighbours."""
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    edges = found.join(end("a"), "a").join(end("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    roots = components(edges).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return common.checkpoint(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
 
 
 def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """(node, component) of the nodes that have a link to another."""
+    """(node, component) of the nodes that share a region with another."""
+    spark = docs.sparkSession
     trees = common.checkpoint(forest(nodes))
     company = common.checkpoint(trees.select("node").distinct())
-    signed = common.checkpoint(nodes.select("node", "sig").join(company, "node", "left_semi"))
+    count, of_trees = company.count(), trees.count()
+    signed = common.checkpoint(nodes.select("node", "n", "sig").join(company, "node", "left_semi"))
     sets = _sets(docs, company, id_col, text_col, words)
-    found = joined = None
-    for step in (_next, _near, _within, _crowded):
-        rows = trees.withColumn("component", F.col("node"))
-        if joined is not None:
-            region = Window.partitionBy("tree", "region")
-            rows = trees.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            rows = rows.withColumn("least", F.min("component").over(region)).withColumn("most", F.max("component").over(region)).where("least <> most")
-        more = step(rows, sets) if step is _crowded else _verify(step(rows, signed), sets)
-        found = common.checkpoint(more if found is None else found.unionByName(more))
-        joined = components(found)
-        del rows, more
-        common.release(docs.sparkSession)
-    return joined
-
-
-def _ahead(rows: DataFrame, distance: int) -> DataFrame:
-    order = Window.partitionBy("tree", "region").orderBy("path", "node")
-    return rows.select("node", "n", "component", *(F.lead(c, distance).over(order).alias(f"{c}2") for c in ("node", "n", "component"))).where("component <> component2")
-
-
-def _next(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    return _alike(_ahead(rows.where(f"tree < {TREES // 4}"), 1), nodes, AGREE)
-
-
-def _near(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    order = Window.partitionBy("tree", "region").orderBy("path", "node")
-    ahead = F.array(*(F.struct(*(F.lead(c, d).over(order).alias(f"{c}2") for c in ("node", "n", "component"))) for d in range(1, NEAR + 1)))
-    pairs = rows.select("node", "n", "component", ahead.alias("ahead")).select("node", "n", "component", F.inline("ahead"))
-    return _alike(pairs.where("component <> component2"), nodes, LIKELY)
-
-
-def _within(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    few = rows.where(F.col("crowd") <= CROWD).select("tree", "region", "node", "n", "component")
-    other = few.select("tree", "region", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    return _alike(few.join(other, ["tree", "region"]).where("node < node2 and component <> component2"), nodes, AGREE)
-
-
-def _crowded(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between a crowded region's smaller components and all other nodes of it, found and confirmed block by block.
-
-    A block returns the links that join components it had not joined yet, so it
-    returns fewer rows than it has nodes.
-    """
-    crowded = rows.where(F.col("crowd") > CROWD).select("tree", "region", "node", "component")
-    # regions of different trees that share nodes hold much the same nodes, so they are searched as one
-    grouped = components(crowded.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("tree", "region")).alias("b")))
-    many = crowded.select("node", "component").distinct().join(grouped.withColumnRenamed("component", "crowd"), "node")
-    held = many.groupBy("crowd", "component").agg(F.count("*").alias("held"))
-    main = held.groupBy("crowd").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.ceil(F.sum("held") / UNIT).cast("int").alias("units"))
-    many = many.join(main, "crowd").withColumn("unit", F.pmod(F.xxhash64("node"), F.col("units")).cast("int"))
-    many = many.join(sets.withColumnRenamed("doc", "node"), "node")
+    labels = common.gathered(company.withColumn("component", F.col("node")), count)
+    # a crowded region's sorted order is dealt in runs, each a random part of it
+    run = F.xxhash64("tree", "region", F.when(F.col("crowd") > RUN, F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("crowd") / RUN))).otherwise(0))
+    region = F.xxhash64("tree", "region")
+
+    def take(candidates: DataFrame, labels: DataFrame) -> DataFrame:
+        candidates = common.checkpoint(candidates)
+        n = candidates.count()
+        if not n:
+            return labels
+        found = common.checkpoint(_verify(common.gathered(candidates, n), sets, n))
+        out = common.gathered(_merge(labels, common.gathered(found, found.count())), count)
+        common.release(spark)
+        return out
+
+    def small(rows: DataFrame, signed: DataFrame) -> DataFrame:
+        return _look(rows.where(F.col("crowd") <= CROWD), signed, region, [], CROWD, AGREE)
+
+    labels = take(_look(trees.where(F.col("tree") < FIRST).join(labels, "node"), signed, run, ["path"], 1, AGREE), labels)
+    labels = take(_look(_mixed(trees, labels, of_trees), signed, run, ["path"], NEAR, LIKELY), labels)
+    labels = take(small(_mixed(trees, labels, of_trees), signed), labels)
+    rows = trees
+    for level in range(len(LEVELS)):
+        crowded = common.checkpoint(_mixed(rows.where(F.col("crowd") > CROWD), labels, of_trees).select("node").distinct())
+        if crowded.isEmpty():
+            return labels
+        own = signed.join(crowded, "node", "left_semi")
+        signed = common.checkpoint(own if "long" in signed.columns else own.join(lengthened(sets, crowded), "node"))
+        rows = common.checkpoint(deeper(signed, level))
+        of_trees = rows.count()
+        labels = take(small(_mixed(rows, labels, of_trees), signed), labels)
+    return take(_blocks(_mixed(rows.where(F.col("crowd") > CROWD), labels, of_trees), signed), labels)
+
+
+def _blocks(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Candidates between the nodes outside a crowded region's largest component and all others of the region, block by block."""
+    held = rows.groupBy("tree", "region", "component").agg(F.count("*").alias("held"))
+    main = held.groupBy("tree", "region").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.ceil(F.sum("held") / UNIT).cast("int").alias("units"))
+    rows = rows.join(main, ["tree", "region"]).withColumn("unit", F.pmod(F.xxhash64("node"), F.col("units")).cast("int")).join(signed, "node")
     every = F.explode(F.sequence(F.lit(0), F.col("units") - 1))
-    outside = many.where("component <> main").select("crowd", F.col("unit").alias("x"), every.alias("y"), "node", "component", "set")
+    outside = rows.where("component <> main").select("tree", "region", F.col("unit").alias("x"), every.alias("y"), "node", "n", "component", "sig", "long")
     # new names on one side keep the two sides of the cogroup apart
-    inside = many.select("crowd", every.alias("x"), F.col("unit").alias("y"), "node", "component", "set").toDF(*(f"r_{c}" for c in outside.columns))
+    inside = rows.select("tree", "region", every.alias("x"), F.col("unit").alias("y"), "node", "n", "component", "sig", "long").toDF(*(f"r_{c}" for c in outside.columns))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out, of = [], {}
-
-        def root(c: int) -> int:
-            while of.get(c, c) != c:
-                c = of[c]
-            return c
-
+        out = []
         if len(left) and len(right):
-            each = [np.frombuffer(x, np.uint64) for x in right["r_set"]]
-            size = np.array([len(x) for x in each])
-            known, codes = np.unique(np.concatenate(each), return_inverse=True)
-            starts = np.cumsum(size) - size
-            names, components = right["r_node"].to_numpy(), right["r_component"].to_numpy()
-            for node, component, held in zip(left["node"], left["component"], left["set"]):
-                mine = np.frombuffer(held, np.uint64)
-                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                mark = np.zeros(len(known), bool)
-                mark[at[known[at] == mine]] = True
-                both = np.add.reduceat(mark[codes], starts, dtype=np.int64)
-                for i in np.flatnonzero((100 * both >= PERCENT * (len(mine) + size - both)) & (components != component)):
-                    one, two = root(component), root(components[i])
-                    if one != two:
-                        of[max(one, two)] = min(one, two)
-                        out.append((min(node, names[i]), max(node, names[i])))
+            node, n, component = (right[f"r_{c}"].to_numpy() for c in ("node", "n", "component"))
+            minima = np.frombuffer(b"".join(right["r_sig"]), np.uint16).reshape(len(right), HASHES)
+            long = np.frombuffer(b"".join(right["r_long"]), np.uint8).reshape(len(right), LONG)
+            for a, size, of, sig, longer in zip(left["node"], left["n"], left["component"], left["sig"], left["long"]):
+                at = np.flatnonzero((component != of) & (100 * np.minimum(n, size) >= PERCENT * np.maximum(n, size)))
+                at = at[(minima[at] == np.frombuffer(sig, np.uint16)).sum(axis=1) >= AGREE]
+                at = at[(long[at] == np.frombuffer(longer, np.uint8)).sum(axis=1) >= LONG_AGREE]
+                out += [(min(a, b), max(a, b)) for b in node[at]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    keys = ["crowd", "x", "y"]
+    keys = ["tree", "region", "x", "y"]
     return outside.groupBy(*keys).cogroup(inside.groupBy(*(f"r_{k}" for k in keys))).applyInPandas(meet, "a long, b long").distinct()
 
 

@@ -8,26 +8,30 @@ from pyspark.sql import functions as F
 from millwright.llm import common
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (columns a, b) reaches.
 
-    Large-star and small-star alternate: a logarithmic number of rounds, each
-    linear in the edges, each written to reliable storage.
+    Large-star and small-star alternate up to the fixed point: a logarithmic
+    number of rounds, each linear in the edges, each written to reliable
+    storage. Smallest neighbours are found by partial aggregates, and the joins
+    with them can be split where a node has many neighbours. Edges that one task
+    holds with ease are joined there.
     """
     e = common.checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    before, now = None, _state(e)
+    while now[0] and now != before:
+        both = common.gathered(e, now[0]).select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = common.checkpoint(small.distinct())
+        small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        e = common.checkpoint(small.where("u <> v").distinct())
         del both, least, large, small
         common.release(edges.sparkSession)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        before, now = now, _state(e)
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _state(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -339,3 +339,59 @@ def test_quality_separates_and_scores_everything(spark, odd):
 def test_digest_of_spans(spark):
     s = spark.sql("select array(named_struct('kind', 1, 'start', 2, 'end', 9)) s").select(pii.digest(F.col("s"))).first()[0]
     assert s == "ip:2:9" and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_crowded_regions_are_searched_deeper_and_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    common_part = [f"c{i}" for i in range(60)]
+    texts = {}
+    # many documents share a passage; few of them are near copies of each other, one of them of no neighbour
+    for i in range(90):
+        own = [f"o{i // 3}_{j}" for j in range(40)]
+        if i % 3:
+            own[int(rng.integers(40))] = f"x{i}"
+        texts[i] = " ".join(common_part + own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    seen = []
+    deeper, blocks = dedup.deeper, dedup._blocks
+    monkeypatch.setattr(dedup, "deeper", lambda nodes, level: seen.append(level) or deeper(nodes, level))
+    monkeypatch.setattr(dedup, "_blocks", lambda rows, signed: seen.append("blocks") or blocks(rows, signed))
+    monkeypatch.setattr(dedup, "FIRST", 0)
+    monkeypatch.setattr(dedup, "CROWD", 1)
+    monkeypatch.setattr(dedup, "LIKELY", dedup.HASHES + 1)
+    got = {r["doc"]: (r["n"], r["component"]) for r in dedup.near_duplicates(df).collect()}
+    assert seen == [0, 1, 2, "blocks"] and got == links(texts)
+
+
+def test_long_words_are_summed_whole():
+    table = langid.PieceTable.of(["▁", "a", "b", "ab", "▁a", "ba", "bab"])
+    rng = np.random.default_rng(9)
+    p = rng.uniform(0.01, 0.3, (8, 2))
+    word = "".join(rng.choice(list("ab☃"), 200, p=[0.5, 0.45, 0.05]))
+    text = "▁" + word
+    rank = {x: i for i, x in enumerate(table.pieces)}
+
+    def brute(cut=None):
+        alpha = [np.zeros(2)] + [np.full(2, -np.inf) for _ in text]
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - 3), end):
+                i = rank.get(text[start:end], 7 if end - start == 1 else None)
+                if i is not None and not (cut and start < cut < end):
+                    alpha[end] = np.logaddexp(alpha[end], alpha[start] + np.log(p[i]))
+        return alpha[-1]
+
+    assert np.allclose(langid.word_scores([word], table, p)[0], brute()) and np.allclose(langid.word_scores([word[:40]], table, p)[0], langid._Long("▁" + word[:40], table).forward(np.log(p))[-1])
+    lattice = langid._Long(text, table)
+    cover = np.zeros((len(text), 2))
+    for s, e, x in zip(lattice.start, lattice.end, lattice.expected(np.log(p))):
+        cover[s:e] += x
+    assert np.allclose(cover, 1)
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, int(rng.integers(1, 60))) % 500)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = common.id_remainder(F.col("doc_id"), 10) != 0
+    few, many = ({r["doc_id"]: r["score"] for r in lblm.score(df.repartition(n), learn).collect()} for n in (2, 13))
+    assert all(few[i] == pytest.approx(many[i], rel=1e-6) for i in few)
