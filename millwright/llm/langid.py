@@ -4,7 +4,10 @@ Each language has a probability for every piece of a fixed public vocabulary.
 The probability of a word is the sum over all its segmentations, found by the
 forward algorithm; a text's is the product over its words. The pieces'
 probabilities are re-estimated by expectation-maximisation, the expected
-counts coming from the backward pass over the same lattices.
+counts coming from the backward pass over the same lattices. Words are what
+ASCII white space separates, in learning and in prediction, and each is summed
+whole: the short ones of a length together, longer ones one by one in logs, in
+time proportional to their length.
 
 Nulls, empty texts and texts without a letter get ``und`` with score 0. Rows
 with null language teach nothing. Repeated rows are scored alike. An empty
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.llm import common
-from millwright.llm.lattice import MAX_CHARS, SPACE_MARK, PieceTable, by_length, load_pieces, runs
+from millwright.llm.lattice import MAX_CHARS, SPACE_MARK, PieceTable, by_length, load_pieces
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Labelled texts of each language that the model is fitted on, at most.
@@ -54,42 +57,94 @@ def _forward(model_p: np.ndarray, table: PieceTable, codes: np.ndarray, edges=No
     return alpha
 
 
+class _Long:
+    """The lattice of one long word, in logs: by place, the pieces that end there."""
+
+    def __init__(self, word: str, table: PieceTable):
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sums, powers = table.sums(codes)
+        n = self.n = len(codes)
+        starts, lengths, numbers = [], [], []
+        for length in range(1, min(table.longest, n) + 1):
+            rows, found = table.find((sums[length:] - sums[:-length]) * powers[length:])
+            if length == 1:
+                lost = np.setdiff1d(np.arange(n), rows)
+                rows, found = np.concatenate([rows, lost]), np.concatenate([found, np.full(len(lost), len(table.pieces), np.int32)])
+            starts.append(rows)
+            lengths.append(np.full(len(rows), length))
+            numbers.append(found)
+        start, length, self.number = np.concatenate(starts), np.concatenate(lengths), np.concatenate(numbers)
+        order = np.argsort(start + length, kind="stable")
+        self.start, self.end, self.number = start[order], (start + length)[order], self.number[order]
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        """Log-sums over all segmentations up to each place."""
+        alpha = np.zeros((self.n + 1, logp.shape[1]))
+        weight, cuts = logp[self.number], np.searchsorted(self.end, np.arange(self.n + 2))
+        for end in range(1, self.n + 1):
+            a, b = cuts[end], cuts[end + 1]
+            alpha[end] = np.logaddexp.reduce(alpha[self.start[a:b]] + weight[a:b], axis=0)
+        return alpha
+
+    def expected(self, logp: np.ndarray) -> np.ndarray:
+        """The probability, in each language, that an edge is part of the word's segmentation."""
+        alpha, weight = self.forward(logp), logp[self.number]
+        beta = np.zeros_like(alpha)
+        order = np.argsort(self.start, kind="stable")
+        cuts = np.searchsorted(self.start[order], np.arange(self.n + 1))
+        for start in reversed(range(self.n)):
+            own = order[cuts[start] : cuts[start + 1]]
+            beta[start] = np.logaddexp.reduce(beta[self.end[own]] + weight[own], axis=0)
+        return np.exp(alpha[self.start] + weight + beta[self.end] - alpha[-1])
+
+
 def word_scores(words: list[str], table: PieceTable, probability: np.ndarray) -> np.ndarray:
     """Natural log-probability of each word in each language, over all segmentations."""
     out = np.zeros((len(words), probability.shape[1]))
-    long = [i for i, w in enumerate(words) if len(w) >= MAX_CHARS]
     short = words
-    if long:
-        short = list(words)
+    if long := [i for i, w in enumerate(words) if len(w) >= MAX_CHARS]:
+        short, logp = list(words), np.log(probability)
         for i in long:
             short[i] = ""
-            parts = runs(SPACE_MARK + words[i])
-            for index, codes in by_length(parts):
-                out[i] += (np.log(_forward(probability, table, codes)[-1]) - codes.shape[1] * np.log(SCALE)).sum(axis=0)
+            out[i] = _Long(SPACE_MARK + words[i], table).forward(logp)[-1]
     for index, codes in by_length(short):
         codes = np.concatenate([np.full((len(codes), 1), ord(SPACE_MARK), np.uint64), codes], axis=1)
         out[index] = np.log(_forward(probability, table, codes)[-1]) - codes.shape[1] * np.log(SCALE)
     return out
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of each slice of (lang, text); every language has a row without a word."""
+    for batch in common.slices(batches):
+        data, offsets = common.text_bytes(pc.utf8_lower(batch.column(1)))
+        words, order, per_text = common.words_of(data, offsets)
+        coded = batch.column(0).dictionary_encode()
+        lang = np.repeat(np.asarray(coded.indices), np.diff(per_text))
+        pair, n = np.unique(lang.astype(np.int64) * max(len(words), 1) + order, return_counts=True)
+        names = words.cast(pa.large_string()).cast(pa.string())
+        langs = coded.dictionary
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([langs.take(pa.array(pair // max(len(words), 1))), langs]), pa.concat_arrays([names.take(pa.array(pair % max(len(words), 1))), pa.nulls(len(langs), pa.string())]), pa.array(np.append(n, np.zeros(len(langs), int)))], ["lang", "word", "n"]
+        )
+
+
 def fit(docs: DataFrame, learn, *, id_col="doc_id", text_col="text", lang_col="lang", model_file=MODEL_FILE, texts_per_language=TEXTS_PER_LANGUAGE, rounds=2) -> Model:
     """Learn from the rows where ``learn`` holds: up to ``texts_per_language`` whole texts of each language, chosen by a hash of the id."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("h"))
     # the ids are chosen first, so that no text is shuffled; their number is bounded
     first = lambda df: df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= texts_per_language)
     wanted = first(rows.select("lang", "h")).select("lang", "h").distinct()
-    chosen = first(rows.join(F.broadcast(wanted), ["lang", "h"])).select("lang", "text").collect()
+    # the words of the chosen texts are counted in Spark; their counts are what the driver learns from
+    chosen = first(rows.join(F.broadcast(wanted), ["lang", "h"])).select("lang", F.col("text").cast("string")).mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").collect()
     table = PieceTable.of(load_pieces(model_file))
     languages = sorted({r["lang"] for r in chosen})
     words: dict[str, int] = {}
     counts: list[dict[int, int]] = [{} for _ in languages]
     number = {x: i for i, x in enumerate(languages)}
     for r in chosen:
-        own = counts[number[r["lang"]]]
-        for w in r["text"].lower().split():
-            for part in runs(SPACE_MARK + w):
-                i = words.setdefault(part, len(words))
-                own[i] = own.get(i, 0) + 1
+        if r["word"] is not None:
+            i = words.setdefault(SPACE_MARK + r["word"], len(words))
+            counts[number[r["lang"]]][i] = r["n"]
     k, size = len(languages), len(table.pieces) + 1
     weight = np.zeros((len(words), k))
     for j, own in enumerate(counts):
@@ -97,9 +152,15 @@ def fit(docs: DataFrame, learn, *, id_col="doc_id", text_col="text", lang_col="l
     start = 1.0 / (np.arange(size) + 50.0)
     probability = np.repeat((start / start.sum())[:, None], k, axis=1)
     del chosen, counts
+    names = list(words)
+    long = {i: _Long(w, table) for i, w in enumerate(names) if len(w) > MAX_CHARS}
+    for i in long:
+        names[i] = ""
     for _ in range(rounds):
         expected = np.zeros((size, k))
-        for index, codes in by_length(list(words)):
+        for i, lattice in long.items():
+            np.add.at(expected, lattice.number, lattice.expected(np.log(probability)) * weight[i])
+        for index, codes in by_length(names):
             edges = list(table.edges(codes))  # found again in each round, so that few are held
             alpha = _forward(probability, table, codes, edges)
             beta = np.zeros_like(alpha)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Strings longer than this are cut into runs of this many code points.
+#: Strings up to this many code points are worked on together.
 MAX_CHARS = 48
 #: Rows handled together; the arrays stay within the processor's cache.
 ROWS = 1 << 14
