@@ -6,14 +6,16 @@ all other words are the model's vocabulary. A word's subclass follows from its
 hash; their number is the square root of that of the other words, up to
 SUBCLASSES, as the normalisers of all pairs are held in memory. The two classes before a token,
 each through its own matrix, predict a vector; its product with a class's
-vector plus a bias is the class's score. Every task trains on all its texts
-from the same start, and the parameters are averaged by the tokens they saw.
+vector plus a bias is the class's score. Texts are dealt by hash into shards of
+about SHARD_TOKENS tokens and ordered by hash in them; each shard trains on all
+its texts from the same start, and the parameters are averaged by the tokens
+they saw. So the model does not depend on how the table is partitioned.
 One batched matrix product per pair of classes gives the exact normaliser of
 all contexts, so token probabilities are normalised. A word of a subclass is
 given its share of that subclass by its smoothed count.
 
-A word's count reaches the texts in two ways: the HEAVY most frequent words are
-broadcast (a fixed number), the others are joined by hash, where no key is hot
+A word's count reaches the texts in two ways: the most frequent words, HEAVY at
+most, are broadcast, the others are joined by hash, where no key is hot
 because each is rarer than those.
 
 A null text counts as empty: one token, the end. Rows with a null id belong to
@@ -38,6 +40,8 @@ from millwright.llm import common
 
 CLASSES, SUBCLASSES, HEAVY = 1000, 3000, 1 << 17
 WIDTH, BATCH, NOISE, RATIO, RATE = 16, 8192, 96, 16, 0.15
+#: Tokens of a shard, and of what a shard shuffles and learns at once.
+SHARD_TOKENS, SLICE_TOKENS = 1 << 21, 1 << 20
 #: Smoothing of the base model.
 ALPHA = 0.1
 
@@ -123,7 +127,12 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, texts: int, classes: int = CLASSES, heavy: int = HEAVY) -> Vocabulary:
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    rows = counts.orderBy(F.desc("n"), "word").limit(heavy).toPandas()
+    # a histogram over the logarithms of the counts tells how far down the heavy words reach
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"])
+    held = np.cumsum([r["words"] for r in steps]) <= heavy
+    least = min((r["step"] for r, h in zip(steps, held) if h), default=1 << 30)
+    rows = counts.where(step >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     names, n = rows["word"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     k = min(classes, len(names))
     order = np.argsort(names)
@@ -215,26 +224,60 @@ class Trainer:
 
 
 def train(docs: DataFrame, v: Vocabulary) -> Parameters:
-    """One pass of every task over all its texts; averages are taken by block of parameters, in Spark."""
+    """One pass of every shard over all its texts; averages are taken by block of parameters, in Spark."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(v)
     block = 512
+    shards = max(1, round(v.tokens / SHARD_TOKENS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, t, seen = shared.value, None, 0
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
         for batch in common.slices(batches):
-            t = t or Trainer(v)
-            names, order, per_text = _tokens(batch.column(0))
-            token, one, two = sequence(v.class_of(names)[order] if len(names) else order, per_text, v)
-            t.learn(token, one, two)
-            seen += len(token)
-        if seen:
+            names, order, per_text = _tokens(batch.column(1))
+            classes = v.class_of(names)[order].astype(np.int32) if len(names) else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(per_text.astype(np.int32)), pa.array(classes))], ["h", "classes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, t, at, seen = shared.value, None, None, 0
+        waiting: list[np.ndarray] = []
+
+        def learn() -> None:
+            nonlocal seen, waiting
+            if waiting:
+                per_text = np.concatenate([[0], np.cumsum([len(x) for x in waiting])])
+                token, one, two = sequence(np.concatenate(waiting).astype(np.int64), per_text, v)
+                t.learn(token, one, two)
+                seen, waiting = seen + len(token), []
+
+        def given() -> pa.RecordBatch:
             flat = t.p.flat.astype(float) * seen
             parts = [flat[i : i + block] for i in range(0, len(flat), block)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64())), pa.array([float(seen)] * len(parts))], ["block", "x", "seen"])
+            return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64())), pa.array([float(seen)] * len(parts))], ["block", "x", "seen"])
 
+        size = 0
+        for batch in batches:
+            ends = np.asarray(batch.column(1).offsets)
+            flat = batch.column(1).values.to_numpy(zero_copy_only=False)
+            for i, shard in enumerate(batch.column(0).to_pylist()):
+                if shard != at:
+                    if t is not None:
+                        learn()
+                        yield given()
+                    at, t, seen, size = shard, Trainer(v), 0, 0
+                waiting.append(flat[ends[i] : ends[i + 1]])
+                size += len(waiting[-1]) + 1
+                if size >= SLICE_TOKENS:
+                    learn()
+                    size = 0
+        if t is not None:
+            learn()
+            yield given()
+
+    # a text's place follows from the text and its id alone
+    rows = docs.select(F.xxhash64("_lm_text", F.col("_lm_id").cast("string")).alias("h"), "_lm_text").mapInArrow(coded, "h long, classes array<int>")
+    dealt = rows.withColumn("shard", F.pmod(F.shiftright("h", 20), F.lit(shards)).cast("int")).repartition("shard").sortWithinPartitions("shard", "h")
+    one = dealt.select("shard", "classes").mapInArrow(run, "block int, x array<double>, seen double")
     # the sums of a block are taken over sixteen groups first, so no task gathers a block from everywhere
-    one = docs.select("_lm_text").mapInArrow(run, "block int, x array<double>, seen double")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
