@@ -113,13 +113,12 @@ def search(vectors: DataFrame, queries: Column, *, id_col="vec_id", vector_col="
     """query_id, rank, <id>, score for the rows where ``queries`` holds, against all rows but a query's own."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & valid(F.col("v")))
-    # the dimension is that of the least hash, so one small row reaches the driver
-    sample = rows.select("v", F.xxhash64("id", F.lit(seed)).alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("v").collect()
-    sizes = [len(r["v"]) for r in sample]
-    d = max(set(sizes), key=sizes.count) if sizes else 1
+    # lengths are counted over all rows; the most frequent, the least of equal ones, is the dimension
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).agg(F.max_by("d", F.struct("n", -F.col("d"))).alias("d"), F.max("n").alias("n")).first()
+    d, total = sizes["d"] or 1, sizes["n"] or 0
     rows = rows.where(F.size("v") == d)
-    sampled = np.unique(np.array([r["v"] for r in sample if len(r["v"]) == d]).reshape(-1, d), axis=0)
-    total = rows.count()
+    sample = common.hashed_share(rows.select("v", "id"), F.xxhash64("id", F.lit(seed)), SAMPLE, total).select("v").collect()
+    sampled = np.unique(np.array([r["v"] for r in sample]).reshape(-1, d), axis=0)
     centre = centroids(sampled, int(np.clip(total // PER_CELL, 1, min(MAX_CELLS, max(len(sampled), 1)))), seed)
     turn = rotation(d, seed)
     n_probe = probe or int(min(len(centre), max(PROBE_LEAST, round(PROBE_SHARE * len(centre)))))

@@ -123,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, id_c
     labels = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if learn is not None:
         labels = labels.where(learn)
-    chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit("quality")), "_id", "_y").limit(fit_rows)
+    labels = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    chosen = common.hashed_share(labels, F.xxhash64(F.col("_id").cast("string"), F.lit("quality")), fit_rows, labels.count())
     joined = docs.select(F.col(id_col).alias("_id"), text_col).join(F.broadcast(chosen), "_id").select("_y", text_col)
     rows = _with_features(joined, ["_y"], text_col).collect()
     return fit_arrays(np.array([r["_x"] for r in rows]).reshape(-1, len(NAMES)), np.array([r["_y"] for r in rows], int))
