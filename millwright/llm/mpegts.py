@@ -107,6 +107,7 @@ def demux_bytes(media: bytes) -> dict:
     programs: dict[int, int] = {}
     streams: dict[int, int] = {}
     last: dict[int, int] = {}
+    doubled: set[int] = set()
     open_units: dict[int, list] = {}
     units, payload, offset, packets, clocks = [], [], 0, 0, 0
 
@@ -153,9 +154,11 @@ def demux_bytes(media: bytes) -> dict:
             faults.append("broken adaptation field")
             continue
         if pid in last and flags & 15 != last[pid] + 1 & 15:
-            if flags & 15 == last[pid]:
-                continue  # the standard allows one duplicate
+            if flags & 15 == last[pid] and pid not in doubled:
+                doubled.add(pid)  # the standard allows one duplicate
+                continue
             faults.append("continuity")
+        doubled.discard(pid)
         last[pid] = flags & 15
         body = media[begin : at + PACKET]
         if pid in streams:

@@ -58,9 +58,9 @@ CONTEXT = {
 }
 AGAINST = {"email": "example|noreply|token", "ip": "version|release|section|chapter", "card": "token|isbn|order|invoice|hash|id|sku", "phone": "token|isbn|order|version|id"}
 #: Top-level domains, first digits of card numbers with their usual length, calling codes, reserved networks.
-DOMAINS = r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ch|at|it|nl|be)$"
+DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|xyz|online|site|shop|cloud|tech|store|mail|[a-z]{2})$"
 CARDS = r"^(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})$"
-CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+CODES = r"^\+[\x20(]*(?:1|7|2(?:[07]|[1-6][0-9]|9[0-9])|3(?:[0-4679]|[58][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[7-9][0-9])|8(?:[1246]|[058][0-9])|9(?:[0-58]|[679][0-9]))"
 RESERVED = r"^(?:0|10|127|169\.254|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168|2(?:2[4-9]|[345][0-9]))\."
 
 LABELERS = ("strict", "gazetteer", "before", "after", "shape")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millwright.llm import common
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
 
@@ -34,7 +34,8 @@ def host_of(url: Column) -> Column:
 
 def rules_of(host: Column, part: Column) -> Column:
     """Rules that could apply, the most specific first: host/path, host, then the domains above it, never a top-level one alone."""
-    labels = F.split(host, r"\.")
+    # an address in brackets is one label
+    labels = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\."))
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     return F.concat(F.when(F.length(part) > 0, F.array(F.concat(host, F.lit("/"), part))).otherwise(F.array().cast("array<string>")), above)
 
