@@ -46,9 +46,9 @@ from millwright.llm.lattice import MAX_CHARS, SPACE_MARK, PieceTable, by_length,
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, SMOOTHING = 4, 1, 0.3
 #: Bytes of text in a slice; the lattices of its distinct chunks are held together.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 4 << 20
 #: Chunks whose lattices are kept from slice to slice.
-HELD = 60_000
+HELD = 30_000
 #: Chunks up to this length have at most 2 ** (SHORT - 1) segmentations, which are listed.
 SHORT = 7
 _LISTED_JUMPS = [1 << i for i in reversed(range(SHORT - 1))]
