@@ -33,6 +33,12 @@ EXPLAIN_ROWS = 1000
 #: Rows that a class needs to be learned.
 LEAST_CLASS = 5
 ESTIMATORS = ("gbt", "rf", "linear")
+#: Settings of each family, tried in turn while the budget lasts.
+SETTINGS = {
+    "gbt": ({"maxIter": 20, "maxDepth": 4}, {"maxIter": 40, "maxDepth": 4}, {"maxIter": 30, "maxDepth": 6}),
+    "rf": ({"numTrees": 30, "maxDepth": 8}, {"numTrees": 60, "maxDepth": 12}),
+    "linear": ({"regParam": 1e-3}, {"regParam": 1e-2}, {"regParam": 1e-1}),
+}
 
 
 def get_library_versions() -> dict[str, str | None]:
@@ -52,7 +58,9 @@ class Engine:
     needed, the target column. Predictions come back as DataFrames.
     """
 
-    def __init__(self, task="auto", time_budget=30, scale_method="standard", cost_sensitive_weighting=False, collinear_threshold=0.9, estimators=None, handle_silent_nulls=True, audit_data=True, random_state=SEED):
+    def __init__(self, task="auto", time_budget=30, scale_method="standard", cost_sensitive_weighting=False, collinear_threshold=0.9, estimators=None, handle_silent_nulls=True, audit_data=True, random_state=SEED, apply_smote=None):
+        if apply_smote:
+            raise ValueError("Synthetic minority rows are not made here: weigh the classes (cost_sensitive_weighting) or tune the threshold to cost.")
         self.task, self.time_budget, self.scale_method, self.cost_sensitive_weighting = task, max(1, time_budget), scale_method, cost_sensitive_weighting
         self.collinear_threshold, self.estimators, self.handle_silent_nulls, self.audit_data, self.random_state = collinear_threshold, estimators, handle_silent_nulls, audit_data, random_state
         self.is_fitted = self.is_anomaly_model = False
@@ -166,7 +174,7 @@ class Engine:
         return True
 
     def _search(self, data: DataFrame, counts: dict) -> None:
-        """Candidates in turn until the budget is spent, one at least; the best on a held-out fifth is refitted on all rows."""
+        """Families and their settings in turn until the budget is spent, one at least; the best on a held-out fifth is refitted on all rows."""
         binary = len(self.classes_) == 2
         classify = self.task == "classification"
         self.metric = ("roc_auc" if binary else "log_loss") if classify else "r2"
@@ -186,15 +194,17 @@ class Engine:
         test = vectors.where("coalesce(_held, true)")
         wanted = self.estimators or list(ESTIMATORS)
         began, best = time.time(), None
-        for name in wanted:
-            estimator = self._estimator(name, binary)
+        # every family's first settings, then every family's second ones, and so on
+        turns = [(name, s) for i in range(max(map(len, SETTINGS.values()))) for name in wanted for s in SETTINGS.get(name, ())[i : i + 1]]
+        for name, settings in turns:
+            estimator = self._estimator(name, binary, settings)
             if estimator is None:
                 continue
             if best is not None and time.time() - began >= self.time_budget:
                 break
             fitted = estimator.fit(train)
             score = self._validated(fitted, test)
-            self.candidates.append({"name": name, "score": score, "seconds": round(time.time() - began, 2)})
+            self.candidates.append({"name": name, "settings": settings, "score": score, "seconds": round(time.time() - began, 2)})
             better = best is None or (score is not None and (best[1] is None or (score < best[1] if self.metric == "log_loss" else score > best[1])))
             if better:
                 best = (name, score, estimator)
@@ -204,20 +214,20 @@ class Engine:
         self.model = estimator.fit(vectors)
         vectors.unpersist()
 
-    def _estimator(self, name: str, binary: bool):
+    def _estimator(self, name: str, binary: bool, settings: dict):
         common = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "_w", "predictionCol": "_hat"}
         if self.task == "classification":
             made = {
-                "gbt": lambda: classification.GBTClassifier(**common, maxIter=20, maxDepth=4, seed=self.random_state) if binary else None,
-                "rf": lambda: classification.RandomForestClassifier(**common, numTrees=30, maxDepth=8, seed=self.random_state),
-                "linear": lambda: classification.LogisticRegression(**common, maxIter=50, regParam=1e-3),
+                "gbt": lambda: classification.GBTClassifier(**common, **settings, seed=self.random_state) if binary else None,
+                "rf": lambda: classification.RandomForestClassifier(**common, **settings, seed=self.random_state),
+                "linear": lambda: classification.LogisticRegression(**common, **settings, maxIter=50),
             }
             found = made[name]() if name in made else None
             return found.setProbabilityCol("_prob").setRawPredictionCol("_raw") if found is not None else None
         made = {
-            "gbt": lambda: regression.GBTRegressor(**common, maxIter=20, maxDepth=4, seed=self.random_state),
-            "rf": lambda: regression.RandomForestRegressor(**common, numTrees=30, maxDepth=8, seed=self.random_state),
-            "linear": lambda: regression.LinearRegression(**common, maxIter=50, regParam=1e-3),
+            "gbt": lambda: regression.GBTRegressor(**common, **settings, seed=self.random_state),
+            "rf": lambda: regression.RandomForestRegressor(**common, **settings, seed=self.random_state),
+            "linear": lambda: regression.LinearRegression(**common, **settings, maxIter=50),
         }
         return made[name]() if name in made else None
 

@@ -77,6 +77,25 @@ def _base(df: DataFrame, plan: Plan) -> dict[str, Column]:
     return out
 
 
+def downcast(df: DataFrame) -> DataFrame:
+    """Whole numbers without nulls in the narrowest type that holds them, doubles as floats where none leaves their range. One aggregate finds out."""
+    whole = {T.ShortType(): "smallint", T.IntegerType(): "int", T.LongType(): "bigint"}
+    numbers = [f.name for f in df.schema if f.dataType in whole or isinstance(f.dataType, T.DoubleType)]
+    if not numbers:
+        return df
+    seen = df.agg(F.count("*").alias("n"), *(g(col(c)).alias(f"{k}{i}") for i, c in enumerate(numbers) for k, g in (("k", F.count), ("lo", F.min), ("hi", F.max)))).first()
+    casts = {}
+    for i, c in enumerate(numbers):
+        low, high = seen[f"lo{i}"], seen[f"hi{i}"]
+        if low is None:
+            continue
+        if isinstance(df.schema[c].dataType, T.DoubleType):
+            casts |= {c: "float"} if max(abs(low), abs(high)) < 3.4e38 else {}
+        elif seen[f"k{i}"] == seen["n"]:
+            casts[c] = next(t for t, top in (("tinyint", 1 << 7), ("smallint", 1 << 15), ("int", 1 << 31), ("bigint", 1 << 63)) if -top <= low and high < top)
+    return df.select(*(col(c).cast(casts[c]).alias(c) if c in casts else col(c) for c in df.columns))
+
+
 def transform(df: DataFrame, plan: Plan, clip: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns and the features as doubles, in one projection over the table."""
     base = _base(df, plan)

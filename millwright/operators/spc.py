@@ -240,12 +240,12 @@ def calculate_control_rules(df: DataFrame, value: str, order_by, target=None, si
     usable = [r for r in rules if len(rows) >= RULE_POINTS[r]]
     hits = {str(r): [x["idx"] for x in rows if x[f"rule_{r}"]] for r in usable}
     first = min(((i, int(r)) for r, found in hits.items() for i in found), default=(None, None))
-    # Shares of series of 100 in-control points with a violation, over 4000 trials
-    measured = {(1,): 23.4, WESTERN_ELECTRIC: 59.6, tuple(RULE_POINTS): 74.0}.get(tuple(sorted(rules)))
+    # Published shares of series of 100 in-control points with a violation, over 4000 trials
+    published = {(1,): 23.4, WESTERN_ELECTRIC: 59.6, tuple(RULE_POINTS): 74.0}.get(tuple(sorted(rules)))
     return to_jsonable(
         {
             "target": rows[0]["centre"], "sigma": rows[0]["sigma"], "n_points": len(rows), "rules_applied": rules, "violations": hits, "any_violation": first[0] is not None,
             "first_violation_index": first[0], "first_violation_rule": first[1], "rules_skipped": {str(r): f"Rule {r} needs {RULE_POINTS[r]} points; the series has {len(rows)}." for r in rules if r not in usable},
-            "false_alarm_rate_note": f"On 100 in-control points these rules alarm in {measured} % of series." if measured else "Every further rule adds false alarms: 23.4 % of in-control series of 100 points for rule 1 alone, 74.0 % for all eight.",
+            "false_alarm_rate_note": f"By published trials, these rules alarm in {published} % of series of 100 in-control points." if published else "Every further rule adds false alarms: by published trials, 23.4 % of in-control series of 100 points for rule 1 alone, 74.0 % for all eight.",
         }
     )

@@ -109,6 +109,18 @@ def minmax_features(spark, sf_dir):
     return r6(prepare.transform(events, prepare.fit(events.drop("event_id"), scale="minmax"), keep=["event_id"]), "value")
 
 
+def _narrow(c: str) -> str:
+    return f"CASE WHEN min({c}) >= -128 AND max({c}) < 128 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) < 32768 THEN 'smallint' WHEN min({c}) >= -2147483648 AND max({c}) < 2147483648 THEN 'int' ELSE 'bigint' END"
+
+
+@query("downcast_types", f"SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_extendedprice', 'l_returnflag']) AS name, unnest([{', '.join(map(_narrow, ('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber')))}, CASE WHEN max(abs(l_extendedprice)) < 3.4e38 THEN 'float' ELSE 'double' END, 'string']) AS type FROM lineitem")
+def downcast_types(spark, sf_dir):
+    from millwright.ml import prepare
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    return spark.createDataFrame(prepare.downcast(rows).dtypes, "name string, type string")
+
+
 # ------------------------------------------------------------------ labels of models
 
 

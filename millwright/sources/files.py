@@ -6,6 +6,8 @@ import json
 import logging
 import os
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,13 +21,14 @@ NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#
 logger = logging.getLogger("millwright")
 
 
-def read_csv(path: str, schema: T.StructType | str | None = None, spark: SparkSession | None = None) -> DataFrame:
+def read_csv(path: str, schema: T.StructType | str | None = None, spark: SparkSession | None = None, multi_line: bool = False) -> DataFrame:
     """A CSV file with a header. Missing-value texts become null before types are inferred, so they do not turn a number column into text.
 
-    Give a schema for large files: inferring reads them twice.
+    Give a schema for large files: inferring reads them twice. ``multi_line`` lets
+    quoted fields hold line breaks, for which a whole file becomes one task.
     """
     spark = spark or SparkSession.builder.getOrCreate()
-    reader = spark.read.option("header", "true").option("escape", '"').option("multiLine", "true")
+    reader = spark.read.option("header", "true").option("escape", '"').option("multiLine", str(multi_line).lower())
     if schema is not None:
         return reader.schema(schema).csv(path)
     raw = reader.csv(path)
@@ -71,8 +74,17 @@ def write_report(report: dict, path: str) -> None:
     _write_text(SparkSession.builder.getOrCreate(), path, json.dumps(to_jsonable(report), ensure_ascii=False))
 
 
-def from_records(spark: SparkSession, records: dict | list[dict]) -> DataFrame:
-    """One record or a list of them as a DataFrame, nested records flattened by dotted names."""
+def from_records(spark: SparkSession, records, names: list[str] | None = None) -> DataFrame:
+    """Rows to predict on as a DataFrame: a record or a list of them, nested ones flattened by dotted names; a pandas Series (one row) or DataFrame; a numpy array or a SciPy sparse matrix, whose columns ``names`` names."""
+    if hasattr(records, "toarray"):
+        records = records.toarray()
+    if isinstance(records, pd.Series):
+        records = records.to_frame().T.infer_objects()
+    if isinstance(records, np.ndarray):
+        records = pd.DataFrame(np.atleast_2d(records), columns=names)
+        records.columns = [str(c) for c in records.columns]
+    if isinstance(records, pd.DataFrame):
+        return spark.createDataFrame(records)
 
     def flat(record: dict, prefix: str = "") -> dict:
         out = {}
