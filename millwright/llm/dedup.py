@@ -310,7 +310,7 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words:
     spark = docs.sparkSession
     trees = common.checkpoint(forest(nodes))
     company = common.checkpoint(trees.select("node").distinct())
-    count, of_trees = company.count(), trees.count()
+    count, of_trees = common.counted(company), common.counted(trees)
     signed = common.checkpoint(nodes.select("node", "n", "sig").join(company, "node", "left_semi"))
     sets = _sets(docs, company, id_col, text_col, words)
     labels = common.gathered(company.withColumn("component", F.col("node")), count)
@@ -320,11 +320,11 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words:
 
     def take(candidates: DataFrame, labels: DataFrame) -> DataFrame:
         candidates = common.checkpoint(candidates)
-        n = candidates.count()
+        n = common.counted(candidates)
         if not n:
             return labels
         found = common.checkpoint(_verify(common.gathered(candidates, n), sets, n))
-        out = common.gathered(_merge(labels, common.gathered(found, found.count())), count)
+        out = common.gathered(_merge(labels, common.gathered(found, common.counted(found))), count)
         common.release(spark)
         return out
 
@@ -342,7 +342,7 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words:
         own = signed.join(crowded, "node", "left_semi")
         signed = common.checkpoint(own if "long" in signed.columns else own.join(lengthened(sets, crowded), "node"))
         rows = common.checkpoint(deeper(signed, level))
-        of_trees = rows.count()
+        of_trees = common.counted(rows)
         labels = take(small(_mixed(rows, labels, of_trees), signed), labels)
     return take(_blocks(_mixed(rows.where(F.col("crowd") > CROWD), labels, of_trees), signed), labels)
 

@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     holds with ease are joined there.
     """
     e = common.checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before, now = None, _state(e)
+    before, now = None, _state(e, common.counted(e))
     while now[0] and now != before:
         both = common.gathered(e, now[0]).select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,10 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
         e = common.checkpoint(small.where("u <> v").distinct())
         del both, least, large, small
         common.release(edges.sparkSession)
-        before, now = now, _state(e)
+        before, now = now, _state(e, now[0])
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _state(e: DataFrame, rows: int) -> tuple:
+    return tuple(common.gathered(e, rows).agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
