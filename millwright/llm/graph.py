@@ -29,8 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         del both, least, large, small
         common.release(edges.sparkSession)
         before, now = now, _state(e, now[0])
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+    ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))
+    return common.gathered(e, now[0]).select(F.inline(ends)).distinct()
 
 
 def _state(e: DataFrame, rows: int) -> tuple:
