@@ -8,11 +8,11 @@ prefixes, are candidates. A pair that reaches the similarity agrees in DEPTH
 minima with probability s ** DEPTH, so with s = 0.8 some tree brings it into one
 region with probability 1 - (1 - 0.8 ** 3) ** 16 > 0.99998.
 
-The depth adapts to the region. One with more than CROWD nodes in several
+The depth adapts to the region. One with more than WIDE nodes in several
 components is searched again with longer prefixes, in as many more trees as
-keep that probability (LEVELS); what is still crowded at the last level is
-searched in blocks. So the regions whose pairs are all looked at stay small,
-and no link is lost to a cap.
+keep that probability (LEVELS); what is still larger at the last level is
+searched in blocks. So the regions whose pairs are all looked at have a bounded
+size, and no link is lost to a cap.
 
 Candidates are confirmed on the full sets, after a look at the signatures: a
 pair at 0.8 agrees in fewer than AGREE of the HASHES minima with probability
@@ -24,7 +24,9 @@ the first and four times as sharp. The steps:
 2. several neighbours in all orders, where they lie in different components so
    far and their signatures look alike; these join most of every region;
 3. in regions of up to CROWD nodes, all pairs in different components;
-4. the nodes of more crowded regions go on to the next level and its regions.
+4. the same in regions of up to WIDE nodes, with the long signatures, each pair
+   in the first tree that brings it together;
+5. the nodes of larger regions go on to the next level and its regions.
 
 Each step finds components of the components so far, so the graphs shrink.
 No group is expanded into all its pairs, and none is collected into one task:
@@ -55,8 +57,10 @@ WORDS, PERCENT = 4, 80
 TREES, DEPTH = 16, 3
 #: Minima in a signature, of two bytes each; a tree's order starts at its own DEPTH of them and goes on for PATH more.
 HASHES, PATH = 128, 12
-#: Nodes of a region whose pairs are all looked at; nodes of a run of a sorted order; nodes on a block's side.
+#: Nodes of a small region; nodes of a run of a sorted order; nodes on a block's side.
 CROWD, RUN, UNIT = 64, 1024, 1024
+#: Nodes of a region that one task searches, a few megabytes.
+WIDE = 2048
 #: Longer prefixes for crowded regions, and the trees that bring a pair at 0.8 together with a probability of 1 - 1e-5.
 LEVELS = ((6, 40), (9, 84), (12, 164))
 #: Minima that a pair must have in common: z = -5.2 at a similarity of 0.8. And those of likely pairs.
@@ -151,8 +155,7 @@ def forest(nodes: DataFrame) -> DataFrame:
 def deeper(nodes: DataFrame, level: int) -> DataFrame:
     """(tree, region, node, crowd) of the regions of a level, whose prefixes are its own choices of minima."""
     depth, trees = LEVELS[level]
-    rng = np.random.default_rng(100 + level)
-    chosen = np.stack([rng.choice(HASHES, depth, replace=False) for _ in range(trees)])
+    chosen = _prefixes(level + 1)
     odd = _odd(depth, 200 + level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,6 +293,60 @@ def _look(rows: DataFrame, signed: DataFrame, key: Column, order: list[str], dis
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _look_wide(rows: DataFrame, signed: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """Candidates (a, b) of whole regions of more than CROWD nodes, in different components, whose sizes and both signatures allow the similarity.
+
+    ``chosen`` holds the minima of every tree's prefix: a pair that an earlier
+    tree has in one region too is that tree's. A task holds one region at a time.
+    """
+
+    def pairs(tree: int, node, n, component, minima, long) -> Iterator[np.ndarray]:
+        for i in range(len(node)):
+            j = np.arange(i + 1, len(node))
+            j = j[(component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
+            same = minima[j] == minima[i]
+            j, same = j[at := same.sum(axis=1) >= AGREE], same[at]
+            for earlier in chosen[:tree]:
+                j, same = j[at := ~same[:, earlier].all(axis=1)], same[at]
+            j = j[(long[j] == long[i]).sum(axis=1) >= LONG_AGREE]
+            yield np.stack([np.minimum(node[j], node[i]), np.maximum(node[j], node[i])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def search() -> Iterator[pa.RecordBatch]:
+            if held:
+                _, tree, *columns = (np.concatenate(x) for x in zip(*held))
+                a, b = np.concatenate(list(pairs(int(tree[0]), *columns)), axis=1)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.asarray(batch.column(i)) for i in range(5)] + [_minima(batch.column(5)), np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, LONG)]
+            cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if held and held[0][0][0] != columns[0][x]:
+                    yield from search()
+                    held = []
+                held.append([c[x:y] for c in columns])
+        yield from search()
+
+    rows = rows.withColumn("key", F.xxhash64("tree", "region")).withColumn("tree", F.col("tree").cast("int")).join(signed, "node")
+    dealt = rows.repartition("key").sortWithinPartitions("key").select("key", "tree", "node", "n", "component", "sig", "long")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _prefixes(level: int) -> np.ndarray:
+    """Places of the minima in every tree's prefix, at a level (0: the first forest)."""
+    if not level:
+        return np.arange(TREES * DEPTH).reshape(TREES, DEPTH) % HASHES
+    depth, trees = LEVELS[level - 1]
+    rng = np.random.default_rng(99 + level)
+    return np.stack([rng.choice(HASHES, depth, replace=False) for _ in range(trees)])
+
+
 def _mixed(rows: DataFrame, labels: DataFrame, count: int) -> DataFrame:
     """The rows, so many, with their components, where a region holds several."""
     rows = common.gathered(rows, count).join(labels, "node")
@@ -335,16 +392,25 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words:
     labels = take(_look(_mixed(trees, labels, of_trees), signed, run, ["path"], NEAR, LIKELY), labels)
     labels = take(small(_mixed(trees, labels, of_trees), signed), labels)
     rows = trees
-    for level in range(len(LEVELS)):
-        crowded = common.checkpoint(_mixed(rows.where(F.col("crowd") > CROWD), labels, of_trees).select("node").distinct())
-        if crowded.isEmpty():
+    for level in range(len(LEVELS) + 1):
+        crowded = common.checkpoint(_mixed(rows.where(F.col("crowd") > CROWD), labels, of_trees).select("tree", "region", "node", "crowd", "component"))
+        held = common.counted(crowded)
+        if not held:
+            return labels
+        crowded = common.gathered(crowded, held)
+        names = crowded.select("node").distinct()
+        own = signed.join(names, "node", "left_semi")
+        signed = common.checkpoint(own if "long" in signed.columns else own.join(lengthened(sets, names), "node"))
+        labels = take(_look_wide(crowded.where(F.col("crowd") <= WIDE), signed, _prefixes(level)), labels)
+        names = common.checkpoint(_mixed(rows.where(F.col("crowd") > WIDE), labels, of_trees).select("tree", "region", "node", "component").distinct())
+        if not common.counted(names):
             return labels
-        own = signed.join(crowded, "node", "left_semi")
-        signed = common.checkpoint(own if "long" in signed.columns else own.join(lengthened(sets, crowded), "node"))
-        rows = common.checkpoint(deeper(signed, level))
+        if level == len(LEVELS):
+            return take(_blocks(names, signed), labels)
+        rows = common.checkpoint(deeper(signed.join(names.select("node").distinct(), "node", "left_semi"), level))
         of_trees = common.counted(rows)
         labels = take(small(_mixed(rows, labels, of_trees), signed), labels)
-    return take(_blocks(_mixed(rows.where(F.col("crowd") > CROWD), labels, of_trees), signed), labels)
+    return labels
 
 
 def _blocks(rows: DataFrame, signed: DataFrame) -> DataFrame:
@@ -358,7 +424,7 @@ def _blocks(rows: DataFrame, signed: DataFrame) -> DataFrame:
     inside = rows.select("tree", "region", every.alias("x"), F.col("unit").alias("y"), "node", "n", "component", "sig", "long").toDF(*(f"r_{c}" for c in outside.columns))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [np.zeros((0, 2), np.int64)]
         if len(left) and len(right):
             node, n, component = (right[f"r_{c}"].to_numpy() for c in ("node", "n", "component"))
             minima = np.frombuffer(b"".join(right["r_sig"]), np.uint16).reshape(len(right), HASHES)
@@ -367,8 +433,8 @@ def _blocks(rows: DataFrame, signed: DataFrame) -> DataFrame:
                 at = np.flatnonzero((component != of) & (100 * np.minimum(n, size) >= PERCENT * np.maximum(n, size)))
                 at = at[(minima[at] == np.frombuffer(sig, np.uint16)).sum(axis=1) >= AGREE]
                 at = at[(long[at] == np.frombuffer(longer, np.uint8)).sum(axis=1) >= LONG_AGREE]
-                out += [(min(a, b), max(a, b)) for b in node[at]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out.append(np.stack([np.minimum(node[at], a), np.maximum(node[at], a)], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"], dtype="int64")
 
     keys = ["tree", "region", "x", "y"]
     return outside.groupBy(*keys).cogroup(inside.groupBy(*(f"r_{k}" for k in keys))).applyInPandas(meet, "a long, b long").distinct()

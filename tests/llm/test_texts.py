@@ -360,6 +360,9 @@ def test_crowded_regions_are_searched_deeper_and_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(dedup, "CROWD", 1)
     monkeypatch.setattr(dedup, "LIKELY", dedup.HASHES + 1)
     got = {r["doc"]: (r["n"], r["component"]) for r in dedup.near_duplicates(df).collect()}
+    assert seen == [] and got == links(texts)
+    monkeypatch.setattr(dedup, "WIDE", 1)
+    got = {r["doc"]: (r["n"], r["component"]) for r in dedup.near_duplicates(df).collect()}
     assert seen == [0, 1, 2, "blocks"] and got == links(texts)
 
 
