@@ -1,0 +1,57 @@
+"""Every query against the SQL it equals, on the smallest table."""
+
+import os
+from decimal import Decimal
+
+import pytest
+
+from millwright.plans import catalogue, figures  # noqa: F401  figures registers more queries
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    return c
+
+
+def plain(rows, names):
+    """Rows in one order; values are compared exactly, whatever the type of a number."""
+    order = sorted(names)
+    fix = lambda v: float(v) + 0.0 if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else v
+    return sorted(([fix(r[names.index(c)]) for c in order] for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+def test_query_equals_sql(spark, duck, name):
+    df = catalogue.queries()[name](spark, SF)
+    found = duck.execute(catalogue.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(df.columns) == sorted(names)
+    assert plain([tuple(r) for r in df.collect()], df.columns) == plain(found.fetchall(), names)
+
+
+def test_fits_are_registered_with_the_operators_defaults(spark, monkeypatch):
+    from millwright.functions.constants import WEIBULL_BOOTSTRAP
+    from millwright.ml import engine
+    from millwright.operators import reliability
+
+    seen, fit, made = {}, reliability.weibull_by_asset, engine.Engine.__init__
+    monkeypatch.setattr(reliability, "weibull_by_asset", lambda *a, **k: seen.update(k) or fit(*a, **k))
+    monkeypatch.setattr(engine.Engine, "__init__", lambda self, *a, **k: seen.update(k) or made(self, *a, **k))
+    assert catalogue.queries()["weibull_fit"](spark, SF).count() > 0
+    assert catalogue.queries()["model_predictions"](spark, SF).count() > 0
+    assert seen.get("n_bootstrap", WEIBULL_BOOTSTRAP) == WEIBULL_BOOTSTRAP and seen.get("time_budget", 30) == 30 and seen.get("estimators") is None
+
+
+def test_entry_and_unchecked_queries(spark):
+    assert catalogue.flagship(spark, SF).count() > 0
+    for name in set(catalogue.queries()) - set(catalogue.oracle_sql()):
+        assert catalogue.queries()[name](spark, SF).count() > 0
