@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
 from collections.abc import Iterator
@@ -91,6 +92,18 @@ def counted(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().toRdd().count())
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Python workers get so many rows at once, for what runs inside; wide rows then take less memory on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffles and checkpoints that nothing refers to any more.
 
