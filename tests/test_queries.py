@@ -3,6 +3,7 @@
 import os
 from decimal import Decimal
 
+import numpy as np
 import pytest
 
 from millwright.plans import catalogue, figures  # noqa: F401  figures registers more queries
@@ -55,3 +56,23 @@ def test_entry_and_unchecked_queries(spark):
     assert catalogue.flagship(spark, SF).count() > 0
     for name in set(catalogue.queries()) - set(catalogue.oracle_sql()):
         assert catalogue.queries()[name](spark, SF).count() > 0
+
+
+def test_gauge_study_does_not_depend_on_the_order_of_repeated_lines(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    cells = {(f"B{b}", f): sorted(zip(rng.integers(0, 2, 40).tolist(), rng.integers(0, 2, 40).tolist(), rng.integers(1, 50, 40).astype(float).tolist())) for b in range(3) for f in "AN"}
+    lines = [(o, k, int(brand[1:]), flag, q) for (brand, flag), rows in cells.items() for o, k, q in rows]
+    chosen = {c: [q for _, _, q in rows[:3]] for c, rows in cells.items()}
+    mean = np.mean([q for qs in chosen.values() for q in qs])
+    total = sum((q - mean) ** 2 for qs in chosen.values() for q in qs)
+    within = sum(3 * (np.mean(qs) - mean) ** 2 for qs in chosen.values())
+    spark.createDataFrame([(b, f"B{b}") for b in range(3)], "p_partkey long, p_brand string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for i in range(3):
+        sf = tmp_path if not i else tmp_path / str(i)
+        rows = [lines[j] for j in rng.permutation(len(lines))]
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_returnflag string, l_quantity double").coalesce(1).write.parquet(str(sf / "lineitem.parquet"))
+        if i:
+            os.symlink(tmp_path / "part.parquet", sf / "part.parquet")
+        got = catalogue.queries()["gauge_rr_components"](spark, str(sf)).first()
+        assert got["total"] == 18 and got["cells"] == 6
+        assert got["ss_total"] == pytest.approx(total, abs=1e-3) and got["ss_cells"] == pytest.approx(within, abs=1e-3)
