@@ -104,6 +104,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def limit_batches(spark: SparkSession, rows: int) -> None:
+    """Python workers get so many rows at once from now on, for what is lazy: Spark reads the setting when a plan runs. A smaller one stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, before) if before > 0 else rows))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffles and checkpoints that nothing refers to any more.
 

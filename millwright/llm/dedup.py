@@ -443,10 +443,10 @@ def _blocks(rows: DataFrame, signed: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = WORDS) -> DataFrame:
     """doc, n, component: each row's set size and the smallest id it is linked with, itself included."""
     docs = docs.select(id_col, text_col)
-    rows = common.checkpoint(signatures(docs, id_col=id_col, text_col=text_col, words=words))
     same = ["f1", "f2", "n"]
-    nodes = common.checkpoint(rows.where("n > 0 and doc is not null").groupBy(*same).agg(F.min("doc").alias("node"), F.first("sig").alias("sig")))
-    with common.small_batches(docs.sparkSession):  # of rows with whole sets; all of it is written before it returns
+    with common.small_batches(docs.sparkSession):  # of rows with whole texts or sets; all of it is written before it returns
+        rows = common.checkpoint(signatures(docs, id_col=id_col, text_col=text_col, words=words))
+        nodes = common.checkpoint(rows.where("n > 0 and doc is not null").groupBy(*same).agg(F.min("doc").alias("node"), F.first("sig").alias("sig")))
         joined = links(docs, nodes, id_col, text_col, words)
     of = nodes.join(joined, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
     linked = rows.drop("sig").join(of, same, "left")

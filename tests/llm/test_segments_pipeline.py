@@ -145,3 +145,23 @@ def test_pipeline_stages_each_do_their_part(spark):
     assert words(seen["mixing"]) == pytest.approx(1.5 * words(seen["personal_data"]), rel=0.1)
     assert seen["segmentation"].select("doc_id").distinct().count() == seen["mixing"].select("doc_id").distinct().count()
     assert pipeline.run(spark, SF).columns[0] == "doc_id"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+@pytest.mark.parametrize("stage", ["language", "encoded"])
+def test_python_stages_of_the_pipeline_take_few_whole_texts_at_once(spark, stage):
+    import corpus_pipeline as pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        getattr(pipeline, stage)(spark, common.read(spark, SF, "documents"), SF)
+        seen = [r["n"] for r in spark.range(5000).coalesce(1).mapInArrow(sizes, "n long").collect()]
+        assert sum(seen) == 5000 and max(seen) <= 2000
+    finally:
+        spark.conf.set(key, before)
