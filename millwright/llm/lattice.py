@@ -61,22 +61,28 @@ class PieceTable:
 
         A character that is no piece of its own gets the number len(pieces).
         """
-        n = codes.shape[1]
-        codes = np.ascontiguousarray(codes.T)
-        for start in range(n):
-            key = np.zeros(codes.shape[1], np.uint64)
-            for length in range(1, min(self.longest, n - start) + 1):
-                key = (key + codes[start + length - 1] + np.uint64(1)) * _STEP
-                rows, numbers = self.find(key)
-                if length == 1:
-                    missing = np.ones(codes.shape[1], bool)
+        count, n = codes.shape
+        codes = np.ascontiguousarray(codes.T) + np.uint64(1)
+        # all starts of one length at once: a few calls on long arrays
+        key = np.zeros((n, count), np.uint64)
+        found: list[list] = [[] for _ in range(n)]
+        for length in range(1, min(self.longest, n) + 1):
+            key = (key[: n - length + 1] + codes[length - 1 :]) * _STEP
+            spots, numbers = self.find(key.ravel())
+            cuts = np.searchsorted(spots, np.arange(n - length + 2) * count)
+            for start in range(n - length + 1):
+                a, b = cuts[start], cuts[start + 1]
+                rows, own = spots[a:b] - start * count, numbers[a:b]
+                if length == 1 and len(rows) < count:
+                    missing = np.ones(count, bool)
                     missing[rows] = False
                     missing = np.flatnonzero(missing)
                     rows = np.concatenate([rows, missing])
-                    numbers = np.concatenate([numbers, np.full(len(missing), len(self.pieces), np.int32)])
+                    own = np.concatenate([own, np.full(len(missing), len(self.pieces), np.int32)])
                 if len(rows):
-                    yield start, length, rows, numbers
-
+                    found[start].append((start, length, rows, own))
+        for own in found:
+            yield from own
 
     @staticmethod
     def sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -47,8 +47,8 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, SMOOTHING = 4, 1, 0.3
 #: Bytes of text in a slice; the lattices of its distinct chunks are held together.
 SLICE_BYTES = 1 << 20
-#: Chunks whose lattices are kept from slice to slice.
-HELD = 30_000
+#: Chunks whose lattices are kept when there are more than MOST: those that most slices had so far.
+HELD, MOST = 60_000, 100_000
 #: Chunks up to this length have at most 2 ** (SHORT - 1) segmentations, which are listed.
 SHORT = 7
 _LISTED_JUMPS = [1 << i for i in reversed(range(SHORT - 1))]
@@ -106,23 +106,38 @@ class Lattices:
         self.jumps = [1 << i for i in reversed(range((int(table.longest) - 1).bit_length()))]
         self.number: dict[str, int] = {}
         self.chunks: list[str] = []
-        self.n = self.width = self.base = np.zeros(0, np.int64)
+        self.n = self.width = self.base = self.uses = np.zeros(0, np.int64)
         self.p, self.cdf, self.used = np.zeros(1 << 20, np.float32), np.zeros(1 << 20, np.float32), 0
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
-        """Numbers of a slice's chunks. Those beyond the first HELD, which hold most of the frequent ones, make room for the next slice's."""
-        for c in self.chunks[HELD:]:
-            del self.number[c]
-        del self.chunks[HELD:]
-        if len(self.n) > HELD:
-            self.used = int(self.base[HELD])
-            self.n, self.width, self.base = self.n[:HELD], self.width[:HELD], self.base[:HELD]
-        new = sorted((c for c in chunks if c not in self.number), key=len)
+        """Numbers of a slice's chunks. Before it, rare chunks of earlier slices make room."""
+        if len(self.chunks) > MOST:
+            self._drop()
+        known = self.number
+        new = sorted((c for c in chunks if c not in known), key=len)
         if new:
-            self.number.update(zip(new, range(len(self.chunks), len(self.chunks) + len(new))))
+            known.update(zip(new, range(len(self.chunks), len(self.chunks) + len(new))))
             self.chunks += new
             self._add(new)
-        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        out = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+        self.uses[out] += 1
+        return out
+
+    def _drop(self) -> None:
+        """Keep the HELD chunks in most use, the earlier ones of equal use, and move their lists together."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:HELD])
+        size = np.where(self.n[keep] <= SHORT, self.width[keep], self.n[keep] * self.width[keep])
+        base, ends = self.base[keep], np.cumsum(size)
+        # forwards in runs, each to where it or an earlier one lay
+        for a in range(0, len(keep), 1 << 13):
+            own = slice(a, a + (1 << 13))
+            first = int(ends[a] - size[a])
+            last = int(ends[own][-1])
+            spots = np.repeat(base[own] - (ends[own] - size[own]), size[own]) + np.arange(first, last)
+            self.p[first:last], self.cdf[first:last] = self.p[spots], self.cdf[spots]
+        self.chunks = [self.chunks[i] for i in keep.tolist()]
+        self.number = dict(zip(self.chunks, range(len(keep))))
+        self.n, self.width, self.base, self.uses, self.used = self.n[keep], self.width[keep], ends - size, self.uses[keep], int(ends[-1])
 
     def _add(self, chunks: list[str]) -> None:
         table = self.table
@@ -134,7 +149,7 @@ class Lattices:
         self.used += int(size.sum())
         if self.used > len(self.p):
             self.p, self.cdf = (np.concatenate([x, np.zeros(self.used - len(x) + (1 << 19), np.float32)]) for x in (self.p, self.cdf))
-        self.n, self.width, self.base = (np.concatenate(x) for x in ((self.n, n), (self.width, width), (self.base, bases)))
+        self.n, self.width, self.base, self.uses = (np.concatenate(x) for x in ((self.n, n), (self.width, width), (self.base, bases), (self.uses, np.zeros(len(n), np.int64))))
         w = np.exp(self.logw)
         unknown = len(table.pieces)
         for index, codes in by_length(chunks):
@@ -199,7 +214,7 @@ class Lattices:
         last = row + width - 1
         to = row.copy()
         for jump in jumps:
-            to += jump * (self.cdf[np.minimum(to + (jump - 1), last)] < u)
+            to += jump * (self.cdf.take(np.minimum(to + (jump - 1), last)) < u)
         return to
 
     def probability(self, chunk: int, mask: int) -> float:
@@ -304,14 +319,19 @@ def chunked(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     where = np.append(begins, len(data)).astype(np.int64)
     values = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data))])
     coded = values.dictionary_encode()
-    chunks, order = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-    if any(len(c) > MAX_CHARS for c in chunks):
-        parts, number = [], {}
-        for c in chunks:
-            parts.append([number.setdefault(x, len(number)) for x in runs(c)])
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate([np.array(x) for x in parts])
+    chunks, order = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64)
+    length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    if len(long := np.flatnonzero(length > MAX_CHARS)):
+        short = np.flatnonzero(length <= MAX_CHARS)
+        number = dict(zip((chunks[i] for i in short.tolist()), range(len(short))))
+        parts = [[number.setdefault(x, len(number)) for x in runs(chunks[i])] for i in long.tolist()]
+        count = np.ones(len(chunks), np.int64)
+        count[long] = list(map(len, parts))
         first = np.cumsum(count) - count
+        flat = np.zeros(int(count.sum()), np.int64)
+        flat[first[short]] = np.arange(len(short))
+        for a, x in zip(first[long].tolist(), parts):
+            flat[a : a + len(x)] = x
         times = count[order]
         ends = np.concatenate([[0], np.cumsum(times)])
         inside = np.arange(ends[-1]) - np.repeat(ends[:-1], times)
@@ -506,9 +526,13 @@ class Speller:
         if not len(order):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         self._read(chunks)
-        masks, masks_found = pd.factorize(mask)
-        pair, pairs = pd.factorize(order << np.int64(32) | masks)
-        of, masks = pairs >> np.int64(32), masks_found[pairs & np.int64(0xFFFFFFFF)]
+        if mask.max() < _U(1 << 32):
+            pair, pairs = pd.factorize(order << np.int64(32) | mask.astype(np.int64))
+            of, masks = pairs >> np.int64(32), (pairs & np.int64(0xFFFFFFFF)).astype(np.uint64)
+        else:
+            masks, masks_found = pd.factorize(mask)
+            pair, pairs = pd.factorize(order << np.int64(32) | masks)
+            of, masks = pairs >> np.int64(32), masks_found[pairs & np.int64(0xFFFFFFFF)]
         count = np.bitwise_count(masks).astype(np.int64)
         row, start = np.repeat(np.arange(len(masks)), count), np.cumsum(count) - count
         end = np.empty(len(row), np.int64)

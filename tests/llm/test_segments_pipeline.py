@@ -147,6 +147,32 @@ def test_pipeline_stages_each_do_their_part(spark):
     assert pipeline.run(spark, SF).columns[0] == "doc_id"
 
 
+def test_frequent_chunks_keep_their_lattices(monkeypatch):
+    monkeypatch.setattr(segment, "HELD", 3)
+    monkeypatch.setattr(segment, "MOST", 8, raising=False)
+    made, add = [], segment.Lattices._add
+    monkeypatch.setattr(segment.Lattices, "_add", lambda self, chunks: made.extend(chunks) or add(self, chunks))
+    table, often = PieceTable.of(NAMES), [" everywhere", " throughout"]
+    held = segment.Lattices(table, WEIGHTS)
+    state = np.arange(2, dtype=np.uint64) * np.uint64(77)
+    fresh = segment.Lattices(table, WEIGHTS)
+    want = fresh.sample(fresh.numbers(often), state, 2)
+    made.clear()
+    for i in range(12):
+        numbers = held.numbers([f" a{i}", f" b{i}", f" c{i}", *often])
+        got = held.sample(numbers[3:], state, 2)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+        assert len(held.chunks) <= 8 + 5 and [held.chunks[n] for n in numbers[3:]] == often
+    assert all(made.count(c) == 1 for c in often)
+
+
+def test_only_long_chunks_are_cut_in_runs():
+    long = "x" * 50 + "y" * 48
+    chunks, order, per_text = segment.chunked(pa.array([f"ab {long} ab", "ab", f"{long} cd", ""]))
+    assert len(set(chunks)) == len(chunks) and max(map(len, chunks)) == 48
+    assert ["".join(chunks[i] for i in order[a:b]) for a, b in zip(per_text, per_text[1:])] == [f" ab {long} ab", " ab", f" {long} cd", ""]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 @pytest.mark.parametrize("stage", ["language", "encoded"])
 def test_python_stages_of_the_pipeline_take_few_whole_texts_at_once(spark, stage):
