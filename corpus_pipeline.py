@@ -33,6 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, at five words. Rows that repeat an id and its text are one; a null id is kept."""
+    common.rest(spark)
     groups = common.checkpoint(dedup.near_duplicates(docs, words=SHINGLE_WORDS))
     # the ids that go or repeat are few, so Spark may find joins that spare the texts a shuffle
     gone = groups.where("doc <> component").select(F.col("doc").alias("_gone")).distinct()
@@ -43,11 +44,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.rest(spark)
     return pii.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard by shard, each in its own shuffled order. A shard is dealt to as many tasks as the session's shuffles have for it."""
+    common.rest(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // mixing.SHARDS)
     rows = mixing.mix(docs).repartition("mix_shard", F.col("mix_order") % parts)
     return rows.sortWithinPartitions("mix_shard", "mix_order", "mix_copy").select(*docs.columns)
@@ -55,6 +58,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.limit_batches(spark, ENCODED_ROWS)
+    common.rest(spark)
     return segment.sample(docs, pieces="ids")
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,23 +94,67 @@ def counted(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().toRdd().count())
 
 
+#: Settings for how much Python workers get at once: rows and bytes.
+BATCH_SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+#: Bytes that a worker gets at once where batches are small; a wider row comes alone.
+BATCH_BYTES = 4 << 20
+
+
+def _smaller(before: str, most: int) -> str:
+    """The smaller of two bounds; 0 and less are none. A bound in bytes may have Spark's units."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", before.lower()).groups()
+    now = int(number) << 10 * (" kmgtp".index(unit) if unit else 0)
+    return str(min(most, now) if now > 0 else most)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Python workers get so many rows at once, for what runs inside; wide rows then take less memory on either side."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    """Python workers get so many rows and BATCH_BYTES at once, for what runs inside; wide rows then take less memory on either side."""
+    before = [spark.conf.get(key) for key in BATCH_SETTINGS]
+    limit_batches(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in zip(BATCH_SETTINGS, before):
+            spark.conf.set(key, value)
 
 
 def limit_batches(spark: SparkSession, rows: int) -> None:
-    """Python workers get so many rows at once from now on, for what is lazy: Spark reads the setting when a plan runs. A smaller one stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = int(spark.conf.get(key))
-    spark.conf.set(key, str(min(rows, before) if before > 0 else rows))
+    """Python workers get so many rows and BATCH_BYTES at once from now on, for what is lazy: Spark reads the settings when a plan runs. Smaller ones stay."""
+    for key, most in zip(BATCH_SETTINGS, (rows, BATCH_BYTES)):
+        spark.conf.set(key, _smaller(spark.conf.get(key), most))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for mapInArrow; when a task ends, its worker gives memory that it no longer uses back to the system.
+
+    Spark keeps workers for later tasks, and beside a stage without Python they
+    would hold what their largest task once took.
+    """
+
+    def leaving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return leaving
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system: Arrow's, and that of the C library where it can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def rest(spark: SparkSession) -> None:
+    """Executors collect their garbage and give free heap back to the system, before a stage that shares their memory with Python.
+
+    A heap that grew in one stage is else kept through all later ones. Two tasks
+    for each core reach every executor that is idle.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
 
 
 def release(spark: SparkSession) -> None:

@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int
             packed = pa.array([m.tobytes() for m in minima], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), packed], ["doc", "n", "f1", "f2", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("_dedup_text")).mapInArrow(run, "doc long, n long, f1 long, f2 long, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("_dedup_text")).mapInArrow(common.lean(run), "doc long, n long, f1 long, f2 long, sig binary")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def deeper(nodes: DataFrame, level: int) -> DataFrame:
                 tree = np.tile(np.arange(trees, dtype=np.int32), part.num_rows)
                 yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(region.ravel().view(np.int64)), pa.array(node)], ["tree", "region", "node"])
 
-    return _shared(nodes.select("node", "sig").mapInArrow(run, "tree int, region long, node long"))
+    return _shared(nodes.select("node", "sig").mapInArrow(common.lean(run), "tree int, region long, node long"))
 
 
 def _minima(column: pa.Array) -> np.ndarray:
@@ -196,7 +196,7 @@ def _sets(docs: DataFrame, company: DataFrame, id_col: str, text_col: str, words
 
     ids = F.col(id_col).cast("long")
     texts = docs.where(ids.isNotNull()).select(ids.alias("doc"), F.pmod(F.xxhash64(ids), F.lit(MARKS)).cast("long").alias("bit"), F.col(text_col).cast("string").alias("_dedup_text"))
-    found = texts.mapInArrow(build, "doc long, set binary")
+    found = texts.mapInArrow(common.lean(build), "doc long, set binary")
     return common.checkpoint(found.join(company.withColumnRenamed("node", "doc"), "doc", "left_semi"))
 
 
@@ -216,7 +216,7 @@ def lengthened(sets: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "long"])
 
     chosen = sets.join(nodes.withColumnRenamed("node", "doc"), "doc", "left_semi")
-    return chosen.mapInArrow(run, "node long, long binary")
+    return chosen.mapInArrow(common.lean(run), "node long, long binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, count: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, count: int) -> DataFrame:
     few = F.broadcast if count <= common.ROWS_A_TASK else lambda df: df
     ends = sets.join(few(pairs.select(F.col("b").alias("doc")).distinct()), "doc", "left_semi")
     joined = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")).join(few(pairs), "a").join(ends.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", "set_a", "set_b").mapInArrow(common.lean(check), "a long, b long")
 
 
 def _pairs_near(key: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def _look(rows: DataFrame, signed: DataFrame, key: Column, order: list[str], dis
 
     rows = rows.withColumn("key", key).join(signed, "node")
     dealt = rows.repartition("key").sortWithinPartitions("key", *order, "node").select("key", "node", "n", "component", "sig", *["long"] * longer)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(common.lean(run), "a long, b long").distinct()
 
 
 def _look_wide(rows: DataFrame, signed: DataFrame, chosen: np.ndarray) -> DataFrame:
@@ -335,7 +335,7 @@ def _look_wide(rows: DataFrame, signed: DataFrame, chosen: np.ndarray) -> DataFr
 
     rows = rows.withColumn("key", F.xxhash64("tree", "region")).withColumn("tree", F.col("tree").cast("int")).join(signed, "node")
     dealt = rows.repartition("key").sortWithinPartitions("key").select("key", "tree", "node", "n", "component", "sig", "long")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(common.lean(run), "a long, b long")
 
 
 def _prefixes(level: int) -> np.ndarray:

@@ -135,7 +135,7 @@ def fit(docs: DataFrame, learn, *, id_col="doc_id", text_col="text", lang_col="l
     first = lambda df: df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= texts_per_language)
     wanted = first(rows.select("lang", "h")).select("lang", "h").distinct()
     # the words of the chosen texts are counted in Spark; their counts are what the driver learns from
-    chosen = first(rows.join(F.broadcast(wanted), ["lang", "h"])).select("lang", F.col("text").cast("string")).mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").collect()
+    chosen = first(rows.join(F.broadcast(wanted), ["lang", "h"])).select("lang", F.col("text").cast("string")).mapInArrow(common.lean(_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").collect()
     table = PieceTable.of(load_pieces(model_file))
     languages = sorted({r["lang"] for r in chosen})
     words: dict[str, int] = {}
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text",
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(label, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     columns = keep if text_col in keep else [*keep, F.col(text_col).cast("string").alias("_langid_text")]
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(common.lean(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -620,7 +620,7 @@ def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str]
                         columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[numbers]) if pieces == "ids" else speller.names.take(pa.array(numbers))))
                     yield pa.RecordBatch.from_arrays(columns, [*keep, "sample", "n_chunks", "n_pieces", "log_prob", "perturbed", "inclusion", "digest", *["pieces"] * bool(pieces)])
 
-    return docs.select(*keep, F.col(id_col).cast("string").alias("_seg_key"), F.col(text_col).cast("string").alias("_seg_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(id_col).cast("string").alias("_seg_key"), F.col(text_col).cast("string").alias("_seg_text")).mapInArrow(common.lean(run), schema)
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

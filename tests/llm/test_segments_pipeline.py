@@ -191,3 +191,43 @@ def test_python_stages_of_the_pipeline_take_few_whole_texts_at_once(spark, stage
         assert sum(seen) == 5000 and max(seen) <= 2000
     finally:
         spark.conf.set(key, before)
+
+
+def test_small_batches_are_bounded_in_bytes_too(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    wide = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text"))
+    before = [spark.conf.get(k) for k in common.BATCH_SETTINGS]
+    with common.small_batches(spark, 1000):
+        seen = wide.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in seen) == 600 and max(r["bytes"] for r in seen) < 6 << 20
+    assert sum(r["n"] > 1 for r in seen) > 1 and [spark.conf.get(k) for k in common.BATCH_SETTINGS] == before
+    assert [common._smaller(x, 4 << 20) for x in ("67108864b", "64m", "1k", "0", "-1")] == ["4194304", "4194304", "1024", "4194304", "4194304"]
+
+
+def test_a_worker_gives_memory_back_when_its_task_ends():
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGESIZE") / 1e6
+    pinned, seen = [], []
+
+    def run(batches):
+        blocks = [np.ones(12_000) for _ in range(2_000)]  # each too small for a mapping of its own
+        pinned.append(blocks[-1])  # the heap's end stays in use, so nothing goes back by itself
+        seen.append(held())
+        del blocks
+        yield from batches
+
+    assert list(common.lean(run)(iter([1, 2]))) == [1, 2]
+    assert held() < seen[0] - 120
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+def test_executors_give_heap_back_before_a_stage_of_the_pipeline(spark):
+    import corpus_pipeline as pipeline
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    pipeline.mixed(spark, common.read(spark, SF, "documents"), SF)
+    assert whole() > before
