@@ -29,6 +29,7 @@ loss. An empty table gives an empty result. Only the columns asked for are read.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -49,9 +50,10 @@ SAMPLES, SEED, SMOOTHING = 4, 1, 0.3
 SLICE_BYTES = 1 << 20
 #: Chunks whose lattices are kept when there are more than MOST: those that most slices had so far.
 HELD, MOST = 60_000, 100_000
+#: Chunks of several samples that are spelled together.
+GROUP = 1 << 21
 #: Chunks up to this length have at most 2 ** (SHORT - 1) segmentations, which are listed.
 SHORT = 7
-_LISTED_JUMPS = [1 << i for i in reversed(range(SHORT - 1))]
 _U = np.uint64
 _A, _B, _C, _D = (_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 #: A code that no text has, for a space mark in the text itself, which must not become a space.
@@ -107,19 +109,24 @@ class Lattices:
         self.number: dict[str, int] = {}
         self.chunks: list[str] = []
         self.n = self.width = self.base = self.uses = np.zeros(0, np.int64)
+        #: n, in one byte
+        self.size = np.zeros(0, np.uint8)
         self.p, self.cdf, self.used = np.zeros(1 << 20, np.float32), np.zeros(1 << 20, np.float32), 0
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """Numbers of a slice's chunks. Before it, rare chunks of earlier slices make room."""
         if len(self.chunks) > MOST:
             self._drop()
-        known = self.number
-        new = sorted((c for c in chunks if c not in known), key=len)
-        if new:
-            known.update(zip(new, range(len(self.chunks), len(self.chunks) + len(new))))
+        out = np.fromiter(map(self.number.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        if len(lost := np.flatnonzero(out < 0)):
+            new = [chunks[i] for i in lost.tolist()]
+            order = np.argsort(np.fromiter(map(len, new), np.int64, len(new)), kind="stable")
+            new = [new[i] for i in order.tolist()]
+            first = len(self.chunks)
+            out[lost[order]] = np.arange(first, first + len(new))
+            self.number.update(zip(new, range(first, first + len(new))))
             self.chunks += new
             self._add(new)
-        out = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
         self.uses[out] += 1
         return out
 
@@ -134,10 +141,11 @@ class Lattices:
             first = int(ends[a] - size[a])
             last = int(ends[own][-1])
             spots = np.repeat(base[own] - (ends[own] - size[own]), size[own]) + np.arange(first, last)
-            self.p[first:last], self.cdf[first:last] = self.p[spots], self.cdf[spots]
+            self.p[first:last], self.cdf[first:last] = self.p.take(spots), self.cdf.take(spots)
         self.chunks = [self.chunks[i] for i in keep.tolist()]
         self.number = dict(zip(self.chunks, range(len(keep))))
         self.n, self.width, self.base, self.uses, self.used = self.n[keep], self.width[keep], ends - size, self.uses[keep], int(ends[-1])
+        self.size = self.size[keep]
 
     def _add(self, chunks: list[str]) -> None:
         table = self.table
@@ -150,6 +158,7 @@ class Lattices:
         if self.used > len(self.p):
             self.p, self.cdf = (np.concatenate([x, np.zeros(self.used - len(x) + (1 << 19), np.float32)]) for x in (self.p, self.cdf))
         self.n, self.width, self.base, self.uses = (np.concatenate(x) for x in ((self.n, n), (self.width, width), (self.base, bases), (self.uses, np.zeros(len(n), np.int64))))
+        self.size = np.concatenate([self.size, n.astype(np.uint8)])
         w = np.exp(self.logw)
         unknown = len(table.pieces)
         for index, codes in by_length(chunks):
@@ -186,26 +195,32 @@ class Lattices:
     def sample(self, chunk: np.ndarray, state: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
         """For each chunk the mask of piece ends (bit i: a piece ends after i + 1 characters) and the log-probability."""
         mask, p = np.zeros(len(chunk), np.uint64), np.ones(len(chunk))
-        listed = self.n[chunk] <= SHORT
-        some = np.flatnonzero(listed)
-        if len(some):
-            c = chunk[some]
-            base, n = self.base[c], self.n[c]
-            at = self._pick(base, self.width[c], _uniform(state[some], step * 64).astype(np.float32), _LISTED_JUMPS)
-            mask[some] = (at - base).astype(np.uint64) | _U(1) << (n - 1).astype(np.uint64)
-            p[some] = self.p[at]
-        live = np.flatnonzero(~listed)
+        # chunks of one length have lists of one size, 2 ** (n - 1)
+        size = self.size.take(chunk)
+        for n in range(1, SHORT + 1):
+            some = np.flatnonzero(size == n)
+            if not len(some):
+                continue
+            at = base = self.base.take(chunk.take(some))
+            if n > 1:
+                u, at = _uniform(state.take(some), step * 64).astype(np.float32), base.copy()
+                for jump in (1 << i for i in reversed(range(n - 1))):
+                    at += jump * (self.cdf.take(at + (jump - 1)) < u)
+            mask[some] = (at - base + (1 << (n - 1))).astype(np.uint64)
+            p[some] = self.p.take(at)
+        live = np.flatnonzero(size > SHORT)
         at = np.zeros(len(live), np.int64)
-        n, width, row, state = self.n[chunk[live]], self.width[chunk[live]], self.base[chunk[live]], state[live]
+        own, state = chunk.take(live), state.take(live)
+        n, width, row = self.n.take(own), self.width.take(own), self.base.take(own)
         turn = 0
         while len(live):
             to = self._pick(row, width, _uniform(state, step * 64 + turn).astype(np.float32), self.jumps)
             at = at + (to - row) + 1
             mask[live] |= _U(1) << (at - 1).astype(np.uint64)
-            p[live] *= self.p[to]
+            p[live] *= self.p.take(to)
             go = np.flatnonzero(at < n)
-            row = row[go] + width[go] * (to[go] - row[go] + 1)
-            live, at, n, width, state = live[go], at[go], n[go], width[go], state[go]
+            live, at, n, width, row, to, state = (x.take(go) for x in (live, at, n, width, row, to, state))
+            row = row + width * (to - row + 1)
             turn += 1
         return mask, np.log(p)
 
@@ -320,7 +335,7 @@ def chunked(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     values = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data))])
     coded = values.dictionary_encode()
     chunks, order = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64)
-    length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    length = np.asarray(pc.utf8_length(coded.dictionary))
     if len(long := np.flatnonzero(length > MAX_CHARS)):
         short = np.flatnonzero(length <= MAX_CHARS)
         number = dict(zip((chunks[i] for i in short.tolist()), range(len(short))))
@@ -413,35 +428,39 @@ class Paths:
         first = np.zeros(len(go), np.int64)  # place in the text of the chunk at which the node left its path
         start_mask, start_logp, before = np.zeros(len(go), np.uint64), np.zeros(len(go)), np.zeros(len(go))
         keep = np.ones(len(go), bool)
-        for i, text in enumerate(go.tolist()):
-            own, offsets, begin, mask, logp, value, prefix, taken = frontier[which[text]]
-            a = int(at[text])
-            row = int(np.searchsorted(own, text))
-            place = int(begin[row]) + a - int(offsets[row])
-            chunk = int(self.order[self.offsets[text] + place])
-            state = int(self.state[self.offsets[text] + place])
-            used = taken.setdefault(a, [int(mask[a])])
+        source, spots = which[go], at[go]
+        places, masks, prefixes = np.zeros(len(go), np.int64), np.zeros(len(go), np.uint64), np.zeros(len(go))
+        for f in np.unique(source).tolist():
+            mine = np.flatnonzero(source == f)
+            own, offsets, begin, mask, _, _, prefix, _ = frontier[f]
+            row, spot = np.searchsorted(own, go[mine]), spots[mine]
+            places[mine], masks[mine], prefixes[mine] = begin[row] + spot - offsets[row], mask[spot], prefix[spot]
+        here = self.offsets[go] + places
+        every = zip(source.tolist(), spots.tolist(), places.tolist(), masks.tolist(), prefixes.tolist(), self.order[here].tolist(), self.state[here].tolist(), top[go].tolist())
+        for i, (f, a, place, own_mask, path, chunk, state, bound) in enumerate(every):
+            value, taken = frontier[f][5], frontier[f][7]
+            used = taken.setdefault(a, [own_mask])
             new, lp = self.lattices.other(chunk, used, state, (j * 97 + 13) * 64)
             if new < 0:
                 value[a] = -np.inf
                 keep[i] = False
                 continue
-            first[i], start_mask[i], start_logp[i], before[i] = place, new, lp, prefix[a]
+            first[i], start_mask[i], start_logp[i], before[i] = place, new, lp, path
             used.append(new)
             left = 1.0 - sum(self.lattices.probability(chunk, m) for m in used)
             if left < 1e-6:
                 value[a] = -np.inf
             else:
-                phi = prefix[a] + np.log(left)
+                phi = path + math.log(left)
                 u = _draw(state, j * 64 + 17)
-                value[a] = phi - math.log(math.exp(min(phi - top[text], 700)) - math.log(u))
+                value[a] = phi - math.log(math.exp(min(phi - bound, 700)) - math.log(u))
         go, first, start_mask, start_logp, before = go[keep], first[keep], start_mask[keep], start_logp[keep], before[keep]
         size = np.diff(self.offsets)[go] - first
         offsets = np.concatenate([[0], np.cumsum(size)])
         inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)
         place = np.repeat(first, size) + inside
         spot = np.repeat(self.offsets[go], size) + place
-        chunk, state = self.order[spot], self.state[spot]
+        chunk, state = self.order.take(spot), self.state.take(spot)
         mask, logp = np.zeros(len(chunk), np.uint64), np.zeros(len(chunk))
         rest = np.flatnonzero(inside)
         mask[rest], logp[rest] = self.lattices.sample(chunk[rest], state[rest], j * 8 + 2)
@@ -522,13 +541,23 @@ class Speller:
             self.sums, self.powers = self.table.sums(self.codes)
 
     def spell(self, chunks: list[str], order: np.ndarray, mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece numbers of all texts one after the other, and piece offsets by text. Each distinct pair of chunk and mask is cut once."""
+        """Piece numbers of all texts one after the other, and piece offsets by text."""
+        return self.digested(chunks, order, mask, offsets, np.arange(len(self.names), dtype=np.int32))[:2]
+
+    def digested(self, chunks: list[str], order: np.ndarray, mask: np.ndarray, offsets: np.ndarray, ids: np.ndarray | None) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """``ids`` of the pieces of all texts one after the other, piece offsets by text, and a digest of each text's pieces.
+
+        Each distinct pair of chunk and mask is cut once. A digest is the sum of
+        each piece's code times its place, so it follows from a pair's own sums
+        and the pieces before it.
+        """
+        digest = np.zeros(len(offsets) - 1, np.uint64)
         if not len(order):
-            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+            return None if ids is None else ids[:0], np.zeros(len(offsets), np.int64), digest
         self._read(chunks)
-        if mask.max() < _U(1 << 32):
-            pair, pairs = pd.factorize(order << np.int64(32) | mask.astype(np.int64))
-            of, masks = pairs >> np.int64(32), (pairs & np.int64(0xFFFFFFFF)).astype(np.uint64)
+        if len(chunks) <= 1 << 64 - MAX_CHARS:
+            pair, pairs = pd.factorize(order.astype(np.uint64) << _U(MAX_CHARS) | mask)
+            of, masks = (pairs >> _U(MAX_CHARS)).astype(np.int64), pairs & _U((1 << MAX_CHARS) - 1)
         else:
             masks, masks_found = pd.factorize(mask)
             pair, pairs = pd.factorize(order << np.int64(32) | masks)
@@ -539,22 +568,31 @@ class Speller:
         for some, width in ((masks < _U(1 << 16), 2), (masks >= _U(1 << 16), 8)):
             own = count[some]
             bits = np.unpackbits(masks[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width], axis=1, bitorder="little")
-            end[np.repeat(start[some] - np.cumsum(own) + own, own) + np.arange(own.sum())] = np.nonzero(bits)[1] + 1
+            end[np.repeat(start[some] - np.cumsum(own) + own, own) + np.arange(own.sum())] = np.flatnonzero(bits) % (8 * width) + 1
         begin = np.concatenate([[0], end[:-1]])
-        begin[np.flatnonzero(np.diff(row, prepend=-1))] = 0
-        at = self.first[of[row]]
+        begin[start] = 0
+        at = self.first.take(of.take(row))
         begin, end = at + begin, at + end
-        known, rank = self.table.find((self.sums[end] - self.sums[begin]) * self.powers[end])
+        known, rank = self.table.find((self.sums.take(end) - self.sums.take(begin)) * self.powers.take(end))
         cut = np.full(len(row), -1, np.int64)
         cut[known] = rank
         numbers, each = self._bytes(cut, begin)
-        size = np.bincount(row, weights=each, minlength=len(pairs)).astype(np.int64)
+        size = count if len(numbers) == len(cut) else np.add.reduceat(each, start)
         first = np.cumsum(size) - size
-        times = size[pair]
+        times = size.take(pair)
         ends = np.concatenate([[0], np.cumsum(times)])
-        at = np.repeat((first[pair] - ends[:-1]).astype(np.int32), times)
+        code = self.code.take(numbers)
+        sums, inside = np.add.reduceat(code, first), np.arange(1, len(code) + 1) - np.repeat(first, size)
+        placed = np.add.reduceat(code * inside.astype(np.uint64), first)
+        full = np.flatnonzero(np.diff(offsets))
+        here = sums.take(pair)
+        before = ends[offsets[full]].astype(np.uint64)
+        digest[full] = np.add.reduceat(placed.take(pair) + here * ends[:-1].astype(np.uint64), offsets[full]) - np.add.reduceat(here, offsets[full]) * before
+        if ids is None:
+            return None, ends[offsets], digest
+        at = np.repeat((first.take(pair) - ends[:-1]).astype(np.int32), times)
         at += np.arange(len(at), dtype=np.int32)
-        return numbers.astype(np.int32)[at], ends[offsets]
+        return ids.take(numbers).take(at), ends[offsets], digest
 
     def _bytes(self, cut: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers with each character that no piece covers (-1) as its bytes, and how many numbers each entry became."""
@@ -591,38 +629,53 @@ def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(*shared.value)
         speller = Speller(lattices.table.pieces, lattices.table)
+        ranks = {False: None, True: np.arange(len(ids), dtype=np.int32), "ids": ids}[pieces]
         for whole in batches:
             for batch in _cut(whole):
                 paths = Paths(batch.column(batch.num_columns - 1), [k or "" for k in batch.column(batch.num_columns - 2).to_pylist()], lattices, samples, seed)
                 size = np.diff(paths.offsets)
-                for j, texts, mask, logp, perturbed in paths.masks():
-                    order = paths.own_order
-                    if len(texts) < len(size):
-                        with_it = np.zeros(len(size), bool)
-                        with_it[texts] = True
-                        of = np.repeat(with_it, size)
-                        order, mask = order[of], mask[of]
-                    numbers, ends = speller.spell(paths.own, order, mask, np.concatenate([[0], np.cumsum(size[texts])]))
-                    count = np.diff(ends)
-                    digest = np.zeros(len(texts), np.uint64)
-                    full = np.flatnonzero(count)
-                    if len(full):
-                        # each piece's code times its place, summed: places count from the slice's start, which is taken off again
-                        code = speller.code[numbers]
-                        here = np.add.reduceat(code, ends[full])
-                        digest[full] = np.add.reduceat(code * np.arange(1, len(code) + 1, dtype=np.uint64), ends[full]) - here * ends[full].astype(np.uint64)
-                    with np.errstate(over="ignore"):
-                        inclusion = -np.expm1(-np.exp(np.minimum(logp - paths.threshold[texts], 700)))
-                    rows = pa.array(texts)
-                    columns = [c.take(rows) for c in batch.columns[:-2]]
-                    columns += [pa.array(np.full(len(texts), j + 1, np.int32)), pa.array(size[texts]), pa.array(count), pa.array(logp), pa.array(perturbed), pa.array(inclusion), pa.array(digest.view(np.int64))]
-                    if pieces:
-                        columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[numbers]) if pieces == "ids" else speller.names.take(pa.array(numbers))))
-                    yield pa.RecordBatch.from_arrays(columns, [*keep, "sample", "n_chunks", "n_pieces", "log_prob", "perturbed", "inclusion", "digest", *["pieces"] * bool(pieces)])
+                for group in _together(paths):
+                    orders, starts = [], [np.zeros(1, np.int64)]
+                    for _, texts, _, _, _, of in group:
+                        orders.append(paths.own_order if of is None else paths.own_order[of])
+                        starts.append(size[texts])
+                    found, every, digests = speller.digested(paths.own, np.concatenate(orders), np.concatenate([g[2] for g in group]), np.cumsum(np.concatenate(starts)), ranks)
+                    last = 0
+                    for j, texts, _, logp, perturbed, _ in group:
+                        ends, digest = every[last : last + len(texts) + 1], digests[last : last + len(texts)]
+                        last += len(texts)
+                        with np.errstate(over="ignore"):
+                            inclusion = -np.expm1(-np.exp(np.minimum(logp - paths.threshold[texts], 700)))
+                        rows = pa.array(texts)
+                        columns = [c.take(rows) for c in batch.columns[:-2]]
+                        columns += [pa.array(np.full(len(texts), j + 1, np.int32)), pa.array(size[texts]), pa.array(np.diff(ends)), pa.array(logp), pa.array(perturbed), pa.array(inclusion), pa.array(digest.view(np.int64))]
+                        if pieces:
+                            own = pa.array(found[ends[0] : ends[-1]])
+                            columns.append(pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), own if pieces == "ids" else speller.names.take(own)))
+                        yield pa.RecordBatch.from_arrays(columns, [*keep, "sample", "n_chunks", "n_pieces", "log_prob", "perturbed", "inclusion", "digest", *["pieces"] * bool(pieces)])
 
     return docs.select(*keep, F.col(id_col).cast("string").alias("_seg_key"), F.col(text_col).cast("string").alias("_seg_text")).mapInArrow(common.lean(run), schema)
 
 
+def _together(paths: Paths) -> Iterator[list[tuple]]:
+    """The samples of a slice with the chunks of their texts (None: all), in groups of up to GROUP chunks, one sample at least."""
+    size, group, held = np.diff(paths.offsets), [], 0
+    for j, texts, mask, logp, perturbed in paths.masks():
+        of = None
+        if len(texts) < len(size):
+            with_it = np.zeros(len(size), bool)
+            with_it[texts] = True
+            of = np.repeat(with_it, size)
+            mask = mask[of]
+        if group and held + len(mask) > GROUP:
+            yield group
+            group, held = [], 0
+        group.append((j, texts, mask, logp, perturbed, of))
+        held += len(mask)
+    if group:
+        yield group
+
+
 def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0)).astype(np.int64)
     parts = np.cumsum(size) // SLICE_BYTES
