@@ -231,3 +231,20 @@ def test_executors_give_heap_back_before_a_stage_of_the_pipeline(spark):
     before = whole()
     pipeline.mixed(spark, common.read(spark, SF, "documents"), SF)
     assert whole() > before
+
+
+def test_samples_are_spelled_together_and_digests_follow_from_the_pieces(monkeypatch):
+    texts = ["to be or not", "漢字 ☃ ab", "", "x" * 60, "to be"]
+    paths = segment.Paths(pa.array(texts), list("abcde"), segment.Lattices(TABLE, WEIGHTS), 4, 1)
+    (whole,) = segment._together(paths)
+    monkeypatch.setattr(segment, "GROUP", 1)
+    assert [[g[0] for g in x] for x in segment._together(paths)] == [[0], [1], [2], [3]] and [g[0] for g in whole] == [0, 1, 2, 3]
+    speller, size = segment.Speller(NAMES), np.diff(paths.offsets)
+    orders = [paths.own_order if g[5] is None else paths.own_order[g[5]] for g in whole]
+    ends = np.cumsum(np.concatenate([[0], *(size[g[1]] for g in whole)]))
+    numbers, cuts, digest = speller.digested(paths.own, np.concatenate(orders), np.concatenate([g[2] for g in whole]), ends, np.arange(len(speller.names)))
+    assert len(digest) == len(cuts) - 1 == sum(len(g[1]) for g in whole) and sum(len(g[1]) == 4 for g in whole) == 3
+    for i, text in enumerate(np.concatenate([g[1] for g in whole]).tolist()):
+        own = numbers[cuts[i] : cuts[i + 1]]
+        assert segment.decode(speller.names.take(pa.array(own)).to_pylist()) == texts[text]
+        assert int(digest[i]) == sum(int(speller.code[n]) * place for place, n in enumerate(own.tolist(), 1)) % (1 << 64)
