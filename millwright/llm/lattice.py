@@ -30,6 +30,8 @@ class PieceTable:
     #: by the first bits of a hash: the piece's place, -1 for none, -2 for several
     slots: np.ndarray
     numbers: np.ndarray
+    #: by the first bits of a hash: 1 if a piece may have it, and 2 if a longer piece may begin with the string
+    marks: np.ndarray
 
     @classmethod
     def of(cls, pieces: list[str]) -> PieceTable:
@@ -42,7 +44,9 @@ class PieceTable:
         slots = np.full(1 << 20, -1, np.int32)
         slots[first] = np.arange(len(keys))
         slots[first[1:][first[1:] == first[:-1]]] = -2
-        return cls(pieces, max(map(len, pieces), default=1), keys, slots, order.astype(np.int32))
+        marks = (slots != -1).astype(np.uint8)
+        marks[[key >> 44 for p in pieces for key in _hashes(p)[:-1]]] |= 2
+        return cls(pieces, max(map(len, pieces), default=1), keys, slots, order.astype(np.int32), marks)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of keys that are pieces, and the pieces' numbers."""
@@ -84,6 +88,25 @@ class PieceTable:
         for own in found:
             yield from own
 
+    def parts(self, codes: np.ndarray, left: np.ndarray):
+        """(length, places, numbers) of all pieces in strings of any lengths that lie one after the other, by ascending length.
+
+        ``left`` counts the characters from each place to its string's end. A
+        place is given up at the length from which no piece goes on.
+        """
+        codes = codes + np.uint64(1)
+        at, key = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for length in range(1, self.longest + 1):
+            key = (key + codes.take(at + (length - 1))) * _STEP
+            marks = self.marks.take((key >> np.uint64(44)).view(np.int64))
+            maybe = np.flatnonzero(marks & np.uint8(1))
+            rows, numbers = self.find(key.take(maybe))
+            yield length, at.take(maybe.take(rows)), numbers
+            go = np.flatnonzero((marks > 1) & (left.take(at) > length))
+            if not len(go):
+                return
+            at, key = at.take(go), key.take(go)
+
     @staticmethod
     def sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Running sums and powers of a long string: (sums[b] - sums[a]) * powers[b] is the hash of its part from a to b."""
@@ -95,10 +118,16 @@ class PieceTable:
 
 
 def _hash(piece: str) -> int:
-    key = 0
+    return _hashes(piece)[-1] if piece else 0
+
+
+def _hashes(piece: str) -> list[int]:
+    """Of what the piece begins with, by length, itself included."""
+    out, key = [], 0
     for c in piece:
         key = (key + ord(c) + 1) * int(_STEP) % (1 << 64)
-    return key
+        out.append(key)
+    return out
 
 
 def by_length(strings: list[str]):

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.llm import common
-from millwright.llm.lattice import MAX_CHARS, SPACE_MARK, PieceTable, by_length, load_pieces, piece_ids, runs
+from millwright.llm.lattice import MAX_CHARS, SPACE_MARK, PieceTable, load_pieces, piece_ids, runs
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, SMOOTHING = 4, 1, 0.3
@@ -52,6 +52,8 @@ SLICE_BYTES = 1 << 20
 HELD, MOST = 60_000, 100_000
 #: Chunks of several samples that are spelled together.
 GROUP = 1 << 21
+#: New chunks, and long chunks of a draw, that are worked on together; the arrays stay within the processor's cache.
+ADDED, BLOCK = 1 << 12, 1 << 15
 #: Chunks up to this length have at most 2 ** (SHORT - 1) segmentations, which are listed.
 SHORT = 7
 _U = np.uint64
@@ -61,15 +63,22 @@ _LITERAL_MARK = 0x110000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _B
-    h = (h ^ (h >> _U(27))) * _C
-    return h ^ (h >> _U(31))
+    h = h ^ (h >> _U(30))
+    h *= _B
+    h ^= h >> _U(27)
+    h *= _C
+    h ^= h >> _U(31)
+    return h
 
 
 def _uniform(state: np.ndarray, step: int) -> np.ndarray:
     """In (0, 1], by hash of a row's key with a chunk's place (see _state) and the step."""
     h = _mix(state + _U(step * int(_D) % (1 << 64)))
-    return ((h >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53
+    h >>= _U(11)
+    u = h.astype(np.float64)
+    u += 1.0
+    u *= 2.0**-53
+    return u
 
 
 def _state(key: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -98,99 +107,154 @@ class Lattices:
     New chunks are added in order of length, so those of one length lie together.
     A chunk of up to SHORT characters has all its segmentations listed: entry m
     from ``base[c]`` is the one whose inner ends are the bits of m. A longer
-    chunk has its conditional edge probabilities: the edges that start at
-    position s lie at ``base[c] + s * width[c] + length - 1``. ``cdf`` sums the
-    probabilities of a list, or of the edges of one position.
+    chunk has the conditional probabilities of its edges, and only of those that
+    are pieces: those that start at position s begin at ``rows[row[c] + s]``, by
+    ascending ``length``. ``cdf`` sums the probabilities
+    of a list, or of the edges of one position.
     """
 
     def __init__(self, table: PieceTable, logw: np.ndarray):
         self.table, self.logw = table, logw
-        self.jumps = [1 << i for i in reversed(range((int(table.longest) - 1).bit_length()))]
-        self.number: dict[str, int] = {}
-        self.chunks: list[str] = []
-        self.n = self.width = self.base = self.uses = np.zeros(0, np.int64)
+        self.held = pa.array([], pa.large_string())
+        #: of each chunk: characters, entries, the place of the first one and of its row, slices that had it
+        self.n = self.entries = self.base = self.row = self.uses = np.zeros(0, np.int64)
         #: n, in one byte
         self.size = np.zeros(0, np.uint8)
-        self.p, self.cdf, self.used = np.zeros(1 << 20, np.float32), np.zeros(1 << 20, np.float32), 0
+        self.p, self.cdf, self.length, self.used = np.zeros(1 << 20, np.float32), np.zeros(1 << 20, np.float32), np.zeros(1 << 20, np.uint8), 0
+        self.rows, self.rows_used = np.zeros(1 << 18, np.int64), 0
+        self.last: tuple = (-1, None)
 
-    def numbers(self, chunks: list[str]) -> np.ndarray:
+    @property
+    def chunks(self) -> list[str]:
+        return self.held.to_pylist()
+
+    def numbers(self, chunks: pa.Array | list[str]) -> np.ndarray:
         """Numbers of a slice's chunks. Before it, rare chunks of earlier slices make room."""
-        if len(self.chunks) > MOST:
+        if len(self.held) > MOST:
             self._drop()
-        out = np.fromiter(map(self.number.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        chunks = pa.array(chunks, pa.large_string()) if isinstance(chunks, list) else chunks
+        out = np.asarray(pc.fill_null(pc.index_in(chunks, self.held), -1)).astype(np.int64)
         if len(lost := np.flatnonzero(out < 0)):
-            new = [chunks[i] for i in lost.tolist()]
-            order = np.argsort(np.fromiter(map(len, new), np.int64, len(new)), kind="stable")
-            new = [new[i] for i in order.tolist()]
-            first = len(self.chunks)
-            out[lost[order]] = np.arange(first, first + len(new))
-            self.number.update(zip(new, range(first, first + len(new))))
-            self.chunks += new
-            self._add(new)
+            lost = lost[np.argsort(np.asarray(pc.utf8_length(chunks.take(pa.array(lost)))), kind="stable")]
+            new, first = chunks.take(pa.array(lost)), len(self.held)
+            out[lost] = np.arange(first, first + len(new))
+            self.held = pa.concat_arrays([self.held, new])
+            self._add(new.to_pylist())
         self.uses[out] += 1
         return out
 
     def _drop(self) -> None:
         """Keep the HELD chunks in most use, the earlier ones of equal use, and move their lists together."""
+        self.last = (-1, None)
         keep = np.sort(np.argsort(-self.uses, kind="stable")[:HELD])
-        size = np.where(self.n[keep] <= SHORT, self.width[keep], self.n[keep] * self.width[keep])
-        base, ends = self.base[keep], np.cumsum(size)
-        # forwards in runs, each to where it or an earlier one lay
-        for a in range(0, len(keep), 1 << 13):
-            own = slice(a, a + (1 << 13))
-            first = int(ends[a] - size[a])
-            last = int(ends[own][-1])
-            spots = np.repeat(base[own] - (ends[own] - size[own]), size[own]) + np.arange(first, last)
-            self.p[first:last], self.cdf[first:last] = self.p.take(spots), self.cdf.take(spots)
-        self.chunks = [self.chunks[i] for i in keep.tolist()]
-        self.number = dict(zip(self.chunks, range(len(keep))))
-        self.n, self.width, self.base, self.uses, self.used = self.n[keep], self.width[keep], ends - size, self.uses[keep], int(ends[-1])
-        self.size = self.size[keep]
+        self.n, self.entries, self.uses, self.size = self.n[keep], self.entries[keep], self.uses[keep], self.size[keep]
+        before, rows = self.base[keep], np.where(self.n <= SHORT, 0, self.n + 1)
+        self.base, self.used = _moved((self.p, self.cdf, self.length), before, self.entries)
+        self.row, self.rows_used = _moved((self.rows,), self.row[keep], rows)
+        self.rows[: self.rows_used] -= np.repeat(before - self.base, rows)
+        self.held = self.held.take(pa.array(keep))
 
     def _add(self, chunks: list[str]) -> None:
-        table = self.table
+        """The distributions of new chunks, ordered by length."""
+        new = zip(*(self._block(chunks[a : a + ADDED]) for a in range(0, len(chunks), ADDED)))
+        self.n, self.entries, self.base, self.row = (np.concatenate([x, *more]) for x, more in zip((self.n, self.entries, self.base, self.row), new))
+        self.uses, self.size = np.append(self.uses, np.zeros(len(chunks), np.int64)), self.n.astype(np.uint8)
+
+    def _block(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Their distributions, all worked on at once from the chunks' ends; n, entries, base and row."""
         n = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        short = n <= SHORT
-        width = np.where(short, np.int64(1) << np.maximum(n - 1, 0), np.minimum(n, table.longest))
-        size = np.where(short, width, n * width)
-        bases = np.cumsum(size) - size + self.used
-        self.used += int(size.sum())
-        if self.used > len(self.p):
-            self.p, self.cdf = (np.concatenate([x, np.zeros(self.used - len(x) + (1 << 19), np.float32)]) for x in (self.p, self.cdf))
-        self.n, self.width, self.base, self.uses = (np.concatenate(x) for x in ((self.n, n), (self.width, width), (self.base, bases), (self.uses, np.zeros(len(n), np.int64))))
-        self.size = np.concatenate([self.size, n.astype(np.uint8)])
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        ends = np.cumsum(n)
+        left = (np.repeat(ends, n) - np.arange(len(codes))).astype(np.uint8)
+        count, length, p = self._edges(codes, left)
+        first = np.concatenate([[0], np.cumsum(count)])
+        short = int(np.searchsorted(n, SHORT, "right"))
+        lists = [np.zeros(0, np.float32)] * 2
+        for size in range(1, SHORT + 1):
+            a, b = (int(x) for x in np.searchsorted(n[:short], [size, size + 1]))
+            if a < b:
+                at, to = ends[a] - size, ends[b - 1]
+                own, times = slice(first[at], first[to]), count[at:to]
+                # positions first: each edge then fills a column
+                dense = np.zeros((size, size, b - a), np.float32)
+                start, column = np.arange(size) * (size * (b - a)), np.arange(b - a)
+                place = np.repeat((column[:, None] + start).ravel(), times) + (length[own].astype(np.int64) - 1) * (b - a)
+                dense.ravel()[place] = p[own]
+                some = np.ascontiguousarray(_listed(dense).T)
+                total = np.cumsum(some, axis=1)
+                total /= total[:, -1:]
+                lists = [np.concatenate([x, y.ravel()]) for x, y in zip(lists, (some, total))]
+        # the longer chunks lie behind; their edges are in order
+        at = int(ends[short - 1]) if short else 0
+        begin, count, own = first[at:-1] - first[at], count[at:], p[first[at] :]
+        starts = ends[short:] - n[short:] - at
+        entries = np.concatenate([np.int64(1) << np.maximum(n[:short] - 1, 0), np.diff(np.append(begin, len(own))[np.append(starts, len(begin))])])
+        bases, rows = np.cumsum(entries) - entries + self.used, np.where(n <= SHORT, 0, n + 1)
+        row = np.cumsum(rows) - rows + self.rows_used
+        self._room(int(entries.sum()), int(rows.sum()))
+        for x, parts in ((self.p, (lists[0], own)), (self.cdf, (lists[1], _cumulated(own, begin, count)))):
+            x[self.used : self.used + len(lists[0])], x[self.used + len(lists[0]) : self.used + len(lists[0]) + len(own)] = parts
+        self.length[self.used + len(lists[0]) : self.used + len(lists[0]) + len(own)] = length[first[at] :]
+        if len(starts):
+            times, front = n[short:], self.used + len(lists[0])
+            self.rows[np.arange(len(begin)) + np.repeat(np.arange(len(times)), times) + self.rows_used] = begin + front
+            self.rows[row[short:] + times] = bases[short:] + entries[short:]
+        self.used, self.rows_used = self.used + int(entries.sum()), self.rows_used + int(rows.sum())
+        return n, entries, bases, row
+
+    def _room(self, entries: int, rows: int) -> None:
+        if (more := self.used + entries - len(self.p)) > 0:
+            self.p, self.cdf, self.length = (np.concatenate([x, np.zeros(more + (1 << 19), x.dtype)]) for x in (self.p, self.cdf, self.length))
+        if (more := self.rows_used + rows - len(self.rows)) > 0:
+            self.rows = np.concatenate([self.rows, np.zeros(more + (1 << 17), np.int64)])
+
+    def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many edges start at each place, and the edges' lengths and conditional probabilities, by place and length.
+
+        ``left`` counts the characters from each place to its chunk's end.
+        """
+        codes = np.where(codes == ord(SPACE_MARK), _U(_LITERAL_MARK), codes)
+        codes = np.where(codes == 0x20, _U(ord(SPACE_MARK)), codes)
+        found = list(self.table.parts(codes, left))
+        covered = np.zeros(len(codes), bool)
+        covered[found[0][1]] = True
+        lost = np.flatnonzero(~covered)
+        found.insert(0, (1, lost, np.full(len(lost), len(self.table.pieces), np.int32)))
+        count = np.zeros(len(codes), np.int64)
+        for _, at, _ in found:
+            count[at] += 1
+        fill = np.cumsum(count) - count
+        edges = int(count.sum())
+        length, x = np.empty(edges, np.uint8), np.empty(edges)
         w = np.exp(self.logw)
-        unknown = len(table.pieces)
-        for index, codes in by_length(chunks):
-            rows, n = codes.shape
-            width = min(n, table.longest)
-            codes = np.where(codes == ord(SPACE_MARK), _U(_LITERAL_MARK), codes)
-            codes = np.where(codes == 0x20, _U(ord(SPACE_MARK)), codes)
-            beta = np.zeros((n + 1, rows))
-            beta[n] = 1.0
-            edges = list(table.edges(codes))
-            value = []
-            for start, length, at, numbers in reversed(edges):
-                x = w[numbers]
-                if length == 1 and (lost := numbers == unknown).any():
-                    c = codes[at[lost], start]
-                    c = np.where(c == _LITERAL_MARK, _U(ord(SPACE_MARK)), c)
-                    x[lost] = np.exp(self.logw[-1] * (1.0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
-                x = x * 64.0**length * beta[start + length, at]
-                beta[start, at] += x
-                value.append(x)
-            # positions first: each edge then fills a column
-            dense = np.zeros((n, width, rows), np.float32)
-            for (start, length, at, _), x in zip(reversed(edges), value):
-                dense[start, length - 1, at] = x / beta[start, at]
-            if n <= SHORT:
-                dense = _listed(dense)[None]
-            first = int(bases[index[0]])
-            last = first + dense.size
-            self.p[first:last] = np.moveaxis(dense, 2, 0).ravel()
-            cdf = np.cumsum(self.p[first:last].reshape(-1, dense.shape[1]), axis=1)
-            cdf /= cdf[:, -1:]
-            self.cdf[first:last] = cdf.ravel()
+        for size, at, numbers in found:
+            to = fill.take(at)
+            length[to], x[to] = size, w.take(numbers)
+            fill[at] += 1
+        if len(lost):
+            c = codes[lost]
+            c = np.where(c == _LITERAL_MARK, _U(ord(SPACE_MARK)), c)
+            x[fill[lost] - count[lost]] = np.exp(self.logw[-1] * (1.0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
+        place = np.repeat(np.arange(len(codes)), count)
+        rest = left.take(place)
+        # from the chunks' ends: all places with as many characters left at once
+        by = np.argsort(rest, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(rest))])
+        x = (x * (64.0 ** np.arange(self.table.longest + 1)).take(length)).take(by)
+        place = place.take(by)
+        to = np.where(rest == length, len(codes), np.repeat(np.arange(len(codes)), count) + length).take(by)
+        begins = np.flatnonzero(np.diff(place, prepend=-1))
+        each = np.searchsorted(begins, cuts)
+        beta = np.ones(len(codes) + 1)
+        for i in range(1, len(cuts) - 1):
+            a, b = cuts[i], cuts[i + 1]
+            if a < b:
+                x[a:b] *= beta.take(to[a:b])
+                first = begins[each[i] : each[i + 1]]
+                beta[place[first]] = np.add.reduceat(x[a:b], first - a)
+        p = np.empty(edges, np.float32)
+        p[by] = x / beta.take(place)
+        return count, length, p
 
     def sample(self, chunk: np.ndarray, state: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
         """For each chunk the mask of piece ends (bit i: a piece ends after i + 1 characters) and the log-probability."""
@@ -208,28 +272,33 @@ class Lattices:
                     at += jump * (self.cdf.take(at + (jump - 1)) < u)
             mask[some] = (at - base + (1 << (n - 1))).astype(np.uint64)
             p[some] = self.p.take(at)
-        live = np.flatnonzero(size > SHORT)
-        at = np.zeros(len(live), np.int64)
-        own, state = chunk.take(live), state.take(live)
-        n, width, row = self.n.take(own), self.width.take(own), self.base.take(own)
-        turn = 0
-        while len(live):
-            to = self._pick(row, width, _uniform(state, step * 64 + turn).astype(np.float32), self.jumps)
-            at = at + (to - row) + 1
-            mask[live] |= _U(1) << (at - 1).astype(np.uint64)
-            p[live] *= self.p.take(to)
-            go = np.flatnonzero(at < n)
-            live, at, n, width, row, to, state = (x.take(go) for x in (live, at, n, width, row, to, state))
-            row = row + width * (to - row + 1)
-            turn += 1
+        long = np.flatnonzero(size > SHORT)
+        for a in range(0, len(long), BLOCK):
+            live = long[a : a + BLOCK]
+            own, here, turn = chunk.take(live), state.take(live), 0
+            row = self.row.take(own)
+            spot, end = row, row + self.n.take(own)
+            ends, logs = np.zeros(len(live), np.uint64), np.ones(len(live))
+            while len(live):
+                to = self._pick(self.rows.take(spot), _uniform(here, step * 64 + turn).astype(np.float32))
+                spot = spot + self.length.take(to)
+                ends |= _U(1) << (spot - row - 1).view(np.uint64)
+                logs *= self.p.take(to)
+                over = spot == end
+                if len(done := np.flatnonzero(over)):
+                    out, go = live.take(done), np.flatnonzero(~over)
+                    mask[out], p[out] = ends.take(done), logs.take(done)
+                    live, spot, end, row, here, ends, logs = (x.take(go) for x in (live, spot, end, row, here, ends, logs))
+                turn += 1
         return mask, np.log(p)
 
-    def _pick(self, row: np.ndarray, width: np.ndarray, u: np.ndarray, jumps: list[int]) -> np.ndarray:
-        """The first place from ``row`` whose cdf reaches u, by binary search of all rows at once."""
-        last = row + width - 1
-        to = row.copy()
-        for jump in jumps:
-            to += jump * (self.cdf.take(np.minimum(to + (jump - 1), last)) < u)
+    def _pick(self, to: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The first place from ``to`` on whose cdf reaches u. A position's last one does, and most have few."""
+        below = np.flatnonzero(self.cdf.take(to) < u)
+        while len(below):
+            now = to.take(below) + 1
+            to[below] = now
+            below = below.take(np.flatnonzero(self.cdf.take(now) < u.take(below)))
         return to
 
     def probability(self, chunk: int, mask: int) -> float:
@@ -240,10 +309,10 @@ class Lattices:
 
     def other(self, chunk: int, taken: list[int], state: int, step: int) -> tuple[int, float]:
         """Mask and log-probability of a segmentation of one chunk that is none of those taken (as masks)."""
-        n, width, base = int(self.n[chunk]), int(self.width[chunk]), int(self.base[chunk])
+        n, base = int(self.n[chunk]), int(self.base[chunk])
         if n <= SHORT:
             top = 1 << (n - 1)
-            mass = self.p[base : base + width].tolist()
+            mass = self.p[base : base + top].tolist()
             for m in taken:
                 mass[m & top - 1] = 0.0
             left, found = _draw(state, step) * sum(mass), -1
@@ -255,37 +324,73 @@ class Lattices:
                         break
             return (found | top, math.log(mass[found])) if found >= 0 else (-1, -np.inf)
         open_ = [lengths_of(m) for m in taken]
+        rows, sizes, every = self._own(chunk)
         at, mask, logp = 0, 0, 0.0
         while at < n:
-            row = base + at * width
-            p = self.p[row : row + min(width, n - at)].tolist()
+            first, last = rows[at], rows[at + 1]
+            p = every[first:last]
             mass = list(p)
             for lengths in open_:
-                mass[lengths[0] - 1] -= p[lengths[0] - 1] * self._rest(chunk, at + lengths[0], lengths[1:])
+                i = sizes.index(lengths[0], first, last) - first
+                mass[i] -= p[i] * self._rest(chunk, at + lengths[0], lengths[1:])
             mass = [m if m >= 1e-7 * q and m > 0 else 0.0 for m, q in zip(mass, p)]  # less is rounding
             total = sum(mass)
             if total <= 0:
                 return -1, -np.inf
-            left, length = _draw(state, step + at) * total, 0
+            left, found = _draw(state, step + at) * total, 0
             for i, m in enumerate(mass):
                 if m:
-                    length = i + 1
+                    found = i
                     left -= m
                     if left <= 0:
                         break
+            length = sizes[first + found]
             open_ = [x[1:] for x in open_ if x[0] == length and len(x) > 1]
-            logp += math.log(p[length - 1])
+            logp += math.log(p[found])
             at += length
             mask |= 1 << (at - 1)
         return mask, logp
 
     def _rest(self, chunk: int, at: int, lengths: list[int]) -> float:
-        out, base, width = 1.0, int(self.base[chunk]), int(self.width[chunk])
+        rows, sizes, p = self._own(chunk)
+        out = 1.0
         for length in lengths:
-            out *= float(self.p[base + at * width + length - 1])
+            out *= p[sizes.index(length, rows[at], rows[at + 1])]
             at += length
         return out
 
+    def _own(self, chunk: int) -> tuple[list[int], bytes, list[float]]:
+        """The rows, lengths and probabilities of a long chunk; those of the last one asked for are at hand."""
+        if self.last[0] != chunk:
+            base, row = int(self.base[chunk]), int(self.row[chunk])
+            own = slice(base, base + int(self.entries[chunk]))
+            self.last = chunk, ((self.rows[row : row + int(self.n[chunk]) + 1] - base).tolist(), self.length[own].tobytes(), self.p[own].tolist())
+        return self.last[1]
+
+
+def _moved(lists: tuple[np.ndarray, ...], base: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, int]:
+    """Move kept stretches together at the front, in place; where each then lies, and the end of all."""
+    ends = np.cumsum(size)
+    # forwards in runs, each to where it or an earlier one lay
+    for a in range(0, len(base), 1 << 13):
+        own = slice(a, a + (1 << 13))
+        first, last = int(ends[a] - size[a]), int(ends[own][-1])
+        spots = np.repeat(base[own] - (ends[own] - size[own]), size[own]) + np.arange(first, last)
+        for x in lists:
+            x[first:last] = x.take(spots)
+    return ends - size, int(ends[-1]) if len(ends) else 0
+
+
+def _cumulated(p: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Running sums of the edges of each position, over their total."""
+    cdf, place, k = p.copy(), np.flatnonzero(count > 1), 1
+    while len(place):
+        to = first.take(place) + k
+        cdf[to] = cdf.take(to - 1) + p.take(to)
+        k += 1
+        place = place[count.take(place) > k]
+    return cdf / np.repeat(cdf.take(first + count - 1), count) if len(p) else cdf
+
 
 def _listed(dense: np.ndarray) -> np.ndarray:
     """Probability of every segmentation of equally long strings, by the bits of its inner ends.
@@ -318,6 +423,12 @@ def lengths_of(mask: int) -> list[int]:
 
 
 def chunked(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """cut_in_chunks, with the chunks as a list."""
+    chunks, order, per_text = cut_in_chunks(column)
+    return chunks.to_pylist(), order, per_text
+
+
+def cut_in_chunks(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct chunks of a slice, the number of each chunk in order, and chunk offsets by text.
 
     A text's first chunk gets a space in front, as the vocabulary expects at
@@ -334,10 +445,10 @@ def chunked(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     where = np.append(begins, len(data)).astype(np.int64)
     values = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data))])
     coded = values.dictionary_encode()
-    chunks, order = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64)
-    length = np.asarray(pc.utf8_length(coded.dictionary))
+    distinct, order = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+    length = np.asarray(pc.utf8_length(distinct))
     if len(long := np.flatnonzero(length > MAX_CHARS)):
-        short = np.flatnonzero(length <= MAX_CHARS)
+        chunks, short = distinct.to_pylist(), np.flatnonzero(length <= MAX_CHARS)
         number = dict(zip((chunks[i] for i in short.tolist()), range(len(short))))
         parts = [[number.setdefault(x, len(number)) for x in runs(chunks[i])] for i in long.tolist()]
         count = np.ones(len(chunks), np.int64)
@@ -352,8 +463,8 @@ def chunked(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         inside = np.arange(ends[-1]) - np.repeat(ends[:-1], times)
         order = flat[np.repeat(first[order], times) + inside]
         per_text = ends[per_text]
-        chunks = list(number)
-    return chunks, order, per_text
+        distinct = pa.array(list(number), pa.large_string())
+    return distinct, order, per_text
 
 
 def _best(v: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,10 +498,10 @@ class Paths:
     """The samples of all texts of a slice, found step by step."""
 
     def __init__(self, column: pa.Array, keys: list[str], lattices: Lattices, samples: int, seed: int):
-        chunks, order, self.offsets = chunked(column)
+        chunks, order, self.offsets = cut_in_chunks(column)
         self.lattices = lattices
         numbers = lattices.numbers(chunks)
-        self.order, self.chunks = numbers[order] if len(order) else order, lattices.chunks
+        self.order = numbers[order] if len(order) else order
         # the distinct chunks of this slice, for what is computed once for each
         self.own, self.own_order = chunks, order
         texts = len(keys)
@@ -528,23 +639,24 @@ class Speller:
         names = pieces + [f"<0x{b:02X}>" for b in range(256)]
         self.names = pa.array(names, pa.string())
         self.code = np.fromiter((xxhash.xxh3_64_intdigest(n) for n in names), np.uint64, len(names))
-        self.chunks: list[str] | None = None
+        self.chunks: pa.Array | list[str] | None = None
 
-    def _read(self, chunks: list[str]) -> None:
+    def _read(self, chunks: pa.Array | list[str]) -> None:
         """Code points of all chunks in a row, and sums from which the hash of any part follows."""
         if chunks is not self.chunks:
             self.chunks = chunks
-            codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            chunks = pa.array(chunks, pa.large_string()) if isinstance(chunks, list) else chunks
+            codes = np.frombuffer(common.text_bytes(chunks)[0].tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
             codes = np.where(codes == ord(SPACE_MARK), _U(_LITERAL_MARK), codes)
             self.codes = np.where(codes == 0x20, _U(ord(SPACE_MARK)), codes)
-            self.first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))])
+            self.first = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(chunks)).astype(np.int64))])
             self.sums, self.powers = self.table.sums(self.codes)
 
-    def spell(self, chunks: list[str], order: np.ndarray, mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spell(self, chunks: pa.Array | list[str], order: np.ndarray, mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts one after the other, and piece offsets by text."""
         return self.digested(chunks, order, mask, offsets, np.arange(len(self.names), dtype=np.int32))[:2]
 
-    def digested(self, chunks: list[str], order: np.ndarray, mask: np.ndarray, offsets: np.ndarray, ids: np.ndarray | None) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    def digested(self, chunks: pa.Array | list[str], order: np.ndarray, mask: np.ndarray, offsets: np.ndarray, ids: np.ndarray | None) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
         """``ids`` of the pieces of all texts one after the other, piece offsets by text, and a digest of each text's pieces.
 
         Each distinct pair of chunk and mask is cut once. A digest is the sum of
@@ -568,7 +680,7 @@ class Speller:
         for some, width in ((masks < _U(1 << 16), 2), (masks >= _U(1 << 16), 8)):
             own = count[some]
             bits = np.unpackbits(masks[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width], axis=1, bitorder="little")
-            end[np.repeat(start[some] - np.cumsum(own) + own, own) + np.arange(own.sum())] = np.flatnonzero(bits) % (8 * width) + 1
+            end[np.repeat(start[some] - np.cumsum(own) + own, own) + np.arange(own.sum())] = (np.flatnonzero(bits) & (8 * width - 1)) + 1
         begin = np.concatenate([[0], end[:-1]])
         begin[start] = 0
         at = self.first.take(of.take(row))
@@ -592,7 +704,7 @@ class Speller:
             return None, ends[offsets], digest
         at = np.repeat((first.take(pair) - ends[:-1]).astype(np.int32), times)
         at += np.arange(len(at), dtype=np.int32)
-        return ids.take(numbers).take(at), ends[offsets], digest
+        return pc.take(pa.array(ids.take(numbers)), pa.array(at), boundscheck=False).to_numpy(), ends[offsets], digest
 
     def _bytes(self, cut: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers with each character that no piece covers (-1) as its bytes, and how many numbers each entry became."""

@@ -248,3 +248,38 @@ def test_samples_are_spelled_together_and_digests_follow_from_the_pieces(monkeyp
         own = numbers[cuts[i] : cuts[i + 1]]
         assert segment.decode(speller.names.take(pa.array(own)).to_pylist()) == texts[text]
         assert int(digest[i]) == sum(int(speller.code[n]) * place for place, n in enumerate(own.tolist(), 1)) % (1 << 64)
+
+
+def test_lattices_hold_edges_of_pieces_alone_with_their_probabilities():
+    chunks = [" everywhere", " thé☃x▁tail", "abcdefghijklmnop", " to", " a x b c d e f"]
+    held = segment.Lattices(TABLE, WEIGHTS)
+    numbers = held.numbers(chunks)
+    edges = 0
+    for c, number in zip(chunks, numbers.tolist()):
+        n, weight = len(c), {}
+        for a, b in itertools.combinations(range(n + 1), 2):
+            piece = c[a:b]
+            if piece.replace(" ", "▁") in RANK and "▁" not in piece:
+                weight[a, b] = math.exp(WEIGHTS[RANK[piece.replace(" ", "▁")]])
+            elif b == a + 1:
+                weight[a, b] = math.exp(WEIGHTS[-1] * len(piece.encode()))
+        rest = [0.0] * n + [1.0]
+        for a in reversed(range(n)):
+            rest[a] = sum(w * rest[y] for (x, y), w in weight.items() if x == a)
+        if n <= segment.SHORT:
+            edges += 1 << n - 1
+            continue
+        edges += len(weight)
+        for a, b in weight:
+            assert held._rest(number, a, [b - a]) == pytest.approx(weight[a, b] * rest[b] / rest[a], rel=1e-5)
+    assert held.used == edges
+    # dropped chunks make room, and those that stay keep theirs
+    before = [held._own(i) for i in numbers.tolist() if held.n[i] > segment.SHORT]
+    held.numbers([" elsewhere", " nothing", *chunks])
+    segment.HELD, most = len(chunks), segment.HELD
+    try:
+        held._drop()
+    finally:
+        segment.HELD = most
+    numbers = held.numbers(chunks)
+    assert held.used == edges and [held._own(i) for i in numbers.tolist() if held.n[i] > segment.SHORT] == before
