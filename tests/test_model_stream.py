@@ -7,6 +7,7 @@ from millwright.ml import prepare
 from millwright.ml.analysis import auto_analyze, run_seed_sweep
 from millwright.ml.engine import Engine
 from millwright.ml.forest import IsolationForest, Tree, tree_shap
+from millwright.operators import spc
 from millwright.sources import files, tools
 from millwright.streaming import charts
 
@@ -102,3 +103,32 @@ def test_live_charts_equal_batch(spark, tmp_path):
     assert np.allclose([r["stat"] for r in got], want)
     cusum = charts.live_cusum(stream, "m", "t", "x", 10.0, 1.0)
     assert cusum.isStreaming and cusum.columns[2] == "cusum_high"
+
+
+def test_live_cusum_judges_readings_at_the_limit_as_the_batch_chart_and_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from millwright.plans import catalogue, figures  # noqa: F401  figures registers more queries
+
+    rng, rows = np.random.default_rng(5), []
+    while len({r[1] for r in rows}) < 150:  # the upper sum of each series ends at 200.00, the limit, exactly
+        cents, high = rng.integers(0, 16000, rng.integers(6, 15)), 0
+        for c in cents:
+            high = max(0, high + int(c) - 7000)
+        if 11000 <= high <= 20000:
+            user = len({r[1] for r in rows})
+            rows += [(len(rows) + k, user, np.datetime64("2024-01-01T00:00:00") + k, float(c) / 100) for k, c in enumerate([*cents, 27000 - high])]
+    events = spark.createDataFrame([(e, u, t.item(), v) for e, u, t, v in rows], "event_id long, user_id long, ts timestamp_ntz, value double")
+    pd_rows = events.toPandas()
+    pd_rows.astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    key = lambda r: (r[0], r[1])
+    got = sorted((tuple(r) for r in catalogue.queries()["live_cusum"](spark, str(tmp_path)).collect()), key=key)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    assert got == sorted(con.execute(catalogue.oracle_sql()["live_cusum"]).fetchall(), key=key)
+    batch = sorted((tuple(r) for r in spc.cusum(events, "value", "ts", "user_id", target=50.0, sigma=40.0).selectExpr("user_id", "ts", "cusum_high", "cusum_low", "violation_high or violation_low").collect()), key=key)
+    for k in range(3):
+        events.where(f"second(ts) % 15 div 5 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live = charts.live_cusum(stream, "user_id", "ts", "value", 50.0, 40.0)
+    live.writeStream.format("memory").queryName("live_cusum").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((tuple(r) for r in spark.table("live_cusum").collect()), key=key) == batch
