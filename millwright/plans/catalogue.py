@@ -144,7 +144,7 @@ def crow_amsaa(spark, sf_dir):
 @query("weibull_fit")
 def weibull_fit(spark, sf_dir):
     gaps = reliability.failure_intervals(table(spark, sf_dir, "events"), "ts", "user_id", "event_type", ("error",))
-    return reliability.weibull_by_asset(gaps.withColumn("asset", F.col("asset").cast("long")))
+    return reliability.weibull_by_asset(gaps.withColumn("asset", F.col("asset").cast("long")), order_by="at")
 
 
 @query("weibull_curves", "SELECT round(t, 6) AS t, round(exp(-pow(t / 90.0, 2.4)), 6) AS reliability, round(2.4 / 90.0 * pow(t / 90.0, 1.4), 6) AS hazard, round(2.4 / 90.0 * pow(t / 90.0, 1.4) * exp(-pow(t / 90.0, 2.4)), 6) AS pdf FROM (SELECT i * 225.0::double / 80 AS t FROM range(1, 81) r(i))")

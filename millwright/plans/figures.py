@@ -342,7 +342,7 @@ SELECT asset, n AS n_intervals, round(beta, 5) AS beta, round(eta, 4) AS eta, ro
 def weibull_points(spark, sf_dir):
     """Shape, scale, mean life and B10 of each asset's fit; the bootstrap's interval is no SQL."""
     gaps = reliability.failure_intervals(table(spark, sf_dir, "events"), "ts", "user_id", "event_type", ("error",))
-    rows = reliability.weibull_by_asset(gaps.withColumn("asset", F.col("asset").cast("long"))).where("beta is not null")
+    rows = reliability.weibull_by_asset(gaps.withColumn("asset", F.col("asset").cast("long")), order_by="at").where("beta is not null")
     return rows.select("asset", "n_intervals", *(F.round(c, k).alias(c) for c, k in (("beta", 5), ("eta", 4), ("mttf", 3), ("b10_life", 4))))
 
 

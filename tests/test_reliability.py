@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millwright.operators import reliability as r
 
@@ -121,3 +122,32 @@ def test_curves(spark):
     curve = r.calculate_pm_cost_curve(2.4, 90, 8000, 50000, 20)
     assert np.allclose([x["cost_rate"] for x in r.pm_cost_curve(spark, 2.4, 90, 8000, 50000, 20).orderBy("t").collect()], curve["cost_rate"])
     assert r.calculate_weibull_curves(1, 1, points=5)["error"]
+
+
+def test_weibull_bootstrap_fits_samples_together_as_one_by_one(monkeypatch):
+    fit, calls = r.weibull_mle, []
+    monkeypatch.setattr(r, "weibull_mle", lambda x: calls.append(len(x)) or fit(x))
+    rng = np.random.default_rng(3)
+    for x in (rng.weibull(0.7, 8), rng.weibull(2.4, 13) * 90, np.round(rng.exponential(3, 40)) + 1, np.array([5.0] * 7 + [9.0] * 2), rng.exponential(50, 40000)):
+        draw, n = np.random.default_rng(42), 100 if len(x) < 1000 else 3
+        fits = [f[0] for f in (fit(draw.choice(x, len(x))) for _ in range(n)) if f]
+        low, high = np.percentile(fits, [2.5, 97.5]) - (np.mean(fits) - fit(x)[0])
+        got = r.calculate_weibull(x, n_bootstrap=n)
+        assert got["bootstrap_fits"] == len(fits) and (got["beta_ci_lower"], got["beta_ci_upper"]) == pytest.approx((low, high), rel=1e-10)
+    assert len(calls) == 5  # one fit for each series; the samples go in blocks
+
+
+def test_weibull_by_asset_does_not_depend_on_partitions_and_is_dealt_to_all_cores(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"A{a}", k, x) for a in range(40) for k, x in enumerate((rng.weibull(1.5, 6 + a) * 100).tolist())] + [("A0", 99, -1.0), ("none", 0, 0.0), (None, 0, 3.0), ("A1", 98, None)]
+    want = {a: r.calculate_weibull([x for b, _, x in rows if b == a and x is not None], n_bootstrap=20) for a in {b for b, _, _ in rows}}
+    for parts in (1, 5):
+        mixed = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "machine string, k long, gap double").repartition(parts)
+        got = r.weibull_by_asset(mixed, "machine", "gap", n_bootstrap=20, order_by="k")
+        assert got.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism
+        got = {row["machine"]: row.asDict() for row in got.collect()}
+        assert got.keys() == want.keys()
+        for a, row in got.items():
+            assert all(row[c] == pytest.approx(want[a][c], rel=1e-10) if isinstance(row[c], float) else row[c] == want[a][c] for c in row if c != "machine"), a
+    by_size = [sorted(map(str, r.weibull_by_asset(mixed.repartition(n), "machine", "gap", n_bootstrap=20).collect())) for n in (1, 7)]
+    assert by_size[0] == by_size[1]
