@@ -151,3 +151,11 @@ def test_weibull_by_asset_does_not_depend_on_partitions_and_is_dealt_to_all_core
             assert all(row[c] == pytest.approx(want[a][c], rel=1e-10) if isinstance(row[c], float) else row[c] == want[a][c] for c in row if c != "machine"), a
     by_size = [sorted(map(str, r.weibull_by_asset(mixed.repartition(n), "machine", "gap", n_bootstrap=20).collect())) for n in (1, 7)]
     assert by_size[0] == by_size[1]
+
+
+def test_points_of_a_fit_do_not_pay_for_its_interval(spark):
+    rows = spark.createDataFrame([("A", k, float(k % 5 + 1)) for k in range(12)], "asset string, at long, interval double")
+    fits = r.weibull_by_asset(rows, order_by="at")
+    steps = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    assert steps(fits) == 1 and steps(fits.where("beta is not null").select("asset", "n_intervals", "beta", "eta", "mttf", "b10_life")) == 0
+    assert fits.first()["bootstrap_fits"] == 500
